@@ -205,8 +205,12 @@ def _router(shards: int, window: int, gram: int, hot: np.ndarray):
     return route
 
 
-def _settle(window: int):
-    """The task of a shard: automata over its reference segments; gives ranges of removed words by document."""
+def _settle(window: int, buckets: int):
+    """The task of a shard: automata over its reference segments.
+
+    Gives the ranges of removed words, one blob for each bucket of documents: a
+    document meets many shards, so a row for each pair of the two is avoided.
+    """
 
     def settle(table: pa.Table) -> pa.Table:
         docs, tags, starts, ns = [], [], [], []
@@ -251,15 +255,29 @@ def _settle(window: int):
         hit_row = np.array(hit_row, np.int64)
         docs.append(doc[hit_row]), tags.append(tag[hit_row]), starts.append(start[hit_row] + np.array(hit_at, np.int32)), ns.append(np.array(hit_n, np.int32))
         docs, tags, starts, ns = (np.concatenate(x) for x in (docs, tags, starts, ns))
-        order = np.lexsort((starts, tags, docs))
-        docs, tags = docs[order], tags[order]
-        pairs = np.stack([starts[order], ns[order]], 1).astype(np.int32)
-        cuts = np.append(np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]))), len(docs)) if len(docs) else np.zeros(1, np.int64)
-        return pa.table([pa.array(docs[cuts[:-1]], pa.int64()), pa.array(tags[cuts[:-1]].astype(np.int32)), pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=_RANGES)
+        bucket = (tc.mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((starts, tags, docs, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        none = np.zeros(0, np.int64)
+        blobs = [_pack(none, none, none, none, [], (docs[o], tags[o], starts[o], ns[o])) for o in (order[cuts[x] : cuts[x + 1]] for x in full)]
+        return pa.table([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return settle
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """All ranges of each document of a bucket."""
+    parts = [_unpack(x)[0][4:] for x in table.column("blob").to_pylist()]
+    docs, tags, starts, ns = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((starts, tags, docs))
+    docs, tags = docs[order], tags[order]
+    pairs = np.stack([starts[order], ns[order]], 1).astype(np.int32)
+    cuts = np.append(np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]))), len(docs))
+    ranges = [pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.table([pa.array(docs[cuts[:-1]], pa.int64()), pa.array(tags[cuts[:-1]].astype(np.int32)), pa.array(ranges, pa.binary())], schema=_RANGES)
+
+
 def _remove(batches):
     for batch in batches:
         texts = tc.column(batch, "text")
@@ -274,7 +292,7 @@ def _remove(batches):
                     out["n_removed"].append(0), out["removed_spans"].append([])
                     out["kept_text"].append(b" ".join(words.texts(a, a + n)))
                     continue
-                pairs = np.frombuffer(b"".join(got), np.int32).reshape(-1, 2)
+                pairs = np.frombuffer(got, np.int32).reshape(-1, 2)
                 d = np.zeros(n + 1, np.int32)
                 np.add.at(d, pairs[:, 0], 1)
                 np.add.at(d, pairs[:, 0] + pairs[:, 1], -1)
@@ -316,8 +334,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = hot_anchors(known, window, gram)
     ranges = (
         known.mapInArrow(_router(shards, window, gram, hot), "shard int, blob binary")
-        .groupBy("shard").applyInArrow(_settle(window), "doc long, tag int, ranges binary")
-        .groupBy("doc", "tag").agg(F.collect_list("ranges").alias("ranges"))
+        .groupBy("shard").applyInArrow(_settle(window, shuffle_partitions(docs)), "bucket int, blob binary")
+        .groupBy("bucket").applyInArrow(_gather, "doc long, tag int, ranges binary")
     )
     joined = rows.join(ranges, (rows.doc_id == ranges.doc) & (rows.tag == ranges.tag), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:int,end:int>>")
