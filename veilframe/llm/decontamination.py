@@ -138,6 +138,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows.mapInArrow(_finish, _OUT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents without a verified hit, with the columns they have; no text is shuffled."""
+    sc = docs.sparkSession.sparkContext
+    out = docs
+    for grams in _parts(benchmark, item_col, item_text_col, window, part_bytes):
+        if not grams:
+            continue
+        bc = sc.broadcast(grams)
+
+        def run(batches, bc=bc):
+            for batch in batches:
+                n = batch.num_rows
+                part = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), batch.column(batch.schema.get_field_index(text_col)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+                clean = [i for got in _scan(bc)([part]) for i, h in zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True) if not h]
+                yield batch.take(pa.array(clean, pa.int64()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def op2_benchmark_decontamination(spark, sf_dir):
     out = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -90,6 +90,10 @@ def _measure(batches):
 
 def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text")).mapInArrow(_measure, _BASE)
+    return _base_failed(rows)
+
+
+def _base_failed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -139,12 +143,32 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row per document: the base measures, base_failed, failed_rules and kept."""
     measures = base_measures(docs, id_col, text_col, stratum_col)
-    cutoffs = fit_cutoffs(measures, labels)
+    return _verdict(measures, fit_cutoffs(measures, labels))
+
+
+def _verdict(measures: DataFrame, cutoffs: dict) -> DataFrame:
+    measures = measures if "base_failed" in measures.columns else _base_failed(measures)
     failed = [F.when(F.col("stratum").eqNullSafe(F.lit(s)) & (_ratios()[m] > c), F.lit(m)) for (s, m), c in sorted(cutoffs.items(), key=str)]
     rules = F.filter(F.array(F.when(F.col("base_failed"), F.lit("base")), *failed), lambda x: x.isNotNull())
     return measures.withColumn("failed_rules", rules).withColumn("kept", F.size("failed_rules") == 0)
 
 
+def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The documents that the rules keep, with the columns they have; no text is shuffled."""
+    cutoffs = fit_cutoffs(base_measures(docs, id_col, text_col, stratum_col), labels)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"), row.alias("row"))
+
+    def beside(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.Table.from_batches(_measure([batch])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in found.columns), batch.column(3)], names=[*found.schema.names, "row"])
+
+    measured = given.mapInArrow(beside, f"{_BASE}, row {given.schema['row'].dataType.simpleString()}")
+    return _verdict(measured, cutoffs).where("kept").select("row.*")
+
+
 def op10_quality_rules(spark, sf_dir):
     out = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
