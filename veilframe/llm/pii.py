@@ -44,7 +44,7 @@ SHAPES = {
     "date": r"(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
-    "card": r"[0-9](?:[ \-]?[0-9]){12,18}",
+    "card": r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})",
 }
 _SCAN = r"(?<![A-Za-z0-9_.%+\-])(?:" + "|".join(SHAPES.values()) + r")(?![A-Za-z0-9_]|[.\-][0-9])"
 
