@@ -8,12 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _PACKAGE = Path(__file__).resolve().parent
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
     """Give this package to the executors' Python workers (once for each Spark application)."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:  # a batch of long texts stays small in a worker
+        spark.conf.set(_BATCH, "8m")
     if getattr(sc, "_veilframe_shipped", None) != sc.applicationId:
         path = Path(tempfile.mkdtemp(prefix="veilframe-")) / "veilframe.zip"
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
