@@ -34,8 +34,8 @@ from . import textcore as tc
 from .frames import documents
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
-LONG_WORD, REMEMBERED = 192, 400_000
-SLICE = 2 << 20
+LONG_WORD, REMEMBERED = 192, 200_000
+SLICE = 1 << 20
 
 _ENCODE = """
 WITH RECURSIVE s(step, word, toks) AS (
@@ -80,7 +80,7 @@ class Codec:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.environ.get("TMPDIR", "/tmp")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": os.environ.get("TMPDIR", "/tmp")})
         left, right, out = [], [], []
         for body, rank in ranks.items():
             for i in range(1, len(body)):
@@ -256,6 +256,7 @@ def round_trip(docs: DataFrame, vocab: _Shared, id_col: str = "doc_id", text_col
                 same = [a == b.encode() for a, b in zip(codec.decode(ids, ends), part, strict=True)]
                 flat = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(ends, prepend=0).astype(np.int64)), flat, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 

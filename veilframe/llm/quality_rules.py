@@ -156,14 +156,18 @@ def _verdict(measures: DataFrame, cutoffs: dict) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The documents that the rules keep, with the columns they have; no text is shuffled."""
     cutoffs = fit_cutoffs(base_measures(docs, id_col, text_col, stratum_col), labels)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"), row.alias("row"))
+    given = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(stratum_col).cast("string").alias("stratum")).alias("by"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text_at = docs.columns.index(text_col)
 
     def beside(batches):
         for batch in batches:
-            if batch.num_rows:
-                found = pa.Table.from_batches(_measure([batch])).combine_chunks()
-                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in found.columns), batch.column(3)], names=[*found.schema.names, "row"])
+            by, row = batch.column(0).flatten(), batch.column(1)
+            text = row.flatten()[text_at]
+            for lo, hi in tc.slices(pa.compute.fill_null(text.cast(pa.large_string()), "")):
+                part = pa.RecordBatch.from_arrays([by[0][lo:hi], by[1][lo:hi], text[lo:hi]], names=["doc_id", "stratum", "text"])
+                found = pa.Table.from_batches(_measure([part])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in found.columns), row[lo:hi]], names=[*found.schema.names, "row"])
+            pa.default_memory_pool().release_unused()
 
     measured = given.mapInArrow(beside, f"{_BASE}, row {given.schema['row'].dataType.simpleString()}")
     return _verdict(measured, cutoffs).where("kept").select("row.*")
