@@ -215,10 +215,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id, with the columns it has.
 
-    A row with a null id is known by a hash of its text; of rows that repeat an
-    id one stays.
+    A row with a null id is known by a hash of its text, above any usual id; of
+    rows that repeat an id one stays.
     """
-    uid = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("null id"), F.col(text_col)))
+    uid = F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit("null id"), F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62)))
     found = near_dedup(docs.select(uid.alias("uid"), F.col(text_col).alias("body")), "uid", "body")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__uid")).distinct()
     first = Window.partitionBy("__uid").orderBy("__uid")
