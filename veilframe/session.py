@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _PACKAGE = Path(__file__).resolve().parent
@@ -27,6 +28,15 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the folder that all executors share, read back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/veilframe-checkpoints"
+    path = f"{base.rstrip('/')}/veilframe/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench."""
     spark = (
