@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.carriers import CARRIERS
+from .plans.queries import QUERIES
+from .plans.queries_sql import SQL
+
+FLAGSHIP = "anonymize_text"
+#: Every SQL starts with the carrier texts it reads, written out as common table expressions.
+ORACLE_SQL = {name: f"WITH {CARRIERS}\n{sql}" for name, sql in SQL.items()}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -11,7 +11,7 @@ from .text import alnum_upper, digits_only, fold_arabic, fold_digits
 
 def luhn(digits: Column) -> Column:
     """ASCII digits with a valid check digit; all zeros are not."""
-    return F.when(digits.rlike(r"\A[0-9]*[1-9][0-9]*\z"), F.luhn_check(digits)).otherwise(F.lit(False))
+    return F.when(digits.rlike(r"\A[0-9]*[1-9][0-9]*\z"), F.call_function("luhn_check", digits)).otherwise(F.lit(False))
 
 
 def mod97(s: Column) -> Column:

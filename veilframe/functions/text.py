@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import fixed
@@ -73,7 +74,7 @@ def strip_particles(s: Column) -> Column:
     return F.when(s.isNotNull(), out)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -89,7 +90,7 @@ def normalize_arabic(s: Column) -> Column:
     return fold_arabic(F.coalesce(nfkc(F.when(~is_ascii(s), s)), s))
 
 
-_VIEW = "struct<text:string,src:array<int>>"
+_VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("src", T.ArrayType(T.IntegerType()))])
 
 
 @pandas_udf(_VIEW)

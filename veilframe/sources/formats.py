@@ -19,12 +19,14 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import fixed
 
-EXTRACTED = "struct<text:string,segments:array<struct<start:int,end:int,locator:string>>,error:string>"
-EMITTED = "struct<content:binary,error:string>"
+_SEGMENT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("locator", T.StringType())])
+EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("segments", T.ArrayType(_SEGMENT)), T.StructField("error", T.StringType())])
+EMITTED = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
 def read_documents(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
