@@ -17,7 +17,7 @@ TEXTS = {
     "contact": ("customer", "c_custkey", f"concat('Client ', c_name, ' phone 05', lpad(CAST(c_custkey % 100000000 AS STRING), 8, '0'), ' email C', {_K}, '@Mail.example.ae, +966 5', lpad(CAST(c_custkey * 7919 % 100000000 AS STRING), 8, '0'), ' end')"),
     "hidden": ("customer", "c_custkey", f"concat('call 05\u200b', lpad(CAST(c_custkey % 100000000 AS STRING), 8, '0'), ' or c', {_K}, '@ex\u00adample.\u0430e now')"),
     "folded": ("customer", "c_custkey", f"concat('جوال ', translate(concat('05', lpad(CAST(c_custkey % 100000000 AS STRING), 8, '0')), '0123456789', '٠١٢٣٤٥٦٧٨٩'), ' ثم')"),
-    "account": ("customer", "c_custkey", f"concat('Transfer to IBAN SA', CASE WHEN c_custkey % 5 = 0 THEN '00' ELSE lpad(CAST({_CHECK} AS STRING), 2, '0') END, lpad({_K}, 20, '0'), ' today')"),
+    "account": ("customer", "c_custkey", f"concat('Transfer to IBAN SA', lpad(CAST({_CHECK} + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS STRING), 2, '0'), lpad({_K}, 20, '0'), ' today')"),
     "identity": ("customer", "c_custkey", f"concat('Emirates ID 784-1990-', lpad({_K}, 7, '0'), '-', CAST(c_custkey % 10 AS STRING), '; Civil ID: 2', lpad({_K}, 11, '0'), ' | 9', lpad({_K}, 9, '0'), ' |')"),
     "company": ("customer", "c_custkey", f"concat('Commercial Registration (CR) Number: 10', lpad({_K}, 8, '0'), ', VAT number: 3', lpad({_K}, 13, '0'), '3 and CR Test')"),
     "invoice": ("customer", "c_custkey", f"concat(CASE WHEN c_custkey % 2 = 0 THEN 'Tax Invoice' ELSE 'Delivery' END, ' ref 1', lpad({_K}, 14, '0'), ' and ', repeat('7', 15))"),

@@ -42,7 +42,7 @@ SQL = {
     "digit_functions": f"SELECT id, 'جوال ' || {_PHONE} || ' ثم' AS folded, {_PHONE} AS digits, {_PHONE} AS alnum FROM folded",
     "scrub_invisible": f"SELECT id, 'call ' || {_PHONE} || ' or c' || id || '@example.ae now' AS clean FROM hidden",
     "luhn_numbers": "SELECT doc_id, d AS digits, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, i, 1)::INT WHEN substr(d, i, 1)::INT > 4 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END)) % 10 = 0 AND d <> repeat('0', 16) AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{16}')) AS d FROM documents)",
-    "iban_remainders": "SELECT id, ((id::HUGEINT * 1000000 + 281000 + CASE WHEN id % 5 = 0 THEN 0 ELSE 98 - (id * 1000000 + 281000) % 97 END) % 97)::INT AS remainder, id % 5 <> 0 AS valid FROM account",
+    "iban_remainders": "SELECT id, ((id::HUGEINT * 1000000 + 281000 + 98 - (id * 1000000 + 281000) % 97 + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END) % 97)::INT AS remainder, id % 5 <> 0 AS valid FROM account",
     "kuwait_ids": "SELECT s_suppkey AS id, 11 - t % 11 <= 9 AND 11 - t % 11 = s_suppkey % 10 AS valid FROM (SELECT s_suppkey, list_sum(list_transform(range(1, 12), lambda i: substr(d, i, 1)::INT * [2,1,6,3,7,9,10,5,8,4,2][i])) AS t FROM (SELECT s_suppkey, '2' || lpad((s_suppkey * 8191 % 10000000000)::VARCHAR, 10, '0') AS d FROM supplier))",
     "path_hashes": "SELECT page_id, sha256(url) AS path_hash, replace(replace(url, '~', '~0'), '/', '~1') AS pointer, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS folder FROM pages",
     "title_variants": "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titled, true AS augment, (length(n_name) + 2 - length(regexp_extract(n_name, '[A-Z0-9_]*$')))::INT AS safe FROM nation",
