@@ -217,7 +217,7 @@ def top_files(spark, sf_dir):
 
 
 def eval_scores(spark, sf_dir):
-    found = _found(spark, sf_dir, "contact", "EMAIL", "PHONE").select("id", "start", "end", "kind", "source")
+    found = stored(_found(spark, sf_dir, "contact", "EMAIL", "PHONE").select("id", "start", "end", "kind", "source"), "found")
     # gold: the start of the mail address, for two rows of three
     gold = carrier(spark, sf_dir, "contact").select("id", (F.locate("email ", F.col("text")) + 5).alias("start"), (F.locate("@", F.col("text")) + 2).alias("end"), F.lit("EMAIL").alias("kind"))
     return evaluate.scores(evaluate.outcomes(found, gold.where("id % 3 <> 0"), "id"), "kind")
