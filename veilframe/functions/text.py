@@ -111,9 +111,15 @@ def _view(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "src": sources})
 
 
+#: Marked non-deterministic so that the planner keeps it a column of its own: a view of a
+#: text that itself comes from a view (a second pass over redacted text) is then not
+#: merged into one projection, which cannot be split into two Python steps again.
+_bound_view = _view.asNondeterministic()
+
+
 def matching_view(s: Column) -> Column:
     """struct(text, src): what detectors read, and the source index of each character; null for ASCII text, which is its own view."""
-    return _view(F.when(~is_ascii(s), s))
+    return _bound_view(F.when(~is_ascii(s), s))
 
 
 def normalize_for_kind(kind: Column, value: Column, compat: Column | None = None) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import checks, text
+from . import spans
 from .detect import detect
 
 
@@ -15,18 +17,21 @@ def leaks(s: Column) -> Column:
 
 
 def residual(df: DataFrame, text_col: str = "text", strict: bool = False, **options) -> DataFrame:
-    """Adds ``residual``, the number of detections left; strict makes a row that has any fail the query."""
-    out = detect(df, text_col, "__left", **options)
-    n = F.size("__left")
+    """Adds ``residual``, the number of detections left; strict makes a row that has any fail the query.
+
+    Digits inside an own token do not count, even where they look like a phone number.
+    """
+    own = spans.find(spans.unmarked(F.col(text_col)), fixed.PRIVATE_TOKEN, False, "TOKEN", 1.0, "token", 0)
+    out = detect(df, text_col, "__left", **options).withColumn("__own", own)
+    inside = lambda d: F.exists("__own", lambda t: (t["start"] <= d["start"]) & (t["end"] >= d["end"]))
+    n = F.size(F.filter("__left", lambda d: ~inside(d)))
     if strict:
         n = F.when(n > 0, F.raise_error(F.concat(F.lit("residual personal data: "), n.cast("string"))).cast("int")).otherwise(n)
-    return out.withColumn("residual", n).drop("__left")
+    return out.withColumn("residual", n).drop("__left", "__own")
 
 
 def hook_decision(df: DataFrame, event: str = "event", tool: str = "tool", payload: str = "payload", **options) -> DataFrame:
     """What an agent may do with an event: block, restore, deny, replace, or null (go on)."""
-    from .. import fixed
-
     out = detect(df.withColumn("__clean", text.scrub(F.col(payload))), "__clean", "__found", **options)
     found = F.size("__found") > 0
     token = F.col(payload).rlike(fixed.PRIVATE_TOKEN)
