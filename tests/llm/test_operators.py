@@ -201,6 +201,26 @@ def test_simhash_hot_lists_and_chains(spark, monkeypatch):
     assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
 
 
+@pytest.mark.parametrize("size", [3, 4])
+def test_split_hot_lists_lose_no_pair(size):
+    rnd = random.Random(size)
+    sets = simhash.position_sets(size)
+    for trial in range(40):
+        a = rnd.getrandbits(64)
+        places = rnd.sample(range(8), 4)  # four bytes differ by one bit each, or fewer by more
+        bits = [8 * p + rnd.randrange(8) for p in places] if trial % 2 else rnd.sample(range(64), 4)
+        b = a
+        for x in bits:
+            b ^= 1 << x
+        fp = np.array([a, b], np.uint64)
+        hot = np.unique(simhash.postings(fp, sets, np.zeros(0, np.uint64))[0])
+        keys, fps = simhash.postings(fp, sets, hot)
+        lists = {}
+        for k, f in zip(keys.tolist(), fps.tolist()):
+            lists.setdefault(k, set()).add(f)
+        assert {a, b} in lists.values()
+
+
 def test_keep_one(spark):
     rows = corpus()
     got = simhash.keep_one(frame(spark, rows))

@@ -18,7 +18,9 @@ Hot groups: equal fingerprints are merged first.  A list is searched breadth
 first: a fingerprint is held only against those not yet reached, and gives one
 edge to its component's smallest, so a list of m near copies gives m edges and
 not their pairs.  Lists that a sample shows to be hot are split by one more
-position.  Components are found by alternating star contraction on edges, with
+position; where four positions are the list's already, each fingerprint also
+goes to the eight parts one bit away, because a linked pair without a fifth
+byte in common has one differing bit in each other byte.  Components are found by alternating star contraction on edges, with
 a written table in the shared folder after each round; joins and partial sums
 only, no list of a vertex's edges.
 
@@ -98,6 +100,11 @@ def _keys(fp: np.ndarray, positions: tuple[int, ...], number: int) -> np.ndarray
     return key
 
 
+def _finer(key: np.ndarray, position: int, byte: np.ndarray) -> np.ndarray:
+    """The part of a hot list that has this byte at one more position."""
+    return (key << np.uint64(16)) | np.uint64((position + 1) << 8) | byte.astype(np.uint64) | np.uint64(1 << 63)
+
+
 def postings(fp: np.ndarray, sets: list[tuple[int, ...]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(list key, fingerprint) of every entry; a hot list's entries go to finer lists instead."""
     keys, fps = [], []
@@ -105,9 +112,15 @@ def postings(fp: np.ndarray, sets: list[tuple[int, ...]], hot: np.ndarray) -> tu
         k = _keys(fp, positions, number)
         if len(hot):
             split = np.isin(k, hot)
-            for p in set(range(8)) - set(positions) if split.any() else ():
-                keys.append((k[split] << np.uint64(16)) | (np.uint64(p + 1) << np.uint64(8)) | fp[split][:, None].view(np.uint8)[:, p] | np.uint64(1 << 63))
+            others = sorted(set(range(8)) - set(positions)) if split.any() else []
+            own = fp[split][:, None].view(np.uint8)
+            for p in others:
+                keys.append(_finer(k[split], p, own[:, p]))
                 fps.append(fp[split])
+            if len(positions) == MATCHES and others:  # a pair that agrees in no other byte has one bit of each of them
+                for bit in range(8):
+                    keys.append(_finer(k[split], others[0], own[:, others[0]] ^ np.uint8(1 << bit)))
+                    fps.append(fp[split])
             k, rest = k[~split], fp[~split]
         else:
             rest = fp
