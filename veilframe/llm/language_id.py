@@ -60,41 +60,62 @@ class Model:
                         c[g] += k
                 per.append(dict(c.most_common(VOCABULARY)))
             self.tables.append(self._table(per))
-        self.memory: dict[str, np.ndarray] = {}
+        self.forget()
 
     @staticmethod
-    def _table(per: list[dict]) -> dict[str, np.ndarray]:
-        total = [sum(c.values()) for c in per]
+    def _table(per: list[dict]) -> tuple[dict[str, int], np.ndarray]:
+        """(row of each key, log frequencies per language)."""
         keys = sorted(set().union(*per)) if per else []
-        return {k: np.array([math.log((c.get(k, 0) + 0.1) / (t + 0.1 * len(keys))) for c, t in zip(per, total, strict=True)], np.float32) for k in keys}
-
-    def word(self, w: str) -> np.ndarray:
-        v = self.memory.get(w)
-        if v is None:
-            v = self._word(w)
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[w] = v
-        return v
-
-    def _word(self, w: str) -> np.ndarray:
-        v = self.tables[0].get(w)
-        if v is not None:
-            return v - v.max()
-        for n, table in zip(range(LONGEST, 0, -1), self.tables[1:], strict=True):
-            known = [table[g] for g in grams(w, n) if g in table]
-            if known:
-                v = np.sum(known, axis=0)
-                return (v - v.max()) / n  # neighbouring n-grams share characters
-        return np.zeros(len(self.languages), np.float32)
+        count = np.array([[c.get(k, 0) for c in per] for k in keys], np.float64).reshape(len(keys), len(per))
+        total = np.array([sum(c.values()) for c in per], np.float64)
+        return {k: i for i, k in enumerate(keys)}, np.log((count + 0.1) / (total + 0.1 * len(keys))).astype(np.float32)
+
+    def forget(self) -> None:
+        """Drop the remembered words; their scores are rows of one matrix."""
+        self.memory: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.languages)), np.float32)
+
+    def rows(self, words: Counter) -> list[int]:
+        """The row of each distinct word in ``scores``; new words are scored first."""
+        if len(self.memory) >= REMEMBERED:
+            self.forget()
+        found = list(map(self.memory.get, words))
+        if None in found:
+            new = [w for w, i in zip(words, found, strict=True) if i is None]
+            first, size = len(self.memory), len(self.scores)
+            self.memory.update(zip(new, range(first, first + len(new)), strict=True))
+            if len(self.memory) > size:
+                self.scores = np.concatenate([self.scores, np.zeros((max(1024, size, len(self.memory) - size), len(self.languages)), np.float32)])
+            self.scores[first : first + len(new)] = self._score(new)
+            found = list(map(self.memory.get, words))
+        return found
+
+    def _score(self, words: list[str]) -> np.ndarray:
+        """Per-language scores of words: the known ones' own, else those of the longest n-grams of which any is known."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        left = list(enumerate(words))
+        for n, (row, logs) in zip([0, *range(LONGEST, 0, -1)], self.tables, strict=True):
+            at, flat, starts, rest = [], [], [], []
+            for i, w in left:
+                known = [r for r in map(row.get, grams(w, n) if n else (w,)) if r is not None]
+                if known:
+                    at.append(i), starts.append(len(flat))
+                    flat += known
+                else:
+                    rest.append((i, w))
+            if at:
+                v = np.add.reduceat(logs[flat], starts, axis=0)
+                out[at] = (v - v.max(axis=1, keepdims=True)) / max(1, n)  # neighbouring n-grams share characters
+            left = rest
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text or ""))
         if not counts or not self.languages:
             return "und", 0.0
-        total = np.zeros(len(self.languages))
-        for w, k in counts.items():
-            total += k * self.word(w)
+        k = np.fromiter(counts.values(), np.float64, len(counts))
+        rows = self.rows(counts)
+        total = k @ self.scores[rows]
         n = sum(counts.values())
         e = np.exp((total - total.max()) / max(1.0, math.sqrt(n)))
         i = int(np.argmax(total))
@@ -124,7 +145,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score."""
-    model.memory = {}
+    model.forget()
     bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
