@@ -40,6 +40,8 @@ WINDOW, GRAM = 13, 4
 SHARD_BYTES = 8 << 20
 #: Documents looked at for hot anchors (1 of so many), the share of them that makes an anchor hot, and how many are kept.
 HOT_EVERY, HOT_SHARE, HOT_MAX = 64, 0.004, 4096
+#: Compression of what travels: zstd level, and the size and sample (pieces of so many characters) of its dictionary.
+LEVEL, DICTIONARY_BYTES, PIECES, PIECE = 6, 1 << 17, 2000, 2048
 
 _RANGES = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("ranges", pa.binary())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
@@ -136,18 +138,36 @@ def segments(words: tc.Words, window: int, gram: int, hot: np.ndarray):
     return least[first], at[first], count + window - 1
 
 
-def _pack(anchor, doc, tag, start, texts, cover) -> bytes:
+def dictionary(rows: DataFrame) -> bytes:
+    """A zstd dictionary from pieces of a sample: blobs shrink with the number of shards, and small ones compress badly alone.
+
+    It changes the bytes that travel, never the result; without enough pieces there is none.
+    """
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(HOT_EVERY)) == 0)
+    pieces = sample.select("doc_id", F.substring("text", 1, PIECE).alias("piece")).orderBy(F.xxhash64("doc_id"), "piece").limit(PIECES).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r["piece"].encode() for r in pieces if r["piece"]]).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
+
+
+def _codec(words: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    known = zstandard.ZstdCompressionDict(words) if words else None
+    return zstandard.ZstdCompressor(LEVEL, dict_data=known), zstandard.ZstdDecompressor(dict_data=known)
+
+
+def _pack(codec, anchor, doc, tag, start, texts, cover) -> bytes:
     """One compressed blob of segments and of ranges that are settled already."""
     cdoc, ctag, cstart, cn = cover
     parts = [
         struct.pack("<ii", len(doc), len(cdoc)), anchor.astype(np.uint32).tobytes(), np.diff(doc, prepend=0).astype(np.int64).tobytes(), tag.astype(np.uint16).tobytes(), start.astype(np.int32).tobytes(),
         np.diff(cdoc, prepend=0).astype(np.int64).tobytes(), ctag.astype(np.uint16).tobytes(), cstart.astype(np.int32).tobytes(), cn.astype(np.int32).tobytes(), b"\n".join(texts),
     ]
-    return zstandard.compress(b"".join(parts), 3)
+    return codec[0].compress(b"".join(parts))
 
 
-def _unpack(blob: bytes):
-    raw = zstandard.decompress(blob)
+def _unpack(codec, blob: bytes):
+    raw = codec[1].decompress(blob)
     n, m = struct.unpack_from("<ii", raw)
     at, out = 8, []
     for kind, k in ((np.uint32, n), (np.int64, n), (np.uint16, n), (np.int32, n), (np.int64, m), (np.uint16, m), (np.int32, m), (np.int32, m)):
@@ -157,18 +177,19 @@ def _unpack(blob: bytes):
     return out, raw[at:].split(b"\n") if n else []
 
 
-def _router(shards: int, window: int, gram: int, hot: np.ndarray):
+def _router(shards: int, window: int, gram: int, hot: np.ndarray, words_bc):
     schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
 
     def route(batches):
+        codec = _codec(words_bc.value)
         for batch in batches:
             texts = tc.column(batch, "text")
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in tc.slices(texts):
-                yield from one(texts[lo:hi], ids[lo:hi], tags[lo:hi])
+                yield from one(codec, texts[lo:hi], ids[lo:hi], tags[lo:hi])
 
-    def one(texts, ids, tags):
+    def one(codec, texts, ids, tags):
         words = tc.Words(texts, tc.PLAIN)
         key, first, n = segments(words, window, gram, hot)
         if not len(key):
@@ -199,13 +220,13 @@ def _router(shards: int, window: int, gram: int, hot: np.ndarray):
             o = order[cuts[s] : cuts[s + 1]]
             own, rest = o[ship[o]], o[~ship[o]]
             out_shard.append(s)
-            out_blob.append(_pack((key[own] >> np.uint64(32)), uid[own], utag[own], start[own], [body[i] for i in own.tolist()], (uid[rest], utag[rest], start[rest], n[rest])))
+            out_blob.append(_pack(codec, (key[own] >> np.uint64(32)), uid[own], utag[own], start[own], [body[i] for i in own.tolist()], (uid[rest], utag[rest], start[rest], n[rest])))
         yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(out_blob, pa.binary())], schema=schema)
 
     return route
 
 
-def _settle(window: int, buckets: int):
+def _settle(window: int, buckets: int, words_bc):
     """The task of a shard: automata over its reference segments.
 
     Gives the ranges of removed words, one blob for each bucket of documents: a
@@ -213,10 +234,11 @@ def _settle(window: int, buckets: int):
     """
 
     def settle(table: pa.Table) -> pa.Table:
+        codec = _codec(words_bc.value)
         docs, tags, starts, ns = [], [], [], []
         key, doc, tag, start, body = [], [], [], [], []
         for blob in table.column("blob").to_pylist():
-            (k, d, t, s, cd, ct, cs, cn), texts = _unpack(blob)
+            (k, d, t, s, cd, ct, cs, cn), texts = _unpack(codec, blob)
             docs.append(cd), tags.append(ct), starts.append(cs), ns.append(cn)
             key.append(k), doc.append(d), tag.append(t), start.append(s)
             body += texts
@@ -260,7 +282,8 @@ def _settle(window: int, buckets: int):
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts)).tolist()
         none = np.zeros(0, np.int64)
-        blobs = [_pack(none, none, none, none, [], (docs[o], tags[o], starts[o], ns[o])) for o in (order[cuts[x] : cuts[x + 1]] for x in full)]
+        plain = _codec(b"")
+        blobs = [_pack(plain, none, none, none, none, [], (docs[o], tags[o], starts[o], ns[o])) for o in (order[cuts[x] : cuts[x + 1]] for x in full)]
         return pa.table([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return settle
@@ -268,7 +291,8 @@ def _settle(window: int, buckets: int):
 
 def _gather(table: pa.Table) -> pa.Table:
     """All ranges of each document of a bucket."""
-    parts = [_unpack(x)[0][4:] for x in table.column("blob").to_pylist()]
+    plain = _codec(b"")
+    parts = [_unpack(plain, x)[0][4:] for x in table.column("blob").to_pylist()]
     docs, tags, starts, ns = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((starts, tags, docs))
     docs, tags = docs[order], tags[order]
@@ -332,9 +356,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = rows.where("doc_id is not null and text is not null")
     shards = shards or max(shuffle_partitions(docs), min(1 << 20, plan_bytes(docs) // SHARD_BYTES))
     hot = hot_anchors(known, window, gram)
+    words = docs.sparkSession.sparkContext.broadcast(dictionary(known))
     ranges = (
-        known.mapInArrow(_router(shards, window, gram, hot), "shard int, blob binary")
-        .groupBy("shard").applyInArrow(_settle(window, shuffle_partitions(docs)), "bucket int, blob binary")
+        known.mapInArrow(_router(shards, window, gram, hot, words), "shard int, blob binary")
+        .groupBy("shard").applyInArrow(_settle(window, shuffle_partitions(docs), words), "bucket int, blob binary")
         .groupBy("bucket").applyInArrow(_gather, "doc long, tag int, ranges binary")
     )
     joined = rows.join(ranges, (rows.doc_id == ranges.doc) & (rows.tag == ranges.tag), "left").select("doc_id", "text", "ranges")
