@@ -302,6 +302,20 @@ def test_pii_formats_and_links(spark):
     assert other != got[1].text
 
 
+def test_pii_phones_with_any_code(spark):
+    shapes = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (415) 155-2671", "+1 4150552671", "(212) 555-1234", "212-555-1234", "212.555.1234", "212 555-1234", "1-212-555-1234"]
+    got = [r.text for r in pii.pseudonymise(frame(spark, [(i, f"call {x}, now", "en", "s") for i, x in enumerate(shapes)])).orderBy("doc_id").collect()]
+    for old, new in zip(shapes, got, strict=True):
+        new = new[5:-5]
+        form = lambda x: "".join("d" if c.isdigit() else c for c in x)
+        digits = lambda x: "".join(filter(str.isdigit, x))[-10:]
+        valid = lambda x: (digits(x)[0] > "1", digits(x)[0] < "2" or digits(x)[3] > "1")
+        assert new != old and form(new) == form(old) and valid(new) == valid(old)
+    assert len({"".join(filter(str.isdigit, x))[-10:] for x in got[4:]}) == 1  # one number, however it is written
+    stay = ["2024-02-29123", "123-456-7890-1", "12345678901234567", "1234-456-7890", "212 555 1234"]
+    assert [r.text for r in pii.pseudonymise(frame(spark, [(i, x, "en", "s") for i, x in enumerate(stay)])).orderBy("doc_id").collect()] == stay
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 

@@ -5,7 +5,8 @@ Feistel network within their own format, so equal values stay linked across
 documents and the result is a valid value of the kind:
 
 * card numbers (13 to 19 digits, Luhn valid): the digits but the last are permuted, the check digit is computed
-* North American phones (+1 ...): area, exchange and line are permuted within the valid codes
+* North American phones (ten digits after +1, or domestic (ddd) ddd-dddd, ddd-ddd-dddd and the like): area, exchange and
+  line are permuted within the valid codes; numbers with an invalid area, or else exchange, within those that have one
 * IPv4 addresses (octets up to 255): permuted as one 32-bit number
 * social security numbers (valid areas): permuted within the valid numbers
 * ISO dates (valid days of 1800 to 2199): permuted among the days of these 400 years
@@ -39,7 +40,7 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 SHAPES = {
     "secret": r"(?i:token|secret|api_?key|password)[ ]?[=:][ ]?[\"'][A-Za-z0-9_\-]{16,128}[\"']",
     "email": r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "phone": r"\+1[ .\-]?\(?[2-9][0-9]{2}\)?[ .\-]?[2-9][0-9]{2}[ .\-]?[0-9]{4}",
+    "phone": r"(?:\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|(?:1[ .\-])?(?:\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?|[0-9]{3}[ .\-][0-9]{3}[.\-])[0-9]{4})",
     "ipv4": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
     "date": r"(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -105,11 +106,18 @@ def _card(x: Column, key: str) -> Column:
 
 
 def _phone(x: Column, key: str) -> Column:
-    d = F.substring(_digits(x), 2, 10)
-    left = F.substring(d, 1, 3).cast("long") - 200
-    right = (F.substring(d, 4, 3).cast("long") - 200) * 10000 + F.substring(d, 7, 4).cast("long")
-    p = feistel(left, right, _long(800), _long(8_000_000), key, "phone")
-    return F.transform(F.array(p), lambda q: _put(x, F.concat(F.lit("1"), (q["l"] + 200).cast("string"), F.lpad((q["r"] + 2_000_000).cast("string"), 7, "0")), "[0-9]"))[0]
+    """Three domains: valid area and exchange, area below 200, and exchange below 200 after a valid area."""
+    digits = _digits(x)
+    d = F.substring(digits, -10, 10)
+    area, rest = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 7).cast("long")
+    low_area, low_exchange = area < 200, rest < 2_000_000
+    first = F.when(low_area, _long(0)).otherwise(_long(200))
+    second = F.when(low_area | low_exchange, _long(0)).otherwise(_long(2_000_000))
+    a = F.when(low_area, _long(200)).otherwise(_long(800))
+    b = F.when(low_area, _long(10_000_000)).when(low_exchange, _long(2_000_000)).otherwise(_long(8_000_000))
+    p = feistel(area - first, rest - second, a, b, key, "phone")
+    new = lambda q: F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), F.lpad((q["l"] + first).cast("string"), 3, "0"), F.lpad((q["r"] + second).cast("string"), 7, "0"))
+    return F.transform(F.array(p), lambda q: _put(x, new(q), "[0-9]"))[0]
 
 
 def _ipv4(x: Column, key: str) -> Column:
@@ -186,7 +194,7 @@ def _kinds(key: str) -> list[tuple[str, Column, callable]]:
         return [
             ("secret", whole("secret"), _secret(x, key)),
             ("email", x.contains("@"), _email(x, key)),
-            ("phone", x.startswith("+1") & whole("phone"), _phone(x, key)),
+            ("phone", whole("phone"), _phone(x, key)),
             ("ipv4", whole("ipv4"), _ipv4(x, key)),
             ("date", whole("date") & F.try_to_date(x, "yyyy-MM-dd").isNotNull(), _date(x, key)),
             ("ssn", whole("ssn") & area.between(1, 899) & (area != 666) & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000"), _ssn(x, key)),
