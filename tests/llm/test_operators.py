@@ -316,6 +316,22 @@ def test_pii_phones_with_any_code(spark):
     assert [r.text for r in pii.pseudonymise(frame(spark, [(i, x, "en", "s") for i, x in enumerate(stay)])).orderBy("doc_id").collect()] == stay
 
 
+def test_pii_neighbours_hide_nothing(spark):
+    es, at, gb = "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32"
+    marks = "".join(map(chr, range(0xE000, 0xE006)))
+    texts = [f"{es} 2024", f"{at} IS", f"{gb} {es} 4111 1111 1111 1111", f"AT12 3456 7890 {es}", "2024-02-29T10:00:00Z", "2023-02-29T10:00:00Z 2024-02-29X", "ES91 4111 1111 1111 1111", f"{marks}2 {at} {marks}0 {es}."]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), kinds_col="found").collect()}
+    assert [got[i].found for i in range(len(texts))] == [["iban"], ["iban"], ["iban", "iban", "card"], ["iban"], ["date"], [], ["card"], ["iban", "iban"]]
+    mod = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
+    new = got[0].text[:29]
+    assert got[0].text == new + " 2024" and new != es and mod(new) == 1
+    assert got[1].text.endswith(" IS") and got[1].text[:20] != at and mod(got[1].text[:20]) == 1
+    assert got[2].text[28:57] == new and luhn(got[2].text[58:].replace(" ", "")) and got[3].text == f"AT12 3456 7890 {new}"
+    assert got[4].text.endswith("T10:00:00Z") and np.datetime64(got[4].text[:10]) != np.datetime64("2024-02-29")
+    assert got[5].text == texts[5]
+    assert got[7].text == f"{marks}2 {got[1].text[:20]} {marks}0 {new}."
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 

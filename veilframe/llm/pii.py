@@ -9,8 +9,9 @@ documents and the result is a valid value of the kind:
   line are permuted within the valid codes; numbers with an invalid area, or else exchange, within those that have one
 * IPv4 addresses (octets up to 255): permuted as one 32-bit number
 * social security numbers (valid areas): permuted within the valid numbers
-* ISO dates (valid days of 1800 to 2199): permuted among the days of these 400 years
-* IBANs (valid mod 97): the account digits are permuted, the check digits computed
+* ISO dates (valid days of 1800 to 2199), alone or before a time: permuted among the days of these 400 years
+* IBANs (valid mod 97): the account digits are permuted, the check digits computed; each start of an IBAN is tried at
+  its country's length first, so what stands before or after one neither hides it nor is hidden by it
 * mail addresses: letters and digits of the local part are replaced by a keyed digest of the same length
 * assigned secrets (token, key, secret, password = long value): hex or alphanumerics replaced by a keyed digest
 
@@ -22,7 +23,7 @@ The key is a parameter; without one, the session setting ``spark.veilframe.pii.k
 test key is used.  It becomes a literal of the plan.
 
 Nulls: a null text stays null; a null id is kept.  Empty texts stay empty;
-texts may hold the marks U+E000 to U+E002 that the scan uses (they are escaped).
+texts may hold the marks U+E000 to U+E004 that the scan uses (they are escaped).
 Repeated rows are each answered.  Columns other than the text are kept as they are.
 """
 
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from .frames import documents
 
 ROUNDS = 10
-_A, _B, _E = "\ue000", "\ue001", "\ue002"
+#: Around a candidate, escape, and around an IBAN that is permuted already.
+_A, _B, _E, _C, _D = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Shapes of candidates, most specific first; word boundaries are explicit.
 SHAPES = {
@@ -47,7 +49,16 @@ SHAPES = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})",
 }
-_SCAN = r"(?<![A-Za-z0-9_.%+\-])(?:" + "|".join(SHAPES.values()) + r")(?![A-Za-z0-9_]|[.\-][0-9])"
+#: Characters of an IBAN by country (SWIFT registry).
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9_.%+\-])", r"(?![A-Za-z0-9_]|[.\-][0-9])"
+_COUNTRIES = [rf"(?:{x.replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"[ ]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, x in IBAN_LENGTH.items()]
+#: At every start, overlapping ones too, what an IBAN there would be.
+_IBANS = rf"{_BEFORE}(?=((?:{'|'.join(_COUNTRIES)}){_AFTER}|{SHAPES['iban']}{_AFTER}))"
+_SCAN = rf"{_C}[^{_D}]*{_D}|{_BEFORE}(?:{'|'.join(v for k, v in SHAPES.items() if k != 'iban')}){_AFTER}|{_BEFORE}{SHAPES['date']}(?=[Tt][0-9])"
 
 
 def _digest(key: str, kind: str, *parts: Column) -> Column:
@@ -159,6 +170,18 @@ def _iban(x: Column, key: str) -> Column:
     return F.transform(F.array(body), lambda b: _put(x, whole(b), "[0-9A-Z]"))[0]
 
 
+def _iban_valid(x: Column) -> Column:
+    s = F.replace(x, F.lit(" "), F.lit(""))
+    return (F.length(s) >= 15) & (F.length(_digits(x)) >= 8) & (mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1)
+
+
+def _ibans(text: Column, key: str) -> Column:
+    """The text with its IBANs permuted, each between marks."""
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_IBANS), 1)), _iban_valid)
+    put = lambda t, x: F.regexp_replace(t, F.concat(F.lit(_BEFORE.replace("_", "_" + _C)), x, F.lit(_AFTER)), F.concat(F.lit(_C), _iban(x, key), F.lit(_D)))
+    return F.when(text.rlike(_IBANS), F.aggregate(found, text, put)).otherwise(text)
+
+
 def _letters(x: Column, key: str, kind: str) -> Column:
     """A keyed digest of the same length over the same classes: digits, lower and upper letters."""
     seed = F.concat(*[_digest(key, kind, F.lit(str(i)), x) for i in range(4)])
@@ -190,7 +213,6 @@ def _kinds(key: str) -> list[tuple[str, Column, callable]]:
         digits = _digits(x)
         whole = lambda name: x.rlike("^(?:" + SHAPES[name] + ")$")
         area = F.substring(x, 1, 3).cast("int")
-        s = F.replace(x, F.lit(" "), F.lit(""))
         return [
             ("secret", whole("secret"), _secret(x, key)),
             ("email", x.contains("@"), _email(x, key)),
@@ -198,7 +220,7 @@ def _kinds(key: str) -> list[tuple[str, Column, callable]]:
             ("ipv4", whole("ipv4"), _ipv4(x, key)),
             ("date", whole("date") & F.try_to_date(x, "yyyy-MM-dd").isNotNull(), _date(x, key)),
             ("ssn", whole("ssn") & area.between(1, 899) & (area != 666) & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000"), _ssn(x, key)),
-            ("iban", whole("iban") & (F.length(s) >= 15) & (F.length(digits) >= 8) & (mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1), _iban(x, key)),
+            ("iban", x.startswith(_C), F.translate(x, _C + _D, "")),
             ("card", whole("card") & digits.rlike("[1-9]") & (F.pmod(F.lit(10) - luhn_sum(F.substr(digits, F.lit(1), F.length(digits) - 1)) % 10, F.lit(10)) == F.substr(digits, F.length(digits), F.lit(1)).cast("int")), _card(x, key)),
         ]
 
@@ -219,12 +241,16 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None
     """The rows with the text's personal data replaced; ``kinds_col`` adds the kinds found, in order."""
     key = key or docs.sparkSession.conf.get("spark.veilframe.pii.key", "test-key")
     text = F.col(text_col)
-    marked = text.rlike(f"[{_A}-{_E}]")
-    escaped = F.when(marked, F.replace(F.replace(F.replace(text, F.lit(_E), F.lit(_E + "2")), F.lit(_A), F.lit(_E + "0")), F.lit(_B), F.lit(_E + "1"))).otherwise(text)
-    parts = F.split(F.regexp_replace(escaped, _SCAN, f"{_A}$0{_B}"), f"[{_A}{_B}]", -1)
+    marked = text.rlike(f"[{_A}-{_D}]")
+    escaped = F.when(marked, F.regexp_replace(F.replace(text, F.lit(_E), F.lit(_E + "2")), f"[{_A}{_B}{_C}{_D}]", f"{_E}$0")).otherwise(text)
+    escaped = F.when(marked, F.translate(escaped, _A + _B + _C + _D, "0134")).otherwise(escaped)
+    parts = F.split(F.regexp_replace(_ibans(escaped, key), _SCAN, f"{_A}$0{_B}"), f"[{_A}{_B}]", -1)
     pairs = F.transform(parts, lambda x, i: F.when(i % 2 == 1, _kind_and_value(key)(x)).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value"))))
     joined = F.array_join(F.transform(F.col("__pii"), lambda p: p["value"]), "")
-    restored = F.when(marked, F.replace(F.replace(F.replace(joined, F.lit(_E + "0"), F.lit(_A)), F.lit(_E + "1"), F.lit(_B)), F.lit(_E + "2"), F.lit(_E))).otherwise(joined)
+    back = joined
+    for mark, c in ((_A, "0"), (_B, "1"), (_C, "3"), (_D, "4"), (_E, "2")):
+        back = F.replace(back, F.lit(_E + c), F.lit(mark))
+    restored = F.when(marked, back).otherwise(joined)
     possible = text.rlike("[0-9@]|(?i:secret|password|token|key)")
     out = docs.withColumn("__pii", F.when(possible, pairs))
     kinds = F.coalesce(F.filter(F.transform(F.col("__pii"), lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
