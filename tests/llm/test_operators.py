@@ -230,6 +230,15 @@ def test_keep_one(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter(want)
 
 
+def test_keep_one_knows_rows_by_text_too(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(7, a, "en", "s"), (7, b, "en", "s"), (7, c, "en", "s"), (7, c, "en", "s"), (7, c, "de", "s"), (3, b, "en", "s"), (None, a, "en", "s")]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert got == Counter([(7, a), (3, b), (7, c)])  # b went with id 3, and takes neither a nor c along
+    again = [sorted(map(tuple, simhash.keep_one(frame(spark, x).repartition(n)).collect())) for x, n in ((rows, 3), (rows[::-1], 1))]
+    assert again[0] == again[1]
+
+
 def test_bpe_equals_tiktoken(spark):
     import public_tokenizers as P
     import tiktoken

@@ -36,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -84,12 +84,15 @@ def _fingerprints(batches):
                 count = np.add.reduceat(bits, np.append(0, np.cumsum(sizes)[:-1]), axis=0, dtype=np.int32)
                 one = (2 * count > np.array(sizes)[:, None]).astype(np.uint8)
                 out[owner] = np.packbits(one, axis=1, bitorder="little").view(np.uint64).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            given = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n)[lo:hi] for n in given), pa.array(out.view(np.int64))], names=[*given, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longs: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns ``longs`` and fp (the 64 bits as a signed long) of every row."""
+    longs = longs or []
+    schema = ", ".join(f"{n} long" for n in ["doc_id", *longs, "fp"])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *longs, F.col(text_col).alias("text")).mapInArrow(_fingerprints, schema)
 
 
 def _keys(fp: np.ndarray, positions: tuple[int, ...], number: int) -> np.ndarray:
@@ -214,28 +217,37 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
+def _components(rows: DataFrame, first: Column, index_bytes: int | None = None) -> DataFrame:
+    """(fp, first): for each distinct fingerprint the least ``first`` of its component's rows."""
+    distinct = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    member = components(links(distinct, index_bytes))
+    rooted = distinct.join(member, distinct.fp == member.a, "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return rooted.join(least, "root").select("fp", "root", F.col("least").alias("first"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (smallest id reachable)."""
     rows = written(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    member = components(links(distinct, index_bytes))
-    rooted = distinct.join(member, distinct.fp == member.a, "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    answer = rooted.join(least, "root").select("fp", "component_id")
+    answer = _components(rows, F.col("doc_id"), index_bytes).select("fp", F.col("first").alias("component_id"))
     return rows.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns it has.
+    """One row of each component with the columns it has: that of the smallest id, text hash and row hash.
 
-    A row with a null id is known by a hash of its text, above any usual id; of
-    rows that repeat an id one stays.
+    An id may repeat with other texts: rows are known by all three.  A row with a
+    null id is known by a hash of its text, above any usual id; of rows that are
+    equal in all columns (maps aside) one stays.
     """
     uid = F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit("null id"), F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62)))
-    found = near_dedup(docs.select(uid.alias("uid"), F.col(text_col).alias("body")), "uid", "body")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__uid")).distinct()
-    first = Window.partitionBy("__uid").orderBy("__uid")
-    return docs.withColumn("__uid", uid).join(keep, "__uid").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    ids = {"__uid": uid, "__text": F.xxhash64(F.col(text_col)), "__row": whole}
+    rows = written(fingerprints(docs.select(*[x.alias(n) for n, x in ids.items()], F.col(text_col).alias("body")), "__uid", "body", ["__text", "__row"]), "simhash-fingerprints")
+    found = _components(rows, F.struct("doc_id", "__text", "__row"))
+    keep = found.where("fp = root").select(F.col("first.doc_id").alias("__uid"), "first.__text", "first.__row")
+    equal = Window.partitionBy(*ids).orderBy("__uid")
+    return docs.withColumns(ids).join(keep, list(ids)).withColumn("__n", F.row_number().over(equal)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash_near_dedup(spark, sf_dir):
