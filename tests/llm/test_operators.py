@@ -407,6 +407,14 @@ def test_classifiers_on_held_out_rows(spark, query, label, low):
     assert np.mean([r.predicted == marks[r.doc_id] for r in held]) >= low
 
 
+def test_training_takes_labelled_rows_however_few(spark):
+    rows = [(i, f"row {i} " + "x" * 92, "en", "s") for i in range(20_000)]
+    labels = spark.createDataFrame([(i, i // 400 % 2) for i in range(0, 20_000, 400)] + [(3, None), (None, 1), (99_999, 1)], "doc_id long, quality int")
+    for max_bytes, low, high in ((6000, 50, 50), (2000, 5, 45)):
+        texts, marks = quality_classifier.train(frame(spark, rows), labels, "quality", max_bytes=max_bytes)
+        assert low <= len(texts) <= high and set(marks.tolist()) == {0, 1} and all(int(t.split()[1]) % 400 == 0 for t in texts)
+
+
 def test_classifier_edges(spark):
     empty_model = quality_classifier.Classifier().fit([], np.zeros(0, np.int64))
     rows = [(1, None, None, None), (2, "", "", ""), (None, "word " * 50_000, "", "")]

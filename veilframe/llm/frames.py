@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,23 @@ def arrow_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def _share(size: Column, max_bytes: float) -> Column:
+    return F.coalesce(F.least(F.lit(1.0), F.lit(float(max_bytes)) / F.greatest(F.sum(size), F.lit(1))), F.lit(1.0))
+
+
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
+
+
+def sampled(df: DataFrame, size: Column, key: str, max_bytes: int) -> DataFrame:
+    """Rows that stand for about ``max_bytes`` by their ``size``, chosen by a hash of ``key``.
+
+    The choice depends on the rows alone, so a rerun or a retried task takes the
+    same rows.  Only classifiers are fitted on such samples.
+    """
+    return df.where(_place(key) < df.agg(_share(size, max_bytes).alias("s")).first()["s"])
+
+
 def byte_sample(df: DataFrame, text: str, key: str, max_bytes: int, by: list[str] | None = None) -> DataFrame:
     """Rows of about ``max_bytes`` of text in all (of each ``by`` group), chosen by a hash of ``key``.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .frames import byte_sample, documents
+from .frames import documents, sampled, written
 
 TRAIN_BYTES, VOCABULARY, MIN_COUNT = 10 << 20, 20_000, 3
 DIM, NONZERO, REACH, HIDDEN, EPOCHS = 128, 8, 2, 32, 80
@@ -165,15 +165,17 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of a bounded sample of labelled rows, in the order of the ids' hashes.
+    """Texts and 0/1 labels of labelled rows of ``max_bytes`` of text, in the order of the ids' hashes.
 
-    Ids are sampled before texts are fetched: no text is shuffled but the sample's.
+    The bytes of the labelled rows alone are measured, by id, and their ids are
+    sampled; texts are then fetched by the sample's ids, so none is shuffled.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("mark_id"), F.col(target).cast("int").alias("mark")).where("mark_id is not null and mark in (0, 1)")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    sample = byte_sample(rows, "text", "doc_id", 3 * max_bytes)  # a part of the rows is labelled
-    found = sample.join(marks, F.col("doc_id") == F.col("mark_id")).select("doc_id", "text", "mark")
-    got = byte_sample(found.withColumn("key", F.xxhash64(F.lit("second"), "doc_id")), "text", "key", max_bytes).select("doc_id", "text", "mark").toArrow().to_pylist()
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    labelled = written(marks.join(sizes, F.col("mark_id") == F.col("doc_id")).select("mark_id", "mark", "bytes"), "labelled-ids")
+    chosen = sampled(labelled, F.col("bytes"), "mark_id", max_bytes).select("mark_id", "mark")
+    got = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("mark_id")).select("doc_id", "text", "mark").toArrow().to_pylist()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["text"], r["mark"]))
     return [r["text"] for r in got], np.array([r["mark"] for r in got], np.int64)
 
