@@ -384,6 +384,18 @@ def test_quality_cutoffs_are_exact_binomial(spark):
     assert all(r.kept for r in quality_rules.quality_rules(frame(spark, bad), labels.limit(0)).collect())
 
 
+def test_language_id_learns_every_language(spark):
+    names = [f"a{i:03}" for i in range(150)] + ["zh"]
+    rows = [(i * 10 + k, f"{x}wort {x}satz".translate(str.maketrans("0123456789", "bcdfghjkmn")), x, "s") for i, x in enumerate(names) for k in range(3)]
+    model = language_id.train(frame(spark, rows))
+    assert model.languages == names and [model.predict(r[1])[0] for r in rows] == [r[2] for r in rows]
+    model.most, model.step = 5, 2
+    model.forget()
+    assert [model.predict(f"{a[1]} {b[1]} {b[1]}")[0] for a, b in zip(rows[3:], rows)] == [b[2] for b in rows[:-3]]
+    limited = {f"a{i:03}": Counter({f"w{i}x{k}": 1 for k in range(9)}) for i in range(language_id.LANGUAGES * 2)}
+    assert len(language_id.Model(limited).languages) == language_id.LANGUAGES * 2
+
+
 def test_language_id(spark):
     got = {r.doc_id: r for r in language_id.op3_language_id(spark, "/root/testdata/sf0.01").collect()}
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

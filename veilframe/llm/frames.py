@@ -65,22 +65,13 @@ def sampled(df: DataFrame, size: Column, key: str, max_bytes: int) -> DataFrame:
     return df.where(_place(key) < df.agg(_share(size, max_bytes).alias("s")).first()["s"])
 
 
-def byte_sample(df: DataFrame, text: str, key: str, max_bytes: int, by: list[str] | None = None) -> DataFrame:
-    """Rows of about ``max_bytes`` of text in all (of each ``by`` group), chosen by a hash of ``key``.
+def group_sample(df: DataFrame, text: str, key: str, max_bytes: int, by: str, full: int) -> DataFrame:
+    """As ``sampled``, rows of about ``max_bytes`` of text of each ``by`` group, none of which is null or left out.
 
-    The choice depends on the rows alone, so a rerun or a retried task takes the
-    same rows.  Only classifiers are fitted on such samples.
+    Above ``full`` groups they share the bytes that so many would get.
     """
-    share = F.least(F.lit(1.0), F.lit(float(max_bytes)) / F.greatest(F.sum(F.octet_length(text)), F.lit(1)))
-    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
-    if not by:
-        limit = df.agg(share.alias("s")).first()["s"] or 1.0
-        return df.where(h < limit)
-    shares = {tuple(r[c] for c in by): r["s"] for r in df.groupBy(*by).agg(share.alias("s")).limit(4096).collect()}
-    keep = F.lit(False)
-    for values, s in shares.items():
-        match = F.lit(True)
-        for c, v in zip(by, values, strict=True):
-            match = match & F.col(c).eqNullSafe(F.lit(v))
-        keep = keep | (match & (h < F.lit(s or 1.0)))
-    return df.where(keep)
+    sizes = df.groupBy(by).agg(F.sum(F.octet_length(text)).alias("size")).collect()
+    each = max_bytes * min(1.0, full / max(1, len(sizes)))
+    shares = [(r[by], min(1.0, each / max(r["size"] or 0, 1))) for r in sizes]
+    table = df.sparkSession.createDataFrame(shares, "__by string, __share double")
+    return df.join(F.broadcast(table), F.col(by) == F.col("__by")).where(_place(key) < F.col("__share")).select(*df.columns)
