@@ -384,6 +384,14 @@ def test_quality_cutoffs_are_exact_binomial(spark):
     assert all(r.kept for r in quality_rules.quality_rules(frame(spark, bad), labels.limit(0)).collect())
 
 
+def test_quality_cutoffs_of_every_stratum(spark):
+    good = [(s * 1000 + i, f"{s} plain words of good prose that stand in row {i} here", f"l{s:03}", "s") for s in range(70) for i in range(700)]
+    bad = [(100_000 + s, "### ### ### junk junky words of the row stand in here", f"l{s:03}", "s") for s in range(70)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100_000)) for r in good + bad], "doc_id long, quality int")
+    out = quality_rules.quality_rules(frame(spark, good + bad), labels).collect()
+    assert Counter((r.doc_id < 100_000, r.kept) for r in out) == {(True, True): len(good), (False, False): len(bad)}
+
+
 def test_language_id_learns_every_language(spark):
     names = [f"a{i:03}" for i in range(150)] + ["zh"]
     rows = [(i * 10 + k, f"{x}wort {x}satz".translate(str.maketrans("0123456789", "bcdfghjkmn")), x, "s") for i, x in enumerate(names) for k in range(3)]

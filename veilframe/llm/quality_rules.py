@@ -12,8 +12,8 @@ the cutoff that rejects most bad documents is taken; without evidence (few
 labels, none accepted, nothing bad beyond it) a measure rejects nothing.
 
 The measures, not the texts, are joined with the labels.  Counts per (stratum,
-measure, candidate) are aggregated over all labelled rows; what reaches the driver is a table of at most strata x measures x candidates
-rows.  Strata beyond the ``STRATA`` most frequent labelled ones get no cutoffs.
+measure, candidate) are aggregated over all labelled rows; what reaches the driver is one row for each labelled stratum, however many
+there are, and the accepted cutoffs are joined back as a small table.
 
 Nulls: a null text has no words and fails; a null stratum is a stratum of its
 own; a null label is no label; an id with several labels counts with each;
@@ -33,7 +33,7 @@ from . import textcore as tc
 from .frames import documents
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
-ALPHA, DELTA, STRATA = 0.02, 0.05, 64
+ALPHA, DELTA = 0.02, 0.05
 #: Candidate cutoffs; a document is rejected if its measure is above (below, for word length) the cutoff.
 CANDIDATES = {
     "symbol_ratio": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0],
@@ -125,7 +125,7 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
     known = measures.where("not base_failed").join(marks, "doc_id")
     cells = [((m, c), F.count_if((_ratios()[m] > c) & (F.col("quality") == q)).alias(f"{m}|{i}|{q}"), q) for m, cs in CANDIDATES.items() for i, c in enumerate(cs) for q in (0, 1)]
-    rows = known.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("good"), *(x[1] for x in cells)).orderBy(F.desc("good"), "stratum").limit(STRATA).collect()
+    rows = known.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("good"), *(x[1] for x in cells)).collect()
     tests = max(1, len(rows) * sum(map(len, CANDIDATES.values())))
     out = {}
     for r in rows:
@@ -148,9 +148,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def _verdict(measures: DataFrame, cutoffs: dict) -> DataFrame:
     measures = measures if "base_failed" in measures.columns else _base_failed(measures)
-    failed = [F.when(F.col("stratum").eqNullSafe(F.lit(s)) & (_ratios()[m] > c), F.lit(m)) for (s, m), c in sorted(cutoffs.items(), key=str)]
+    names, kinds = sorted(CANDIDATES), sorted({m for _, m in cutoffs})
+    given = measures.columns
+    if cutoffs:  # one row for each stratum with a cutoff, beside its documents
+        strata = sorted({s for s, _ in cutoffs}, key=str)
+        table = measures.sparkSession.createDataFrame([(s, *(cutoffs.get((s, m)) for m in names)) for s in strata], ", ".join(["__stratum string", *(f"__{m} double" for m in names)]))
+        measures = measures.join(F.broadcast(table), F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
+    failed = [F.when(_ratios()[m] > F.col(f"__{m}"), F.lit(m)) for m in kinds]
     rules = F.filter(F.array(F.when(F.col("base_failed"), F.lit("base")), *failed), lambda x: x.isNotNull())
-    return measures.withColumn("failed_rules", rules).withColumn("kept", F.size("failed_rules") == 0)
+    return measures.withColumn("failed_rules", rules).withColumn("kept", F.size("failed_rules") == 0).select(*given, "failed_rules", "kept")
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
