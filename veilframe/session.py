@@ -28,13 +28,30 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the folder that all executors share, read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/veilframe-checkpoints"
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``; the JVM removes it when it ends.
+
+    Only a local session without that setting (tests, the bench) takes a local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir() + "/veilframe-checkpoints"
     path = f"{base.rstrip('/')}/veilframe/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in a shared folder, read back: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession, name)}/table"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
