@@ -2,50 +2,50 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored as written
+
+__all__ = ["documents", "group_sample", "join_by_key", "parts_for", "plan_bytes", "sampled", "shuffle_partitions", "written"]
+
+#: Input bytes that one task of a shuffle sized by the input takes.
+TASK_BYTES = 32 << 20
+#: Keys of a join that are broadcast because more rows have them than any other key.
+HOT_KEYS = 4096
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's bytes (file sizes, for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Catalyst's estimate of a frame's bytes (file sizes, for a scan); measured where it has none."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < 1 << 55 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share, below spark.checkpoint.dir.
-
-    Only where that setting is absent (local tests) a local folder is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/veilframe-checkpoints"
-    return f"{base.rstrip('/')}/veilframe/{name}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/veilframe-checkpoints")
+def parts_for(df: DataFrame, size: float) -> int:
+    """Partitions for a shuffle of so many bytes: the session's number, more where a task would take over ``TASK_BYTES``."""
+    return max(shuffle_partitions(df), min(1 << 20, int(size) // TASK_BYTES))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, read back: lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join with a stored table of one row for each key; ``weight`` is how many of the rows have the key.
 
-
-def arrow_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    The ``HOT_KEYS`` heaviest keys are broadcast, so a key that holds a large
+    share of the rows is joined where they are; any other key holds less than
+    one in ``HOT_KEYS`` of them and is shuffled.
+    """
+    given = [c for c in table.columns if c not in (key, weight)]
+    hot = table.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key, F.struct(*given).alias("__hot"))
+    near = rows.join(F.broadcast(hot), key, "left")
+    cold = near.where("__hot is null").drop("__hot").join(table.select(key, F.struct(*given).alias("__hot")), key)
+    return near.where("__hot is not null").unionByName(cold).select(*rows.columns, "__hot.*")
 
 
 def _share(size: Column, max_bytes: float) -> Column:
