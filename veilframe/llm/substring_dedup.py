@@ -3,23 +3,33 @@
 A window is ``window`` consecutive words of one document.  A word is removed if
 a window over it also starts in a document with a smaller id.
 
-Sending every shard's automaton to every task would cost shards x documents, so
-the corpus is routed first: each window belongs to the smallest hash (anchor)
-among its ``gram``-word pieces, consecutive windows with one anchor form a
-segment, and a segment goes to the shard of its anchor.  Equal windows have
-equal anchors, so a shard's automata see every occurrence.  In a shard the
-reference segments are added to a word-level suffix automaton by ascending id,
-and each segment is streamed against the automaton of the smaller ids: its
-matching statistics of ``window`` and more are the spans to remove.
-
-Hot groups: within a slice of input equal segments are settled on the spot and
-only the smallest id travels, so a passage held by a third of all documents
-costs one row per slice.  Anchors that many documents hold (found on a sample;
+Every document is reference for those with larger ids, so the reference is the
+corpus itself: broadcasting each shard's automaton to every task would cost
+shards x documents.  The corpus is routed instead, so that a shard's automata
+meet just the text that can match them: each window belongs to the smallest
+hash (anchor) among its ``gram``-word pieces, consecutive windows with one
+anchor form a segment, and a segment goes to the shard of its anchor.  Equal
+windows have equal anchors, so a shard's automata see every occurrence.  In a
+shard the reference segments are added to a word-level suffix automaton by
+ascending id, and each segment is streamed against the automaton of the smaller
+ids: the spans whose matching statistics are ``window`` or more are removed.
+Nothing else decides what is removed.
+
+Hot groups: within a slice of input a segment's text travels once, with the
+places of all its occurrences, so a passage held by a third of all documents
+costs one text per slice.  Anchors that many documents hold (found on a sample;
 this changes the routing only, never the result) are routed window by window.
+The number of shards, buckets and tasks follows from the bytes of the input.
+
+A span comes back to its row by the id and a tag of the text's hash, which
+splits rows that repeat an id, and is applied only where the words at its place
+have the span's hash: whether words go depends on the id and the words alone,
+so a span that fits another row of the same id is right for that row too.
 
 Nulls: a null text has no words; a row with a null id is neither a reference
 nor changed.  Rows that repeat an id are one document: they remove nothing of
-each other.  Other columns of the input are not read.
+each other.  Rows that are equal are each answered.  An empty table gives no
+rows.  A very long text is a slice of its own.  Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -28,22 +38,26 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .frames import documents, plan_bytes, shuffle_partitions
+from .frames import documents, parts_for, plan_bytes
 
 WINDOW, GRAM = 13, 4
 #: Parquet bytes of input per shard: bounds what one automaton task holds.
 SHARD_BYTES = 8 << 20
+#: Bytes that travel for a byte of input: segments and their places, and documents with their spans.
+ROUTED, JOINED = 3.0, 2.0
 #: Documents looked at for hot anchors (1 of so many), the share of them that makes an anchor hot, and how many are kept.
 HOT_EVERY, HOT_SHARE, HOT_MAX = 64, 0.004, 4096
 #: Compression of what travels: zstd level, and the size and sample (pieces of so many characters) of its dictionary.
 LEVEL, DICTIONARY_BYTES, PIECES, PIECE = 6, 1 << 17, 2000, 2048
 
 _RANGES = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("ranges", pa.binary())])
+_SPAN = np.dtype([("start", "<i4"), ("n", "<i4"), ("hash", "<u8")])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
@@ -156,25 +170,37 @@ def _codec(words: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecomp
     return zstandard.ZstdCompressor(LEVEL, dict_data=known), zstandard.ZstdDecompressor(dict_data=known)
 
 
-def _pack(codec, anchor, doc, tag, start, texts, cover) -> bytes:
-    """One compressed blob of segments and of ranges that are settled already."""
-    cdoc, ctag, cstart, cn = cover
-    parts = [
-        struct.pack("<ii", len(doc), len(cdoc)), anchor.astype(np.uint32).tobytes(), np.diff(doc, prepend=0).astype(np.int64).tobytes(), tag.astype(np.uint16).tobytes(), start.astype(np.int32).tobytes(),
-        np.diff(cdoc, prepend=0).astype(np.int64).tobytes(), ctag.astype(np.uint16).tobytes(), cstart.astype(np.int32).tobytes(), cn.astype(np.int32).tobytes(), b"\n".join(texts),
-    ]
-    return codec[0].compress(b"".join(parts))
+_OWN = (("anchor", np.uint32), ("doc", np.int64), ("tag", np.uint16), ("start", np.int32))
+_REST = (("doc", np.int64), ("tag", np.uint16), ("start", np.int32), ("entry", np.int64))
+_FOUND = (("doc", np.int64), ("tag", np.uint16), ("start", np.int32), ("n", np.int32), ("hash", np.uint64))
+
+
+def _pack(codec, *parts) -> bytes:
+    """One compressed blob of column groups and byte strings; ``doc`` and ``entry`` travel as differences."""
+    out = []
+    for part in parts:
+        if isinstance(part, list):
+            out.append(b"\n".join(part))
+            continue
+        layout, columns = part
+        out.append(struct.pack("<i", len(columns[0])))
+        out += [(np.diff(c, prepend=0) if name in ("doc", "entry") else c).astype(kind).tobytes() for (name, kind), c in zip(layout, columns, strict=True)]
+    return codec[0].compress(b"".join(out))
 
 
-def _unpack(codec, blob: bytes):
-    raw = codec[1].decompress(blob)
-    n, m = struct.unpack_from("<ii", raw)
-    at, out = 8, []
-    for kind, k in ((np.uint32, n), (np.int64, n), (np.uint16, n), (np.int32, n), (np.int64, m), (np.uint16, m), (np.int32, m), (np.int32, m)):
-        out.append(np.frombuffer(raw, kind, k, at))
-        at += out[-1].nbytes
-    out[1], out[4] = np.cumsum(out[1]), np.cumsum(out[4])
-    return out, raw[at:].split(b"\n") if n else []
+def _unpack(codec, blob: bytes, *layouts):
+    """The column groups of a blob and what follows them."""
+    raw, at, out = codec[1].decompress(blob), 0, []
+    for layout in layouts:
+        (n,) = struct.unpack_from("<i", raw, at)
+        at += 4
+        group = {}
+        for name, kind in layout:
+            c = np.frombuffer(raw, kind, n, at)
+            at += c.nbytes
+            group[name] = np.cumsum(c) if name in ("doc", "entry") else c
+        out.append(group)
+    return out, raw[at:]
 
 
 def _router(shards: int, window: int, gram: int, hot: np.ndarray, words_bc):
@@ -206,12 +232,12 @@ def _router(shards: int, window: int, gram: int, hot: np.ndarray, words_bc):
             for i in np.flatnonzero(upto[first + n - 1] - upto[first]).tolist():
                 body[i] = b" ".join(body[i].split())
         uid, utag = ids[doc], tags[doc]
-        least: dict[bytes, int] = {}
-        for x, d in zip(body, uid.tolist(), strict=True):
-            if d < least.get(x, d + 1):
-                least[x] = d
-        owner = np.fromiter(map(least.__getitem__, body), np.int64, len(body))
-        ship = uid == owner
+        number: dict[bytes, int] = {}
+        code = np.fromiter((number.setdefault(x, len(number)) for x in body), np.int64, len(body))
+        owner = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(owner, code, uid)
+        ship = uid == owner[code]
+        place = np.zeros(len(number), np.int64)
         shard = (key % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((first, ~ship, shard))
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -219,89 +245,125 @@ def _router(shards: int, window: int, gram: int, hot: np.ndarray, words_bc):
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             o = order[cuts[s] : cuts[s + 1]]
             own, rest = o[ship[o]], o[~ship[o]]
+            place[code[own[::-1]]] = np.arange(len(own))[::-1]
             out_shard.append(s)
-            out_blob.append(_pack(codec, (key[own] >> np.uint64(32)), uid[own], utag[own], start[own], [body[i] for i in own.tolist()], (uid[rest], utag[rest], start[rest], n[rest])))
+            out_blob.append(_pack(codec, (_OWN, (key[own] >> np.uint64(32), uid[own], utag[own], start[own])), (_REST, (uid[rest], utag[rest], start[rest], place[code[rest]])), [body[i] for i in own.tolist()]))
         yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(out_blob, pa.binary())], schema=schema)
 
     return route
 
 
+def _runs(ends: list[int], window: int) -> list[tuple[int, int]]:
+    """(first word, number of words) of the spans that windows ending at these words cover."""
+    out: list[tuple[int, int]] = []
+    for e in ends:
+        if out and e <= out[-1][0] + out[-1][1]:
+            out[-1] = out[-1][0], e + 1 - out[-1][0]
+        else:
+            out.append((e - window + 1, window))
+    return out
+
+
+def _spans(rows: list[int], doc, body: list[bytes], copied, window: int):
+    """(row, of its copies?, first word, number of words, hash) of every span to remove of one anchor's segments, given by ascending id."""
+    automaton, i = SuffixAutomaton(), 0
+
+    def statistics(seq):
+        return [e for e, m in enumerate(automaton.matching(seq)) if m >= window]
+
+    def told(r, copies, seq, ends):
+        for at, n in _runs(ends, window):
+            yield r, copies, at, n, xxhash.xxh64_intdigest(b" ".join(seq[at : at + n]))
+
+    while i < len(rows):
+        j = i
+        while j < len(rows) and doc[rows[j]] == doc[rows[i]]:
+            j += 1
+        seen: dict[bytes, tuple[list[bytes], list[int]]] = {}
+        for r in rows[i:j]:  # a document is streamed against smaller ids before it is added
+            if body[r] not in seen:
+                seq = body[r].split(b" ")
+                seen[body[r]] = seq, statistics(seq)
+            yield from told(r, False, *seen[body[r]])
+        for seq, ends in seen.values():
+            if len(ends) < len(seq) - window + 1:
+                automaton.add(seq)
+        for r in rows[i:j]:  # the same text under larger ids of the slice
+            if copied[r]:
+                seq = seen[body[r]][0]
+                yield from told(r, True, seq, statistics(seq))
+        i = j
+
+
 def _settle(window: int, buckets: int, words_bc):
     """The task of a shard: automata over its reference segments.
 
-    Gives the ranges of removed words, one blob for each bucket of documents: a
+    Gives the spans of removed words, one blob for each bucket of documents: a
     document meets many shards, so a row for each pair of the two is avoided.
     """
 
     def settle(table: pa.Table) -> pa.Table:
-        codec = _codec(words_bc.value)
-        docs, tags, starts, ns = [], [], [], []
-        key, doc, tag, start, body = [], [], [], [], []
+        codec, plain = _codec(words_bc.value), _codec(b"")
+        own, rest, body = [], [], []
         for blob in table.column("blob").to_pylist():
-            (k, d, t, s, cd, ct, cs, cn), texts = _unpack(codec, blob)
-            docs.append(cd), tags.append(ct), starts.append(cs), ns.append(cn)
-            key.append(k), doc.append(d), tag.append(t), start.append(s)
-            body += texts
-        key, doc, tag, start = (np.concatenate(x) for x in (key, doc, tag, start))
-        order = np.lexsort((doc, key))
-        cuts = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order))
-        lone = doc[order][cuts[:-1]] == doc[order][cuts[1:] - 1] if len(order) else np.zeros(0, bool)
-        hit_row, hit_at, hit_n = [], [], []
-        for g in np.flatnonzero(~lone).tolist():
-            rows = order[cuts[g] : cuts[g + 1]].tolist()
-            smallest: dict[bytes, int] = {}
-            for r in rows:  # by ascending id
-                smallest.setdefault(body[r], doc[r])
-            automaton, i = SuffixAutomaton(), 0
-            if len(smallest) == 1:
-                automaton = None
-            while i < len(rows):
-                j = i
-                while j < len(rows) and doc[rows[j]] == doc[rows[i]]:
-                    j += 1
-                fresh = {}
-                for r in rows[i:j]:
-                    text = body[r]
-                    if smallest[text] != doc[r]:
-                        hit_row.append(r), hit_at.append(0), hit_n.append(text.count(b" ") + 1)
-                    elif automaton is not None:
-                        if text not in fresh:
-                            seq = text.split(b" ")
-                            fresh[text] = seq, [e for e, m in enumerate(automaton.matching(seq)) if m >= window]
-                        for e in fresh[text][1]:
-                            hit_row.append(r), hit_at.append(e - window + 1), hit_n.append(window)
-                for seq, found in fresh.values():
-                    if len(found) < len(seq) - window + 1:
-                        automaton.add(seq)
-                i = j
-        hit_row = np.array(hit_row, np.int64)
-        docs.append(doc[hit_row]), tags.append(tag[hit_row]), starts.append(start[hit_row] + np.array(hit_at, np.int32)), ns.append(np.array(hit_n, np.int32))
-        docs, tags, starts, ns = (np.concatenate(x) for x in (docs, tags, starts, ns))
-        bucket = (tc.mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((starts, tags, docs, bucket))
+            (o, c), texts = _unpack(codec, blob, _OWN, _REST)
+            c["entry"] = c["entry"] + len(body)
+            own.append(o), rest.append(c)
+            body += texts.split(b"\n") if len(o["doc"]) else []
+        own, rest = ({k: np.concatenate([x[k] for x in parts]) for k in parts[0]} for parts in (own, rest))
+        by_entry = np.argsort(rest["entry"], kind="stable")
+        copies = np.searchsorted(rest["entry"][by_entry], np.arange(len(body) + 1))
+        copied = np.diff(copies) > 0
+        order = np.lexsort((own["doc"], own["anchor"]))
+        anchor, doc = own["anchor"][order], own["doc"][order]
+        cuts = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(order))
+        met = (doc[cuts[:-1]] != doc[cuts[1:] - 1]) | np.logical_or.reduceat(copied[order], cuts[:-1])
+        found = [x for g in np.flatnonzero(met).tolist() for x in _spans(order[cuts[g] : cuts[g + 1]].tolist(), own["doc"], body, copied, window)]
+        row, copy, at, n, digest = (np.array([x[i] for x in found], kind) for i, kind in enumerate((np.int64, bool, np.int32, np.int32, np.uint64)))
+        size = np.where(copy, (copies[1:] - copies[:-1])[row], 1) if len(row) else np.zeros(0, np.int64)
+        which = np.repeat(np.arange(len(row)), size)  # each span once for each place that has it
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        as_copy = copy[which]
+        at_rest = by_entry[np.where(as_copy, copies[row[which]] + nth, 0)] if len(by_entry) else np.zeros(len(which), np.int64)
+        pick = lambda k: np.where(as_copy, rest[k][at_rest], own[k][row[which]]) if len(by_entry) else own[k][row[which]]
+        out = dict(doc=pick("doc"), tag=pick("tag"), start=pick("start") + at[which], n=n[which], hash=digest[which])
+        bucket = (tc.mix(out["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((out["start"], out["tag"], out["doc"], bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts)).tolist()
-        none = np.zeros(0, np.int64)
-        plain = _codec(b"")
-        blobs = [_pack(plain, none, none, none, none, [], (docs[o], tags[o], starts[o], ns[o])) for o in (order[cuts[x] : cuts[x + 1]] for x in full)]
+        blobs = [_pack(plain, (_FOUND, [out[k][o] for k, _ in _FOUND])) for o in (order[cuts[x] : cuts[x + 1]] for x in full)]
         return pa.table([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return settle
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """All ranges of each document of a bucket."""
+    """All spans of each document of a bucket."""
     plain = _codec(b"")
-    parts = [_unpack(plain, x)[0][4:] for x in table.column("blob").to_pylist()]
-    docs, tags, starts, ns = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((starts, tags, docs))
-    docs, tags = docs[order], tags[order]
-    pairs = np.stack([starts[order], ns[order]], 1).astype(np.int32)
+    parts = [_unpack(plain, x, _FOUND)[0][0] for x in table.column("blob").to_pylist()]
+    all_ = {k: np.concatenate([p[k] for p in parts]) for k, _ in _FOUND}
+    order = np.lexsort((all_["start"], all_["tag"], all_["doc"]))
+    docs, tags = all_["doc"][order], all_["tag"][order]
+    spans = np.zeros(len(order), _SPAN)
+    for k in _SPAN.names:
+        spans[k] = all_[k][order]
     cuts = np.append(np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]))), len(docs))
-    ranges = [pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    ranges = [spans[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     return pa.table([pa.array(docs[cuts[:-1]], pa.int64()), pa.array(tags[cuts[:-1]].astype(np.int32)), pa.array(ranges, pa.binary())], schema=_RANGES)
 
 
+def _fitting(words: tc.Words, i: int, spans: np.ndarray) -> np.ndarray:
+    """The (start, number) of the spans whose words stand in text i of a slice; others are of another row of its id."""
+    a, n = int(words.bounds[i]), int(words.counts[i])
+    out = []
+    for at, k, digest in spans.tolist():
+        if at + k <= n:
+            body = words.bytes[words.starts[a + at] : words.ends[a + at + k - 1]]
+            if xxhash.xxh64_intdigest(body) == digest or xxhash.xxh64_intdigest(b" ".join(body.split())) == digest:
+                out.append((at, k))
+    return np.array(out, np.int32).reshape(-1, 2)
+
+
 def _remove(batches):
     for batch in batches:
         texts = tc.column(batch, "text")
@@ -316,7 +378,7 @@ def _remove(batches):
                     out["n_removed"].append(0), out["removed_spans"].append([])
                     out["kept_text"].append(b" ".join(words.texts(a, a + n)))
                     continue
-                pairs = np.frombuffer(got, np.int32).reshape(-1, 2)
+                pairs = _fitting(words, i, np.frombuffer(got, _SPAN))
                 d = np.zeros(n + 1, np.int32)
                 np.add.at(d, pairs[:, 0], 1)
                 np.add.at(d, pairs[:, 0] + pairs[:, 1], -1)
@@ -354,18 +416,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_words, n_removed, kept_text, removed_spans (word ranges)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 48).cast("int").alias("tag"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null and text is not null")
-    shards = shards or max(shuffle_partitions(docs), min(1 << 20, plan_bytes(docs) // SHARD_BYTES))
+    size = plan_bytes(docs, text_col)
+    shards = shards or max(parts_for(docs, 0), min(1 << 20, size // SHARD_BYTES))
+    routed, joined = parts_for(docs, size * ROUTED), parts_for(docs, size * JOINED)
     hot = hot_anchors(known, window, gram)
     words = docs.sparkSession.sparkContext.broadcast(dictionary(known))
     ranges = (
         known.mapInArrow(_router(shards, window, gram, hot, words), "shard int, blob binary")
-        .groupBy("shard").applyInArrow(_settle(window, shuffle_partitions(docs), words), "bucket int, blob binary")
-        .groupBy("bucket").applyInArrow(_gather, "doc long, tag int, ranges binary")
+        .repartition(routed, "shard").groupBy("shard").applyInArrow(_settle(window, joined, words), "bucket int, blob binary")
+        .repartition(joined, "bucket").groupBy("bucket").applyInArrow(_gather, "doc long, tag int, ranges binary")
     )
-    joined = rows.join(ranges, (rows.doc_id == ranges.doc) & (rows.tag == ranges.tag), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:int,end:int>>")
+    texts = rows.repartition(joined, "doc_id", "tag")
+    found = ranges.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), "ranges").repartition(joined, "__doc", "__tag")
+    both = texts.join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("tag") == F.col("__tag")), "left").select("doc_id", "text", "ranges")
+    return both.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:int,end:int>>")
 
 
 def op1_substring_dedup(spark, sf_dir):
     out = substring_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed_spans").cast("long").alias("n_spans"))
+
+
+#: The same in plain SQL: every window with the smallest id that has it.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+o AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS body FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY body) AS least FROM o) WHERE least < doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {WINDOW - 1})) AS p FROM f),
+n AS (SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (b.p IS NULL) AS n_spans FROM g LEFT JOIN g b ON g.doc_id = b.doc_id AND g.p = b.p + 1 GROUP BY g.doc_id),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d) ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
