@@ -14,13 +14,17 @@ the corpus is.  Prediction reads the text alone, all of it.
 
 Nulls and ties: null text or a text without a letter is ``und`` with score 0;
 rows with a null language or id do not train; equal scores take the language
-that sorts first; without any training row everything is ``und``.  Other columns are not read.
+that sorts first; without any training row everything is ``und``.  Empty tables
+give no rows and a model without languages.  Rows that repeat are each answered
+and, where they train, each counted.  A very long text is counted whole, its
+distinct words scored ``CELLS`` cells at a time.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -34,7 +38,9 @@ from .frames import documents, group_sample
 TRAIN_BYTES, LANGUAGES, VOCABULARY, LONGEST = 2 << 20, 64, 20_000, 4
 #: Remembered scores of words in a worker, for ``LANGUAGES`` languages; cells of scores that are worked out at once.
 REMEMBERED, CELLS = 200_000, 1 << 21
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters; Python's word class also holds numbers that are no letters, such as ², ½, ① and Ⅷ.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 
 
 def words_of(text: str) -> list[str]:
