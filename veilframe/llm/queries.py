@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op2_benchmark_decontamination": decontamination.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
 }
