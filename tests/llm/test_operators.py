@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from veilframe.llm import byte_bpe, decontamination, language_id, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup, textcore, toxicity
+from veilframe.llm import byte_bpe, decontamination, language_id, pii, quality_classifier, quality_rules, queries, sharding, simhash, substring_dedup, textcore, toxicity
 
 SF = "/root/testdata/sf0.001"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -68,6 +69,27 @@ def test_substring_dedup_is_exact(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_an_id_and_a_tag(spark):
+    long = " ".join(f"v{i}" for i in range(60))
+    tag = lambda t: xxhash.xxh64_intdigest(t, 42) >> 48
+    want = tag(long)
+    short = next(t for t in (f"tiny text {i}" for i in range(1 << 20)) if tag(t) == want)
+    clash = next(t for t in (f"w{i} " + " ".join(f"u{k}" for k in range(80)) for i in range(1 << 20)) if tag(t) == want)
+    rows = [(1, long, "", ""), (2, long, "", ""), (2, short, "", ""), (2, clash, "", "")]
+    got = substring_dedup.substring_dedup(frame(spark, rows), shards=2).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert Counter(map(tuple, got)) == removed(rows)
+
+
+def test_only_matching_statistics_remove(spark, monkeypatch):
+    rows = [(i, t, "", "") for i, t in enumerate([" ".join(f"v{k}" for k in range(60))] * 4)]
+    docs = frame(spark, rows)
+    monkeypatch.setattr(substring_dedup.SuffixAutomaton, "matching", lambda self, seq: [0] * len(seq))
+    row = {"anchor": 0, "doc": [1, 2], "body": [b" ".join(b"v%d" % k for k in range(20))] * 2}
+    assert list(substring_dedup._spans([0, 1], np.array(row["doc"]), row["body"], np.array([True, False]), 13)) == []
+    monkeypatch.undo()
+    assert substring_dedup.substring_dedup(docs).where("n_removed = 60").count() == 3
+
+
 def test_hot_anchors_change_the_routing_only(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_EVERY", 1)
     monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.0)
@@ -129,12 +151,14 @@ def test_decontamination(spark, part_bytes):
     assert decontamination.decontaminate(frame(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_decontamination_sql(spark):
-    got = decontamination.op2_benchmark_decontamination(spark, SF).collect()
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         db.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
-    assert Counter(map(tuple, got)) == Counter(db.execute(decontamination.ORACLE).fetchall())
+    df, want = queries.QUERIES[name](spark, SF), db.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns) and Counter(map(tuple, df.select(*names).collect())) == Counter(want.fetchall())
 
 
 def test_position_sets_meet_every_four_positions():
@@ -191,6 +215,8 @@ def test_simhash_hot_lists_and_chains(spark, monkeypatch):
     fps = sorted(set(fps)) + [rnd.getrandbits(64) for _ in range(50)]
     ids = list(range(len(fps)))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    monkeypatch.setattr(simhash, "LONG_LIST", 3)
+    monkeypatch.setattr(simhash, "STEPS", 1)
     edges = simhash.links(spark.createDataFrame(list(zip(signed)), "fp long"))
     assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= 64 for r in edges.collect())
     comp = {r.a: r.b for r in simhash.components(edges).collect()}
@@ -230,10 +256,53 @@ def test_keep_one(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter(want)
 
 
+def test_long_lists_are_split_in_their_task(monkeypatch):
+    monkeypatch.setattr(simhash, "LONG_LIST", 20)
+    monkeypatch.setattr(simhash, "STEPS", 3)
+    rnd = random.Random(9)
+    for positions in ((0, 1, 2), (0, 1, 2, 5)):
+        fixed = sum(0xA5 << 8 * p for p in positions)
+        free = [8 * p + b for p in range(8) if p not in positions for b in range(8)]
+        fps = []
+        for _ in range(40):
+            x = fixed | sum(1 << b for b in rnd.sample(free, 12))
+            for _ in range(rnd.randrange(6)):
+                fps.append(x)
+                for b in rnd.sample(free, rnd.randrange(1, 5)):
+                    x ^= 1 << b
+            fps.append(x)
+        fp = np.unique(np.array(fps, np.uint64))
+        want = classes(list(range(len(fp))), fp.tolist())
+        root = {int(x): int(x) for x in fp}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in simhash.list_edges(positions, fp):
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        assert [find(int(x)) for x in fp] == [int(fp[w]) for w in want]
+
+
+def test_join_by_key_splits_hot_keys(spark, monkeypatch):
+    from veilframe.llm import frames
+
+    monkeypatch.setattr(frames, "HOT_KEYS", 2)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)], "k long, v long")
+    table = spark.createDataFrame([(k, f"t{k}", 10 - k) for k in range(6)], "k long, t string, n long")
+    got = frames.join_by_key(rows, table, "k", "n")
+    assert got.columns == ["k", "v", "t"] and Counter(map(tuple, got.collect())) == Counter((k, i, f"t{k}") for i in range(200) if (k := i % 7 if i % 3 else 0) < 6)
+
+
 def test_keep_one_knows_rows_by_text_too(spark):
     a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
     rows = [(7, a, "en", "s"), (7, b, "en", "s"), (7, c, "en", "s"), (7, c, "en", "s"), (7, c, "de", "s"), (3, b, "en", "s"), (None, a, "en", "s")]
     got = Counter((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    few = frame(spark, [(3, a, "en", "s"), (5, b, "en", "s"), (5, a, "en", "s")])
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(few).collect()) == Counter([(3, a), (5, b)])
     assert got == Counter([(7, a), (3, b), (7, c)])  # b went with id 3, and takes neither a nor c along
     again = [sorted(map(tuple, simhash.keep_one(frame(spark, x).repartition(n)).collect())) for x, n in ((rows, 3), (rows[::-1], 1))]
     assert again[0] == again[1]
@@ -365,11 +434,10 @@ def test_quality_measures(spark):
 
 
 def test_quality_cutoffs_are_exact_binomial(spark):
-    # Clopper-Pearson upper bounds: zero of n is 1 - delta ** (1 / n)
-    assert quality_rules.binomial_upper(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
-    assert quality_rules.binomial_upper(5, 5, 0.05) == 1.0 and quality_rules.binomial_upper(0, 0, 0.05) == 1.0
-    p = quality_rules.binomial_upper(3, 50, 0.025)
-    assert sum(__import__("math").comb(50, i) * p**i * (1 - p) ** (50 - i) for i in range(4)) == pytest.approx(0.025, abs=1e-6)
+    for k, n, rate in ((0, 100, 0.02), (3, 50, 0.1), (40, 50, 0.5), (19, 1000, 0.02)):
+        assert quality_rules.binomial_at_most(k, n, rate) == pytest.approx(sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1)), rel=1e-9)
+    assert quality_rules.binomial_at_most(5, 5, 0.05) == quality_rules.binomial_at_most(0, 0, 0.05) == 1.0
+    assert 0.49 < quality_rules.binomial_at_most(2 * 10**7, 10**9, 0.02) < 0.51 and quality_rules.binomial_at_most(0, 10**9, 0.02) == 0.0
     rnd = random.Random(4)
     good = [(i, " ".join(f"g{rnd.randrange(5000)}" for _ in range(30)), "en", "s") for i in range(900)]
     bad = [(1000 + i, " ".join(f"b{rnd.randrange(5000)}###" for _ in range(30)), "en", "s") for i in range(60)]
@@ -409,6 +477,8 @@ def test_language_id(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     held = [d for d in got if got[d].held_out]
     assert len(held) > 200 and np.mean([got[d].lang_pred == truth[d] for d in held]) > 0.98
+    two = language_id.Model({"de": Counter({"der": 1}), "en": Counter({"the": 1})})
+    assert [two.predict(t) for t in ("²½", "①", "Ⅷ ٣", "_ 12")] == [("und", 0.0)] * 4 and language_id.words_of("m² 五 aⅧb") == ["m", "五", "a", "b"]
     model = language_id.Model({"de": Counter({"und": 5, "der": 4}), "en": Counter({"and": 5, "the": 4})})
     assert model.predict("und der")[0] == "de" and model.predict("thez")[0] == "en"
     assert model.predict(None) == model.predict("") == model.predict("12 !?") == ("und", 0.0)
