@@ -51,7 +51,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in a shared folder, read back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession, name)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
