@@ -6,51 +6,98 @@ of fewer words, but not none, is one window.  The hashes of all windows are
 broadcast; documents are scanned window by window, hits are verified on the
 words themselves, and every document word inside a verified occurrence is hit.
 
-The benchmark is measured first.  It is broadcast in parts of at most
-``PART_BYTES`` of text, and the documents pass one scan per part, so no
-broadcast grows with the benchmark.
+What is broadcast is the items' text once, and for each distinct window its
+hash, its place in that text and its items: some six times the text.  The
+benchmark is measured first and taken in parts of at most ``PART_BYTES`` of
+text.  One part, the usual case, is one pass over the documents.  Of more, each
+is a pass over a written table with what the earlier ones found, so one part
+and one Python worker a task are held at a time, however large the benchmark is.
 
 Nulls: a null text has no words and no hits; a null item text gives no window;
 items with a null id are ignored.  Repeated items count once by id; rows that
-repeat a document are each answered.  Other columns are not read.
+repeat a document are each answered.  Without documents there are no rows,
+without items no hits.  A very long text is scanned whole, in a slice of its
+own.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dropped
 from . import textcore as tc
-from .frames import documents
+from .frames import documents, written
 
 WINDOW = 10
 #: Benchmark text in one broadcast part.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 
 _STATE = "doc_id long, text string, hits binary, items array<string>"
 _OUT = "doc_id long, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:int,end:int>>, clean_text string"
 
 
-def _grams(rows: list[tuple[str, str]], window: int) -> dict[int, tuple[np.ndarray, list[bytes], list[list[str]]]]:
-    """For each window length: sorted hashes, and by hash group the words and the items that have them."""
-    found: dict[int, dict[bytes, tuple[int, set[str]]]] = {}
+@dataclass
+class Grams:
+    """The distinct windows of one length, by hash: place in the part's text, and bounds of each one's items in ``owners``."""
+
+    size: int
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    bounds: np.ndarray
+    owners: np.ndarray
+
+
+@dataclass
+class Part:
+    """Items of a benchmark: their words joined by spaces, their ids, and their windows by length."""
+
+    text: bytes
+    items: list[str]
+    grams: list[Grams]
+
+
+def _distinct(size: int, text: bytes, found: list[tuple[np.ndarray, ...]]) -> Grams:
+    """Windows (hash, start, end, item) merged where their words are equal; equal hashes of other words stay apart."""
+    h, start, end, item = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((item, h))
+    h, start, end, item = h[order], start[order], end[order], item[order]
+    new = np.append(True, h[1:] != h[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    group = first.copy()
+    for i in np.flatnonzero(~new).tolist():
+        body = text[start[i] : end[i]]
+        if text[start[first[i]] : end[first[i]]] != body:  # two windows of one hash
+            group[i] = next((j for j in range(first[i] + 1, i) if text[start[j] : end[j]] == body), i)
+    heads = np.unique(group)
+    pairs = np.unique(np.stack([np.searchsorted(heads, group), item], 1), axis=0)
+    return Grams(size, h[heads], start[heads], end[heads], np.searchsorted(pairs[:, 0], np.arange(len(heads) + 1)), pairs[:, 1].astype(np.int32))
+
+
+def _part(rows: list[tuple[str, str]], window: int) -> Part:
+    items = sorted({item for item, _ in rows})
+    number = {item: i for i, item in enumerate(items)}
+    found: dict[int, list] = {}
+    lines, at = [], 0
     for item, text in rows:
         words = tc.Words(pa.array([text], pa.large_string()), tc.ALNUM_LOWER)
         n = len(words)
         if not n:
             continue
         k = min(n, window)
-        at, h = words.windows(words.hashes(), k)
-        w = words.texts(0, n)
-        for a, x in zip(at.tolist(), h.tolist(), strict=True):
-            found.setdefault(k, {}).setdefault(b" ".join(w[a : a + k]), (x, set()))[1].add(item)
-    out = {}
-    for k, grams in found.items():
-        order = sorted(grams.items(), key=lambda g: (g[1][0], g[0]))
-        out[k] = np.array([g[1][0] for g in order], np.uint64), [g[0] for g in order], [sorted(g[1][1]) for g in order]
-    return out
+        first, h = words.windows(words.hashes(), k)
+        ends = at + np.cumsum(words.ends - words.starts + 1) - 1
+        starts = np.append(at, ends[:-1] + 1)
+        found.setdefault(k, []).append((h, starts[first].astype(np.int32), ends[first + k - 1].astype(np.int32), np.full(len(first), number[item], np.int64)))
+        lines.append(b" ".join(words.texts(0, n)))
+        at += len(lines[-1]) + 1
+    text = b" ".join(lines)
+    return Part(text, items, [_distinct(k, text, found[k]) for k in sorted(found)])
 
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, part_bytes: int):
@@ -60,102 +107,117 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, part
     n = 2 * (total // part_bytes) + 1
     for p in range(n):
         rows = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == p)
-        yield _grams([(r["item"], r["text"]) for r in rows.toLocalIterator()], window)
-
+        part = _part([(r["item"], r["text"]) for r in rows.toLocalIterator()], window)
+        if part.grams:
+            yield part
+
+
+def _hits(words: tc.Words, part: Part) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
+    """Verified (first word, words) occurrences and items of each text of a slice that has any."""
+    spans: dict[int, list[tuple[int, int]]] = {}
+    seen: dict[int, set[tuple[int, int]]] = {}
+    h = words.hashes()
+    for number, g in enumerate(part.grams):
+        at, x = words.windows(h, g.size)
+        first = np.minimum(np.searchsorted(g.hashes, x), len(g.hashes) - 1)
+        maybe = np.flatnonzero(g.hashes[first] == x)
+        for a, j in zip(at[maybe].tolist(), first[maybe].tolist(), strict=True):
+            body = b" ".join(words.texts(a, a + g.size))
+            while part.text[g.start[j] : g.end[j]] != body and j + 1 < len(g.hashes) and g.hashes[j + 1] == g.hashes[j]:  # another window of this hash
+                j += 1
+            if part.text[g.start[j] : g.end[j]] == body:
+                d = int(words.doc[a])
+                spans.setdefault(d, []).append((a - int(words.bounds[d]), g.size))
+                seen.setdefault(d, set()).add((number, j))
+    items = {d: {part.items[o] for number, j in pairs for o in part.grams[number].owners[part.grams[number].bounds[j] : part.grams[number].bounds[j + 1]].tolist()} for d, pairs in seen.items()}
+    return spans, items
+
+
+def _scan(bc, last: bool):
+    """One pass: what this part adds to the hits and items of each document; the last one also gives the result."""
 
-def _scan(bc):
     def scan(batches):
-        grams = bc.value
         for batch in batches:
             texts = tc.column(batch, "text")
-            old_hits, old_items = batch.column(2), batch.column(3)
             for lo, hi in tc.slices(texts):
                 words = tc.Words(texts[lo:hi], tc.ALNUM_LOWER)
-                h = words.hashes()
-                spans, items = {}, {}
-                for k, (keys, bodies, owners) in grams.items():
-                    at, x = words.windows(h, k)
-                    first = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                    maybe = np.flatnonzero(keys[first] == x)
-                    for a, j in zip(at[maybe].tolist(), first[maybe].tolist(), strict=True):
-                        body = b" ".join(words.texts(a, a + k))
-                        while bodies[j] != body and j + 1 < len(keys) and keys[j + 1] == keys[j]:  # another window of this hash
-                            j += 1
-                        if bodies[j] == body:
-                            d = int(words.doc[a])
-                            spans.setdefault(d, []).append((a - int(words.bounds[d]), k))
-                            items.setdefault(d, set()).update(owners[j])
+                spans, found = _hits(words, bc.value) if bc is not None else ({}, {})
                 hits, names = [], []
                 for i in range(hi - lo):
-                    old = old_hits[lo + i].as_py() or b""
+                    old = batch.column(2)[lo + i].as_py() or b""
                     hits.append(old + np.array(spans[i], np.int32).tobytes() if i in spans else old)
-                    had = old_items[lo + i].as_py() or []
-                    names.append(sorted(items[i].union(had)) if i in items else had)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+                    had = batch.column(3)[lo + i].as_py() or []
+                    names.append(sorted(found[i].union(had)) if i in found else had)
+                ids, text = batch.column(0)[lo:hi], batch.column(1)[lo:hi]
+                if last:
+                    yield _result(ids, text, texts[lo:hi], words, hits, names)
+                else:
+                    yield pa.RecordBatch.from_arrays([ids, text, pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
 
     return scan
 
 
-def _finish(batches):
-    for batch in batches:
-        texts = tc.column(batch, "text")
-        for lo, hi in tc.slices(texts):
-            part = texts[lo:hi]
-            words = tc.Words(part, tc.ALNUM_LOWER)
-            n_hit, spans, clean = [], [], []
-            for i in range(hi - lo):
-                raw = batch.column(2)[lo + i].as_py()
-                if not raw:
-                    n_hit.append(0), spans.append([]), clean.append(batch.column(1)[lo + i].as_py())
-                    continue
-                a, n = int(words.bounds[i]), int(words.counts[i])
-                pairs = np.frombuffer(raw, np.int32).reshape(-1, 2)
-                d = np.zeros(n + 1, np.int32)
-                np.add.at(d, pairs[:, 0], 1)
-                np.add.at(d, pairs[:, 0] + pairs[:, 1], -1)
-                hit = np.cumsum(d[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-                n_hit.append(int(hit.sum())), spans.append([{"start": s, "end": e} for s, e in edge])
-                body, at, kept = part[i].as_py().encode(), 0, []
-                for s, e in edge:
-                    base = int(words.offsets[i])
-                    kept.append(body[at : int(words.starts[a + s]) - base])
-                    at = int(words.ends[a + e - 1]) - base
-                clean.append((b"".join(kept) + body[at:]).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], pa.array(words.counts.astype(np.int64)), pa.array(n_hit, pa.int64()), batch.column(3)[lo:hi], pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(clean, pa.string())],
-                names=["doc_id", "n_words", "n_hit", "items", "hit_spans", "clean_text"],
-            )
+def _result(ids: pa.Array, given: pa.Array, texts: pa.Array, words: tc.Words, hits: list[bytes], names: list[list[str]]) -> pa.RecordBatch:
+    n_hit, spans, clean = [], [], []
+    for i, raw in enumerate(hits):
+        if not raw:
+            n_hit.append(0), spans.append([]), clean.append(given[i].as_py())
+            continue
+        a, n = int(words.bounds[i]), int(words.counts[i])
+        pairs = np.frombuffer(raw, np.int32).reshape(-1, 2)
+        d = np.zeros(n + 1, np.int32)
+        np.add.at(d, pairs[:, 0], 1)
+        np.add.at(d, pairs[:, 0] + pairs[:, 1], -1)
+        hit = np.cumsum(d[:-1]) > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+        n_hit.append(int(hit.sum())), spans.append([{"start": s, "end": e} for s, e in edge])
+        body, at, kept, base = texts[i].as_py().encode(), 0, [], int(words.offsets[i])
+        for s, e in edge:
+            kept.append(body[at : int(words.starts[a + s]) - base])
+            at = int(words.ends[a + e - 1]) - base
+        clean.append((b"".join(kept) + body[at:]).decode())
+    columns = [ids, pa.array(words.counts.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(clean, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "items", "hit_spans", "clean_text"])
+
+
+def _passes(rows: DataFrame, parts, step, final):
+    """``step`` for every part but the last, each written before the next; ``final`` for the last (None without parts)."""
+    sc, part, table = rows.sparkSession.sparkContext, next(parts, None), None
+    while part is not None and (following := next(parts, None)) is not None:
+        bc = sc.broadcast(part)
+        rows, before = written(step(rows, bc), "decontamination"), table
+        bc.destroy()
+        if before is not None:
+            dropped(before)
+        part, table = following, rows
+    return final(rows, sc.broadcast(part) if part is not None else None)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items, hit_spans (word ranges), clean_text (without the hit spans)."""
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for grams in _parts(benchmark, item_col, item_text_col, window, part_bytes):
-        if grams:
-            rows = rows.mapInArrow(_scan(sc.broadcast(grams)), _STATE)
-    return rows.mapInArrow(_finish, _OUT)
+    parts = _parts(benchmark, item_col, item_text_col, window, part_bytes)
+    return _passes(rows, parts, lambda df, bc: df.mapInArrow(_scan(bc, False), _STATE), lambda df, bc: df.mapInArrow(_scan(bc, True), _OUT))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents without a verified hit, with the columns they have; no text is shuffled."""
-    sc = docs.sparkSession.sparkContext
-    out = docs
-    for grams in _parts(benchmark, item_col, item_text_col, window, part_bytes):
-        if not grams:
-            continue
-        bc = sc.broadcast(grams)
 
-        def run(batches, bc=bc):
+    def clean(df, bc):
+        if bc is None:
+            return df
+
+        def run(batches):
             for batch in batches:
-                n = batch.num_rows
-                part = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), batch.column(batch.schema.get_field_index(text_col)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
-                clean = [i for got in _scan(bc)([part]) for i, h in zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True) if not h]
-                yield batch.take(pa.array(clean, pa.int64()))
+                texts, kept = tc.column(batch, text_col), []
+                for lo, hi in tc.slices(texts):
+                    hit, _ = _hits(tc.Words(texts[lo:hi], tc.ALNUM_LOWER), bc.value)
+                    kept += [i for i in range(lo, hi) if i - lo not in hit]
+                yield batch.take(pa.array(kept, pa.int64()))
+
+        return df.mapInArrow(run, docs.schema)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return _passes(docs, _parts(benchmark, item_col, item_text_col, window, part_bytes), clean, clean)
 
 
 def op2_benchmark_decontamination(spark, sf_dir):
