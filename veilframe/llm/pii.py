@@ -12,29 +12,38 @@ documents and the result is a valid value of the kind:
 * ISO dates (valid days of 1800 to 2199), alone or before a time: permuted among the days of these 400 years
 * IBANs (valid mod 97): the account digits are permuted, the check digits computed; each start of an IBAN is tried at
   its country's length first, so what stands before or after one neither hides it nor is hidden by it
-* mail addresses: letters and digits of the local part are replaced by a keyed digest of the same length
-* assigned secrets (token, key, secret, password = long value): hex or alphanumerics replaced by a keyed digest
+* mail addresses: the local part's digits, lower and upper letters are permuted within their classes, the domain stays
+* assigned secrets (token, key, secret, password = long value): hex digits, else each class, are permuted the same way
 
 Values that fail validation are not personal data of these kinds and stay as
-they are, as does everything else in the text.  A permutation may
+they are, as does everything else in the text.  Every permutation is one of its
+whole format, so different values never share a pseudonym; one may
 map a value to itself with the odds of chance.
 
-The key is a parameter; without one, the session setting ``spark.veilframe.pii.key`` is read, else a fixed
-test key is used.  It becomes a literal of the plan.
+The key is a parameter, else the session setting ``spark.veilframe.pii.key``; without either it is an error.
+What stands in the plan is a key derived from it for this operator.
 
-Nulls: a null text stays null; a null id is kept.  Empty texts stay empty;
-texts may hold the marks U+E000 to U+E004 that the scan uses (they are escaped).
-Repeated rows are each answered.  Columns other than the text are kept as they are.
+Nulls: a null text stays null; a null id is kept.  Empty texts stay empty and empty tables empty;
+texts may hold the marks U+E000 to U+E004 that the scan uses (they are escaped).  A very long text is
+scanned whole.  Repeated rows are each answered.  Columns other than the text are kept as they are,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import documents
 
 ROUNDS = 10
+KEY_SETTING = "spark.veilframe.pii.key"
+#: Key of the registered queries where the session names none; it is published here, so it hides nothing.
+QUERY_KEY = "registered-queries"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Around a candidate, escape, and around an IBAN that is permuted already.
 _A, _B, _E, _C, _D = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -182,27 +191,43 @@ def _ibans(text: Column, key: str) -> Column:
     return F.when(text.rlike(_IBANS), F.aggregate(found, text, put)).otherwise(text)
 
 
-def _letters(x: Column, key: str, kind: str) -> Column:
-    """A keyed digest of the same length over the same classes: digits, lower and upper letters."""
-    seed = F.concat(*[_digest(key, kind, F.lit(str(i)), x) for i in range(4)])
+def _moved(half: Column, seed: Column, classes: tuple[str, ...]) -> Column:
+    """Each character moved within its class by a byte of the seed."""
+
+    def move(c, j):
+        by, out = F.conv(F.substr(seed, j * 2 + 1, F.lit(2)), 16, 10).cast("int"), c
+        for chars in classes:
+            at = F.instr(F.lit(chars), c)
+            out = F.when((c != "") & (at > 0), F.substr(F.lit(chars), F.pmod(at - 1 + by, F.lit(len(chars))) + 1, F.lit(1))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.split(half, ""), move), "")
+
 
-    def turn(c, i):
-        v = F.conv(F.substr(seed, (i * 2) % 254 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.when(c.rlike("[0-9]"), (v % 10).cast("string")).when(c.rlike("[a-z]"), F.char(v % 26 + 97)).when(c.rlike("[A-Z]"), F.char(v % 26 + 65)).otherwise(c)
+def _permuted_text(x: Column, key: str, kind: str, classes: tuple[str, ...]) -> Column:
+    """Keyed permutation of the texts of one pattern of classes (128 characters at most): a half moves by a digest of the other."""
+    h = F.floor(F.length(x) / 2).cast("int")
+    start = F.struct(F.substr(x, F.lit(1), h).alias("l"), F.substr(x, h + 1, F.length(x)).alias("r"))
 
-    return F.array_join(F.transform(F.split(x, ""), turn), "")
+    def turn(s, i):
+        seed = lambda half: F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), i.cast("string"), half), 512)
+        return F.struct(F.when(i % 2 == 0, _moved(s["l"], seed(s["r"]), classes)).otherwise(s["l"]).alias("l"), F.when(i % 2 == 1, _moved(s["r"], seed(s["l"]), classes)).otherwise(s["r"]).alias("r"))
+
+    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
 def _email(x: Column, key: str) -> Column:
     at = F.instr(x, "@")
-    return F.concat(_letters(F.substr(x, F.lit(1), at - 1), key, "email"), F.substr(x, at, F.length(x)))
+    return F.concat(_permuted_text(F.substr(x, F.lit(1), at - 1), key, "email", (_DIGITS, _LOWER, _UPPER)), F.substr(x, at, F.length(x)))
 
 
 def _secret(x: Column, key: str) -> Column:
     value = F.regexp_extract(x, "[\"']([^\"']+)[\"']$", 1)
-    lower, upper = value.rlike("^[0-9a-f]+$"), value.rlike("^[0-9A-F]+$")
-    hexes = F.substr(F.concat(*[_digest(key, "secret", F.lit(str(i)), value) for i in range(2)]), F.lit(1), F.length(value))
-    new = F.when(lower, hexes).when(upper, F.upper(hexes)).otherwise(_letters(value, key, "secret"))
+    new = (
+        F.when(value.rlike("^[0-9a-f]+$"), _permuted_text(value, key, "secret", (_DIGITS + _LOWER[:6],)))
+        .when(value.rlike("^[0-9A-F]+$"), _permuted_text(value, key, "secret", (_DIGITS + _UPPER[:6],)))
+        .otherwise(_permuted_text(value, key, "secret", (_DIGITS, _LOWER, _UPPER)))
+    )
     return F.concat(F.substr(x, F.lit(1), F.length(x) - F.length(value) - 1), new, F.substr(x, F.length(x), F.lit(1)))
 
 
@@ -237,29 +262,45 @@ def _kind_and_value(key: str):
     return one
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key; without one the published key of the queries, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are keyed by a published key and hide nothing", stacklevel=2)
+    return key or QUERY_KEY
+
+
+def derived_key(key: str) -> str:
+    return hashlib.sha256(b"feistel pseudonyms\x1f" + key.encode()).hexdigest()
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None, kinds_col: str | None = None) -> DataFrame:
     """The rows with the text's personal data replaced; ``kinds_col`` adds the kinds found, in order."""
-    key = key or docs.sparkSession.conf.get("spark.veilframe.pii.key", "test-key")
-    text = F.col(text_col)
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"give a key or set {KEY_SETTING}")
+    key, text, scan = derived_key(key), F.col(text_col), "__pii"
+    while scan in (*docs.columns, kinds_col):
+        scan += "_"
     marked = text.rlike(f"[{_A}-{_D}]")
     escaped = F.when(marked, F.regexp_replace(F.replace(text, F.lit(_E), F.lit(_E + "2")), f"[{_A}{_B}{_C}{_D}]", f"{_E}$0")).otherwise(text)
     escaped = F.when(marked, F.translate(escaped, _A + _B + _C + _D, "0134")).otherwise(escaped)
     parts = F.split(F.regexp_replace(_ibans(escaped, key), _SCAN, f"{_A}$0{_B}"), f"[{_A}{_B}]", -1)
     pairs = F.transform(parts, lambda x, i: F.when(i % 2 == 1, _kind_and_value(key)(x)).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value"))))
-    joined = F.array_join(F.transform(F.col("__pii"), lambda p: p["value"]), "")
+    joined = F.array_join(F.transform(F.col(scan), lambda p: p["value"]), "")
     back = joined
     for mark, c in ((_A, "0"), (_B, "1"), (_C, "3"), (_D, "4"), (_E, "2")):
         back = F.replace(back, F.lit(_E + c), F.lit(mark))
     restored = F.when(marked, back).otherwise(joined)
     possible = text.rlike("[0-9@]|(?i:secret|password|token|key)")
-    out = docs.withColumn("__pii", F.when(possible, pairs))
-    kinds = F.coalesce(F.filter(F.transform(F.col("__pii"), lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    out = docs.withColumn(scan, F.when(possible, pairs))
+    kinds = F.coalesce(F.filter(F.transform(F.col(scan), lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
     if kinds_col:
         out = out.withColumn(kinds_col, kinds)
-    new = F.when(F.col("__pii").isNull(), text).otherwise(restored)
-    return out.withColumn(text_col, new).drop("__pii")
+    new = F.when(F.col(scan).isNull(), text).otherwise(restored)
+    return out.withColumn(text_col, new).drop(scan)
 
 
 def op9_feistel_pii(spark, sf_dir):
-    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), kinds_col="kinds")
+    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key=session_key(spark), kinds_col="kinds")
     return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_pii"), F.array_join("kinds", ",").alias("kinds"))
