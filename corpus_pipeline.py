@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; what it returns is written as Parquet and read again as the next one's
-documents.  All stages but the last return the columns of documents.
+documents.  All stages but the last return the columns of documents, further
+ones included, whatever their names.
+
+A null text fails the rules and goes.  A null id is no reason to go.  Rows that
+share an id are told apart by their texts; of equal rows, and of a group of near
+copies, one stays (the smallest id, text hash and row hash).  An empty table
+gives no rows at every stage.  Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, key=pii.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
