@@ -1,8 +1,10 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import datetime
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -350,6 +352,9 @@ def test_sharding(spark):
     assert sharding.assign(none, sharding.slot_map(none)).count() == 0
 
 
+KEY = "test-key"
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
@@ -361,8 +366,8 @@ def test_pii_formats_and_links(spark):
         "card 4111111111111111, again 4111-1111-1111-1111 and 4111 1111 1111 1112.", "9 4111111111111111 x", "+1 (415) 555-2671 70.23.22.57 999.1.1.1 1.2.3.4.5", "2024-02-29 2023-02-29 123-45-6789 000-12-3456 666-12-3456",
         "IBAN GB82 WEST 1234 5698 7654 32 GB82 WEST 1234 5698 7654 33", f"mail A.b-c1@mail.example.com {secret}###", None, "", " 4111111111111111 ", "nothing here: 12 apples",
     ]
-    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kinds string").selectExpr("*", "1 as value")
-    got = {r.doc_id: r for r in pii.pseudonymise(df, kinds_col="found").collect()}
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kinds string").selectExpr("*", "1 as value", "2 as __pii")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, key=KEY, kinds_col="found").collect()}
     a = got[0].text.split()
     assert luhn(a[1].strip(",")) and a[1].strip(",") != "4111111111111111" and a[3].replace("-", "") == a[1].strip(",")
     assert got[0].text.endswith("4111 1111 1111 1112.")
@@ -382,7 +387,7 @@ def test_pii_formats_and_links(spark):
 
 def test_pii_phones_with_any_code(spark):
     shapes = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (415) 155-2671", "+1 4150552671", "(212) 555-1234", "212-555-1234", "212.555.1234", "212 555-1234", "1-212-555-1234"]
-    got = [r.text for r in pii.pseudonymise(frame(spark, [(i, f"call {x}, now", "en", "s") for i, x in enumerate(shapes)])).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymise(key=KEY, docs=frame(spark, [(i, f"call {x}, now", "en", "s") for i, x in enumerate(shapes)])).orderBy("doc_id").collect()]
     for old, new in zip(shapes, got, strict=True):
         new = new[5:-5]
         form = lambda x: "".join("d" if c.isdigit() else c for c in x)
@@ -391,14 +396,14 @@ def test_pii_phones_with_any_code(spark):
         assert new != old and form(new) == form(old) and valid(new) == valid(old)
     assert len({"".join(filter(str.isdigit, x))[-10:] for x in got[4:]}) == 1  # one number, however it is written
     stay = ["2024-02-29123", "123-456-7890-1", "12345678901234567", "1234-456-7890", "212 555 1234"]
-    assert [r.text for r in pii.pseudonymise(frame(spark, [(i, x, "en", "s") for i, x in enumerate(stay)])).orderBy("doc_id").collect()] == stay
+    assert [r.text for r in pii.pseudonymise(key=KEY, docs=frame(spark, [(i, x, "en", "s") for i, x in enumerate(stay)])).orderBy("doc_id").collect()] == stay
 
 
 def test_pii_neighbours_hide_nothing(spark):
     es, at, gb = "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32"
     marks = "".join(map(chr, range(0xE000, 0xE006)))
     texts = [f"{es} 2024", f"{at} IS", f"{gb} {es} 4111 1111 1111 1111", f"AT12 3456 7890 {es}", "2024-02-29T10:00:00Z", "2023-02-29T10:00:00Z 2024-02-29X", "ES91 4111 1111 1111 1111", f"{marks}2 {at} {marks}0 {es}."]
-    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), kinds_col="found").collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), key=KEY, kinds_col="found").collect()}
     assert [got[i].found for i in range(len(texts))] == [["iban"], ["iban"], ["iban", "iban", "card"], ["iban"], ["date"], [], ["card"], ["iban", "iban"]]
     mod = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
     new = got[0].text[:29]
@@ -410,6 +415,140 @@ def test_pii_neighbours_hide_nothing(spark):
     assert got[7].text == f"{marks}2 {got[1].text[:20]} {marks}0 {new}."
 
 
+# An independent finder and permuter: plain Python over one text.
+def halves(l, r, a, b, kind, secret):
+    for i in range(10):
+        x = hashlib.sha256("\x1f".join([secret, kind, str(i), str(l if i % 2 else r), str(a), str(b)]).encode()).hexdigest()
+        l, r = (l, (r + int(x[:13], 16)) % b) if i % 2 else ((l + int(x[:13], 16)) % a, r)
+    return l, r
+
+
+def digit_halves(d, kind, secret):
+    h = len(d) // 2
+    l, r = halves(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), kind, secret)
+    return f"{l:0{h}}{r:0{len(d) - h}}"
+
+
+def refill(shape, chars, what=str.isdigit):
+    it = iter(chars)
+    return "".join(next(it) if what(c) else c for c in shape)
+
+
+def text_halves(x, kind, alphabets, secret):
+    l, r = x[: len(x) // 2], x[len(x) // 2 :]
+
+    def moved(half, other, i):
+        seed = hashlib.sha512("\x1f".join([secret, kind, str(i), other]).encode()).digest()
+        return "".join(next((a[(a.index(c) + seed[j]) % len(a)] for a in alphabets if c in a), c) for j, c in enumerate(half))
+
+    for i in range(10):
+        l, r = (l, moved(r, l, i)) if i % 2 else (moved(l, r, i), r)
+    return l + r
+
+
+def remainder97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def one_value(x, secret):
+    digits = "".join(c for c in x if c in "0123456789")
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    if m := re.fullmatch(r"(?is)(.*?[=:] ?)([\"'])([^\"']+)([\"'])", x):
+        v = m[3]
+        sets = ["0123456789abcdef"] if re.fullmatch("[0-9a-f]+", v) else ["0123456789ABCDEF"] if re.fullmatch("[0-9A-F]+", v) else ["0123456789", lower, upper]
+        return "secret", m[1] + m[2] + text_halves(v, "secret", sets, secret) + m[4]
+    if "@" in x:
+        local, _, domain = x.partition("@")
+        return "email", text_halves(local, "email", ["0123456789", lower, upper], secret) + "@" + domain
+    if re.fullmatch(r"\+1.*|(1[ .\-])?(\(\d{3}\)[ .\-]?\d{3}[ .\-]?|\d{3}[ .\-]\d{3}[.\-])\d{4}", x):
+        area, rest = int(digits[-10:-7]), int(digits[-7:])
+        (a0, a1), (b0, b1) = ((0, 200), (0, 10**7)) if area < 200 else ((200, 1000), (0, 2 * 10**6) if rest < 2 * 10**6 else (2 * 10**6, 10**7))
+        l, r = halves(area - a0, rest - b0, a1 - a0, b1 - b0, "phone", secret)
+        return "phone", refill(x, f"{digits[:-10]}{l + a0:03}{r + b0:07}")
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", x):
+        o = list(map(int, x.split(".")))
+        l, r = halves(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ipv4", secret)
+        return "ipv4", f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", x):
+        try:
+            n = (datetime.date.fromisoformat(x) - datetime.date(1800, 1, 1)).days
+        except ValueError:
+            return None, x
+        l, r = halves(n // 16233, n % 16233, 9, 16233, "date", secret)
+        return "date", str(datetime.date(1800, 1, 1) + datetime.timedelta(l * 16233 + r))
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", x):
+        a, g, n = map(int, x.split("-"))
+        if not (1 <= a <= 899 and a != 666 and g and n):
+            return None, x
+        areas = [v for v in range(1, 900) if v != 666]
+        l, r = halves(areas.index(a), (g - 1) * 9999 + n - 1, 898, 99 * 9999, "ssn", secret)
+        return "ssn", f"{areas[l]:03}-{r // 9999 + 1:02}-{r % 9999 + 1:04}"
+    if 13 <= len(digits) <= 19 and set(digits) != {"0"} and luhn(digits):
+        body = digit_halves(digits[:-1], "card", secret)
+        return "card", refill(x, body + next(c for c in "0123456789" if luhn(body + c)))
+    return None, x
+
+
+def plain_pseudonyms(text, secret):
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    before, after = r"(?<![A-Za-z0-9_.%+\-])", r"(?![A-Za-z0-9_]|[.\-][0-9])"
+    date = r"(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
+    shapes = [
+        r"(?i:token|secret|api_?key|password) ?[=:] ?[\"'][A-Za-z0-9_\-]{16,128}[\"']", r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+        r"\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}", r"(?:1[ .\-])?(?:\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?|[0-9]{3}[ .\-][0-9]{3}[.\-])[0-9]{4}",
+        octet + r"(?:\." + octet + "){3}", date, r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{13,19}", r"[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7}", r"[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}",
+    ]
+    lengths = {c: n for n, cs in pii.IBAN_LENGTH.items() for c in cs.split()}
+    done, kinds, at = [], [], 0
+    while at < len(text):  # IBANs first, at every start
+        m = re.compile(before + "[A-Z]{2}[0-9]{2}").match(text, at)
+        tries = []
+        if m and (n := lengths.get(text[at : at + 2])):
+            tries.append(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""))
+        tries.append(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+        got = next((g for t in tries if m and (g := re.compile(t + after).match(text, at))), None)
+        flat = got[0].replace(" ", "") if got else ""
+        if got and len(flat) >= 15 and sum(map(str.isdigit, flat)) >= 8 and remainder97(flat[4:] + flat[:4]) == 1:
+            body = refill(flat[4:], digit_halves("".join(c for c in flat[4:] if c.isdigit()), "iban", secret))
+            check = 98 - remainder97(body + flat[:2] + "00")
+            done.append(("iban", refill(got[0], f"{flat[:2]}{check:02}{body}", str.isalnum)))
+            at = got.end()
+        else:
+            done.append((None, text[at]))
+            at += 1
+    marked = "".join(c if k is None else "\uf000" + c + "\uf001" for k, c in done)
+    scan = re.compile("\uf000([^\uf001]*)\uf001|" + before + "(?:" + "|".join(shapes) + ")" + after + "|" + before + date + "(?=[Tt][0-9])")
+
+    def turn(m):
+        kind, value = ("iban", m[1]) if m[1] is not None else one_value(m[0], secret)
+        if kind:
+            kinds.append(kind)
+        return value
+
+    return scan.sub(turn, marked), ",".join(kinds)
+
+
+def test_pii_equals_a_plain_finder_and_permuter(spark, recwarn):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: (r.text, r.kinds) for r in pii.op9_feistel_pii(spark, "/root/testdata/sf0.01").collect()}
+    secret = hashlib.sha256(b"feistel pseudonyms\x1f" + pii.QUERY_KEY.encode()).hexdigest()
+    assert any("published key" in str(w.message) for w in recwarn.list)
+    assert got == {i: plain_pseudonyms(t, secret) for i, t in docs.items()} and len({k for _, x in got.values() for k in x.split(",")}) > 5
+
+
+def test_pii_never_joins_two_values(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}{b}@x.example.com" for a in letters for b in letters]
+    got = {r.text for r in pii.pseudonymise(frame(spark, [(i, t, "", "") for i, t in enumerate(mails)]), key=KEY).collect()}
+    assert len(got) == len(mails) and got == set(mails)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame(spark, []))
+    assert pii.pseudonymise(empty(spark), key=KEY).count() == 0
+    twice = frame(spark, [(1, mails[0], "", ""), (1, mails[0], "", ""), (2, "x " * 200_000 + mails[0], "", "")])
+    out = [r.text for r in pii.pseudonymise(twice, key=KEY).orderBy("doc_id").collect()]
+    assert out[0] == out[1] and out[2] == "x " * 200_000 + out[0]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
