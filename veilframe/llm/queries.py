@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op2_benchmark_decontamination": decontamination.ORACLE,
+    "op7_virtual_slot_sharding": sharding.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

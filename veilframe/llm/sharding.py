@@ -9,9 +9,9 @@ What is gathered is bounded by SLOTS: one row of the map is folded in one
 array.  Places in a shard need no sort by shard: a record is numbered inside
 its slot, and the map says where the slot begins.
 
-Nulls: a null text has no bytes (checksum 0); a null id hashes like any other value.  Repeated rows
-share a slot and get places of their own.  Empty input gives no rows.  Other
-columns are not read.
+Nulls: a null text has no bytes (checksum 0); a null id hashes as an empty one.  Repeated rows
+share a slot and get places of their own.  Empty input gives no rows.  A very
+long text is read whole for its size and checksum.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, size, text_crc32 and virtual_slot of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     crc = F.crc32(F.encode(text, "UTF-8"))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), crc.cast("long").alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), crc.cast("long").alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32"), 256), 1, 12), 16, 10).cast("long"), F.lit(slots)).cast("int"))
 
 
 def _fold(load: Column, shards: int) -> Column:
@@ -78,3 +78,17 @@ def op7_virtual_slot_sharding(spark, sf_dir):
     mapped = written(slot_map(slotted), "slot-map")  # the stored, versioned map
     out = assign(slotted, mapped)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
+
+
+#: The same in plain SQL: the checksum bit by bit, the greedy fold by recursion.
+ORACLE = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS crc),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {OVERHEAD} AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]))) AS text_crc32 FROM documents, t),
+s AS (SELECT *, (('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), 1, 12))::BIGINT % {SLOTS})::INT AS virtual_slot FROM d),
+l AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS i FROM s GROUP BY virtual_slot),
+f AS (SELECT 0::BIGINT AS i, -1 AS virtual_slot, -1::BIGINT AS shard, list_transform(range({SHARDS}), lambda x: 0::BIGINT) AS loads
+  UNION ALL SELECT l.i, l.virtual_slot, list_position(f.loads, list_min(f.loads)) - 1, list_transform(f.loads, lambda x, k: CASE WHEN k = list_position(f.loads, list_min(f.loads)) THEN x + l.bytes ELSE x END) FROM f JOIN l ON l.i = f.i + 1),
+m AS (SELECT f.virtual_slot, shard::INT AS shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY f.virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM f JOIN l USING (virtual_slot))
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, (begins + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32) - 1)::BIGINT AS slot, NULL::INT AS grown_shard, virtual_slot, 1 AS map_version
+FROM s JOIN m USING (virtual_slot)
+"""
