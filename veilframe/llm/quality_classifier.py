@@ -13,7 +13,9 @@ are bounded.  Scoring reads whole texts and nothing else.
 
 Nulls: null text scores as empty text; null labels or ids do not train.  With
 no label, or labels of one kind, the score is that kind's smoothed share.  A
-repeated id trains once per row.  Other columns are not read.
+repeated id trains once per row, and repeated rows are each answered.  An empty
+table gives no rows.  A very long text is scored whole; its words are pooled by
+count.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ The model is fitted on labelled rows of about ``TRAIN_BYTES`` of text chosen by
 a hash of the id.  Scoring reads whole texts and nothing else.
 
 Nulls: null text scores as empty text; null labels or ids do not train.  With
-no label the score is 0.5.  A repeated id trains once per row.  Other columns
-are not read.
+no label the score is 0.5.  A repeated id trains once per row, and repeated rows
+are each answered.  An empty table gives no rows.  A very long text is scored
+whole, in a slice of its own.  Other columns are not read.
 """
 
 from __future__ import annotations
