@@ -636,6 +636,115 @@ def test_classifiers_on_held_out_rows(spark, query, label, low):
     assert np.mean([r.predicted == marks[r.doc_id] for r in held]) >= low
 
 
+def plain_language(counts, text):
+    """The languages' sums by dictionaries, one word at a time."""
+    names = sorted(counts)
+    levels = [{x: dict(counts[x].most_common(language_id.VOCABULARY)) for x in names}]
+    for n in (4, 3, 2, 1):
+        per = {}
+        for x in names:
+            c = Counter()
+            for w, k in counts[x].items():
+                w = f"_{w}_" if n > 1 else w
+                for i in range(len(w) - n + 1):
+                    c[w[i : i + n]] += k
+            per[x] = dict(c.most_common(language_id.VOCABULARY))
+        levels.append(per)
+    sums, total = dict.fromkeys(names, 0.0), 0
+    for w in re.findall("[a-zäöüéèßñ]+", text.lower()):
+        total += 1
+        for n, per in zip((0, 4, 3, 2, 1), levels):
+            body = f"_{w}_" if n > 1 else w
+            keys = [k for k in ([w] if not n else [body[i : i + n] for i in range(len(body) - n + 1)]) if any(k in c for c in per.values())]
+            if keys:
+                size = len(set().union(*per.values()))
+                v = {x: sum(math.log((per[x].get(k, 0) + 0.1) / (sum(per[x].values()) + 0.1 * size)) for k in keys) for x in names}
+                for x in names:
+                    sums[x] += (v[x] - max(v.values())) / max(1, n)
+                break
+    if not total:
+        return "und", 0.0
+    e = {x: math.exp((sums[x] - max(sums.values())) / max(1, math.sqrt(total))) for x in names}
+    best = min(names, key=lambda x: (-sums[x], x))
+    return best, e[best] / sum(e.values())
+
+
+def test_language_scores_equal_plain_ones(spark):
+    rnd = random.Random(6)
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and r.lang]
+    counts = {}
+    for r in docs[:60]:
+        counts.setdefault(r.lang, Counter()).update(language_id.words_of(r.text))
+    model = language_id.Model({x: Counter(dict(sorted(c.items()))) for x, c in counts.items()})
+    counts = {x: Counter(dict(sorted(c.items()))) for x, c in counts.items()}
+    texts = ["", "12 ²", "zzqx", "häuserß ñu"] + [" ".join(rnd.sample(r.text.split(), min(12, len(r.text.split())))) for r in docs[60:110]]
+    for t in texts:
+        t = re.sub("[^a-zA-ZäöüéèßñÄÖÜÉÈÑ ]", " ", t)
+        (a, p), (b, q) = model.predict(t), plain_language(counts, t)
+        assert p == pytest.approx(q, rel=2e-3, abs=1e-5) and (a == b or abs(p - 0.5) < 1e-3)
+
+
+def plain_toxicity(model, text):
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & m
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & m
+        return x ^ x >> 33
+
+    def word(w):
+        return mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) + len(w) & m)
+
+    t = (text or "").encode().translate(LOWER)
+    h = [word(w) for w in bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in t).split()]
+    found = {mix(x + 1 & m) for x in h}
+    for d in (1, 2):
+        found |= {mix(a * (3 + 2 * d) + mix(b + d & m) & m) for a, b in zip(h, h[d:])}
+    weight = dict(zip(model.at.tolist(), model.weight.tolist()))
+    return 1 / (1 + math.exp(-(model.bias + sum(weight.get(c, 0.0) for c in {f >> 64 - toxicity.BITS for f in found}))))
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    texts = ["you utter fool"] * 40 + ["a kind word, É so kind"] * 60
+    model = toxicity.fit(texts, np.array([1] * 40 + [0] * 60))
+    rows = [*corpus(n=15), (900, "Utter FOOL kind é", "", ""), (900, "Utter FOOL kind é", "", "")]
+    got = toxicity.score(frame(spark, rows), model).collect()
+    assert len(model.at) and sorted((r.doc_id or -1, round(r.score, 9)) for r in got) == sorted((r[0] or -1, round(plain_toxicity(model, r[1]), 9)) for r in rows)
+
+
+def plain_quality(model, text):
+    shapes = ["<upper>", "<title>", "<lower>", "<digit>", "<symbol>", "<mixed>", "<again>"]
+    tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+    x = np.zeros(quality_classifier.DIM + len(shapes) + 2)
+    for t in tokens:
+        if t in model.row:
+            x[: quality_classifier.DIM] += model.vectors[model.row[t]]
+            x[-2] += 1
+        kind = "<digit>" if t.isdigit() else "<symbol>" if not (t[0].isalnum() or t[0] == "_") else "<lower>" if t.islower() else "<upper>" if len(t) > 1 and t.isupper() else "<title>" if t.istitle() else "<mixed>"
+        x[quality_classifier.DIM + shapes.index(kind)] += 1
+    x /= max(1, len(tokens))
+    plain = (text or "").split()
+    x[quality_classifier.DIM + 6] = sum(a == b for a, b in zip(plain, plain[1:])) / max(1, len(plain)) if tokens else 0
+    x[-1] = math.log1p(len(tokens)) / 10
+    w1, b1, w2, b2 = model.layers
+    z = [(v - c) / s for v, c, s in zip(x, model.center, model.spread)]
+    hidden = [math.tanh(sum(a * w1[i][k] for i, a in enumerate(z)) + b1[k]) for k in range(len(b1))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(hidden, w2)) + b2) / model.temperature))
+
+
+def test_quality_scores_equal_plain_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts, marks = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), "quality")
+    model = quality_classifier.Classifier().fit(texts, marks)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()][:40] + [(900, None, "", ""), (901, "", "", ""), (902, "AB ab Ab aB 12 ## ab ab", "", "")] * 2
+    got = quality_classifier.score(frame(spark, rows), model).collect()
+    assert model.layers is not None
+    for a, b in zip(sorted((r.doc_id, r.score) for r in got), sorted((r[0], plain_quality(model, r[1])) for r in rows)):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-4)
+
+
 def test_training_takes_labelled_rows_however_few(spark):
     rows = [(i, f"row {i} " + "x" * 92, "en", "s") for i in range(20_000)]
     labels = spark.createDataFrame([(i, i // 400 % 2) for i in range(0, 20_000, 400)] + [(3, None), (None, 1), (99_999, 1)], "doc_id long, quality int")
