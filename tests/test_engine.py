@@ -3,6 +3,8 @@
 import csv
 import io
 import json
+import random
+import re
 import sys
 import time
 import zipfile
@@ -18,7 +20,7 @@ from veilframe import catalog, fixed
 from veilframe.functions import checks, text
 from veilframe.model import Policy
 from veilframe.operators import detect as D
-from veilframe.operators import guard, ner, restore, structured, tokens
+from veilframe.operators import bodies, guard, ner, restore, structured, tokens
 from veilframe.plans import batch, evaluate
 from veilframe.session import stored
 from veilframe.sources import formats, side
@@ -27,6 +29,8 @@ from veilframe.streaming import events
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CONTACT = D.detectors("EMAIL", "PHONE")
+TOKEN = "EMAIL_18686338BC2AD87A"
+VAULT = {TOKEN: "a@b.co"}
 
 
 def frame(spark, texts):
@@ -60,6 +64,7 @@ def test_all_queries_equal_their_sql(spark):
 
 
 def test_detection(spark):
+    assert found(spark, ["to QA11ABCDEFGHIJKLMNOPQRSTUVWXY x", "QA 11-ABCDEFGHIJKLMNOPQRSTUVWXY"], which=D.detectors("IBAN", "PHONE")) == [(0, 3, 32, "IBAN", "QA11ABCDEFGHIJKLMNOPQRSTUVWXY"), (1, 0, 31, "IBAN", "QA 11-ABCDEFGHIJKLMNOPQRSTUVWXY")]
     texts = [
         "write to Fatima@Example.AE please", "phone 0501234567 and +966512345678  1010123456", "+(965) 1 85 85 85", "00965 – 23983661", "Order 24145989 shipped", "IBAN SA0380000000608010167519 x", "IBAN SA0380000000608010167518 x",
         "جوال ٠٥٠١٢٣٤٥٦٧", "Emirates ID 784-1990-1234567-1", "Commercial Registration (CR) Number: 1010032264", "VAT number: 300000000000003", "EMAIL_18686338BC2AD87A", None, "", " a@b.co ", "مَحمد a@b.co",
@@ -206,43 +211,166 @@ def test_folder_jobs(spark, tmp_path):
     (tmp_path / "bare").write_bytes(b"\x0b{}")
     kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in formats.read_documents(spark, str(tmp_path)).collect()}
     assert kinds == {"f.txt": "TXT", "f.csv": "CSV", "f.json": "JSON", "f.html": "HTML", "f.docx": "DOCX", "f.xlsx": "XLSX", "bad.docx": "DOCX", "bare": "TXT"}
-    manifest, vault = batch.redact_folder(spark, str(tmp_path), str(tmp_path / "out.parquet"), "s", "t", which=CONTACT)
-    assert manifest.count() == 7 and {r.value for r in vault.collect()} == {"a@b.co", "0501234567", "x@y.co", "b@c.co"}
-    out = {r.extension: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out.parquet")).where("length(content) > 5").collect()}
-    assert list(csv.reader(io.StringIO(out["csv"].decode())))[1][0] == "A, B" and b"0501234567" not in out["html"] and b"&amp; ok" in out["html"]
+    (tmp_path / "k.json").write_bytes('{"customer_name": "Ali", "cr_number": "1010123456", "amount": "call 0501234567", "list": {"iban": ["x", "EMAIL_18686338BC2AD87A"]}, "n": 1.5}'.encode())
+    manifest, vault = batch.redact_folder(spark, str(tmp_path), str(tmp_path / "out"), "s", "t", which=CONTACT, tables=True)
+    assert {r.value for r in vault.collect()} == {"a@b.co", "0501234567", "x@y.co", "b@c.co", "Ali", "1010123456", "x", "A, B"}
+    out = {}
+    for r in manifest.collect():
+        body = (tmp_path / "out" / r.output).read_bytes()
+        assert len(body) == r.size and r.output.startswith(r.path_hash + ".")
+        out.setdefault(r.output.rsplit(".", 1)[1], []).append((r.total, body))
+    assert sum(map(len, out.values())) == 8 and len(list((tmp_path / "out").iterdir())) == 8
+    table = list(csv.reader(io.StringIO(out["csv"][0][1].decode())))
+    assert table[0] == ["name", "phone"] and table[1][0].startswith("PERSON_") and table[1][1].startswith("PHONE_") and table[2][0].startswith("PERSON_") and table[2][1] == ""
+    assert b"0501234567" not in out["html"][0][1] and b"&amp; ok" in out["html"][0][1]
+    keyed = next(json.loads(b) for n, b in out["json"] if n == 4)
+    assert keyed["customer_name"].startswith("PERSON_") and keyed["cr_number"].startswith("CR_") and keyed["amount"].startswith("call PHONE_") and keyed["list"]["iban"][0].startswith("IBAN_") and keyed["list"]["iban"][1] == "EMAIL_18686338BC2AD87A" and keyed["n"] == 1.5
+    redacted = formats.read_documents(spark, str(tmp_path / "out"))
+    again = {r.kind + str(len(r.restored)): bytes(r.restored) for r in batch.restore_documents(redacted, vault).where("error is null").collect()}
+    assert b"Ali" in b"".join(again.values()) and HTML in again.values() and b"A, B" in b"".join(again.values())
+    found_json = batch.detections_json("d")
+    line = D.detect(frame(spark, ["a@b.co"]), out="d", which=CONTACT).select(found_json.alias("j")).first().j
+    assert json.loads(line) == [{"kind": "EMAIL", "start": 0, "end": 6, "text": "a@b.co", "confidence": 0.99, "source": "regex.email"}]
+    batch.write_jsonl(manifest, str(tmp_path / "manifest"))
+    assert spark.read.json(str(tmp_path / "manifest")).count() == 8
     summaries, found_rows = batch.scan_folder(spark, str(tmp_path), ["txt"], which=CONTACT)
-    assert summaries.first().total == 1 and batch.top_files(summaries, "path_hash").count() == 1
+    assert sorted(r.total for r in summaries.collect())[-1] == 1 and found_rows.count() == 1 and batch.top_files(summaries, "path_hash").count() == 1
+
+
+def test_bodies(spark):
+    request = {
+        "model": "m0501234567", "system": [{"type": "text", "text": "a@b.co", "id": "x@y.co"}], "input": "call 0501234567",
+        "messages": [
+            {"role": "x@y.co", "content": "mail a@b.co"}, {"content": {"type": "x@y.co", "input": {"k": ["a@b.co", {"x@y.co": "a@b.co"}]}}}, "x@y.co",
+            {"content": [{"text": "a@b.co", "content": ["a@b.co"], "input": "x@y.co"}], "tool_calls": [{"function": {"name": "x@y.co", "arguments": "a@b.co"}}, {"function": "x@y.co"}]},
+        ],
+    }
+    df = spark.createDataFrame([(1, json.dumps(request)), (2, "[1"), (3, None), (4, '"a@b.co"')], "id int, body string")
+    got = {r.id: r for r in bodies.redact_bodies(df, "body", "request", "s", "t", which=CONTACT).collect()}
+    token = re.search("EMAIL_[A-F0-9]{16}", got[1].body)[0]
+    phone = re.search("PHONE_[A-F0-9]{16}", got[1].body)[0]
+    want = json.loads(json.dumps(request).replace("a@b.co", token).replace("call 0501234567", "call " + phone))
+    assert json.loads(got[1].body) == want and len(got[1].records) == 2 and len(got[1].detections) == 8
+    assert got[2].body is None and got[2].error.startswith("JSONDecodeError") and got[3].body is None and got[3].error is None and got[4].body == '"a@b.co"'
+    vault = spark.createDataFrame([r.asDict() for r in got[1].records])
+    back = bodies.restore_bodies(spark.createDataFrame([(1, got[1].body), (2, json.dumps({token: [token, "x " + phone + "!", 5]})), (2, None)], "id int, body string"), "body", vault).collect()
+    assert json.loads(back[0].body) == request or json.loads(back[1].body) == request
+    assert {token: ["a@b.co", "x 0501234567!", 5]} in [json.loads(r.body) for r in back if r.body]
+
+
+def test_hook_payloads(spark):
+    vault = spark.createDataFrame([(TOKEN, "a@b.co")], "token string, value string")
+    rows = [(1, "PreToolUse", "Write", json.dumps({"file": TOKEN, "n": 1})), (2, "PreToolUse", "Edit", '{"file": "a@b.co"}'), (3, "PostToolUse", "Bash", '["a@b.co", {"k": "a@b.co"}]'), (4, "PostToolUse", "Bash", "see a@b.co"), (5, "UserPromptSubmit", "", "a@b.co"), (6, "PreToolUse", "Bash", '{"x": "a@b.co 0501234567"}'), (7, "PostToolUse", "Bash", None), (8, "PreToolUse", "Write", f"say {TOKEN}")]
+    df = spark.createDataFrame(rows, "id int, event string, tool string, payload string")
+    got = {r.id: r for r in guard.hook_decision(df, secret="s", tenant="t", vault=vault, which=CONTACT).collect()}
+    assert [got[i].decision for i in range(1, 9)] == ["restore", None, "replace", "replace", "block", "deny", None, "restore"]
+    assert json.loads(got[1].new_payload) == {"file": "a@b.co", "n": 1} and got[8].new_payload == "say a@b.co"
+    token = got[4].new_payload.removeprefix("see ")
+    assert re.fullmatch("EMAIL_[A-F0-9]{16}", token) and json.loads(got[3].new_payload) == [token, {"k": token}] and got[3].summary == "EMAIL:2" and got[6].summary == "EMAIL:1, PHONE:1"
+    assert [got[i].new_payload for i in (2, 5, 6, 7)] == [None] * 4
+
+
+def test_restore_keeps_rows_apart(spark):
+    vault = spark.createDataFrame([(TOKEN, "x@y.z")], "token string, value string")
+    rows = [(1, f"a {TOKEN} b"), (1, f"c {TOKEN}{TOKEN} d"), (None, f"n {TOKEN}"), (None, None), (2, ""), (3, f"\ue000 {TOKEN} \ue001"), (1, f"a {TOKEN} b")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = sorted(((r.id, r.text, r.restored) for r in restore.restore(df, vault).collect()), key=str)
+    assert got == sorted(((i, t and t.replace(TOKEN, "x@y.z"), [TOKEN] if t and TOKEN in t else []) for i, t in rows), key=str)
+    with pytest.raises(ValueError):
+        restore.restore(df.withColumn("restored", F.lit(1)), vault)
+    with pytest.raises(ValueError):
+        tokens.anonymize(df.withColumn("records", F.lit(1)), "text", "s")
+
+
+def test_longest_needle_first(spark):
+    pairs = [("ab", "1"), ("abc", "2"), ("", "x"), ("zz", "3"), ("2", "ab")]
+    column = F.array(*[F.struct(F.lit(a).alias("needle"), F.lit(b).alias("value")) for a, b in pairs])
+    r = spark.range(1).select(tokens.replace_longest_first(F.lit("ab abc abab"), column).alias("r")).first().r
+    assert r.text == "1 ab 11" and [(h.needle, h.n) for h in r.hits] == [("abc", 1), ("ab", 3), ("2", 1)]
+
+
+def test_views_of_stable_texts(spark):
+    texts = ["plain", "جوال ٠٥٠١٢٣٤٥٦٧ من أحمد، ۱۲۳", "مُحمد ٠٥", "ｆull ½", "日本 Ünder ß", "ﷺ", "", None]
+    df = frame(spark, texts).withColumn("v", text.unstable_views(F.array("text"))).withColumn("s", text.is_stable(F.col("text"))).withColumn("f", text.stable_view(F.col("text")))
+    for r in df.collect():
+        if r.text is None:
+            continue
+        form, src = text._folded_form(r.text)
+        if r.s:
+            assert r.v is None and form == r.f and src == list(range(len(r.text)))
+        else:
+            assert (r.v[0].text, r.v[0].src) == (form, src)
+    assert [r.s for r in df.orderBy("id").collect()][:7] == [True, True, False, False, True, False, True]
+
+
+def test_a_transcript_is_followed(spark, tmp_path):
+    spark.dataSource.register(side.TranscriptTail)
+    say = lambda t: json.dumps({"type": "assistant", "timestamp": "t", "message": {"content": [{"type": "text", "text": t}]}}) + "\n"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text(say("old"))
+    vault = spark.createDataFrame([(TOKEN, "a@b.co")], "token string, value string")
+    got = []
+    lines = spark.readStream.format("transcript_tail").option("path", str(folder)).load()
+    query = events.follow(side.assistant_messages(lines), lambda: vault, lambda b, n: got.extend(r.text for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        until = time.time() + 90
+        time.sleep(3)
+        with open(folder / "a.jsonl", "a") as f:
+            f.write(say(f"new {TOKEN}") + say("cut")[:20])
+        while got != ["new a@b.co"] and time.time() < until:
+            time.sleep(0.5)
+        assert got == ["new a@b.co"]
+    finally:
+        query.stop()
+    reader = side.TailReader(str(folder), "start")
+    rows, stop = reader.read(reader.initialOffset())
+    assert len(list(rows)) == 2 and stop["at"] < (folder / "a.jsonl").stat().st_size and len(list(reader.readBetweenOffsets({"path": str(folder / "a.jsonl"), "at": 0}, stop))) == 2
+
+
+def test_gold(spark, tmp_path):
+    for name in ("first", "second"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "first" / "a.txt").write_text("é mail a@b.co")
+    (tmp_path / "second" / "a.txt").write_text("other")
+    (tmp_path / "second" / "b.txt").write_text("é")
+    rows = [{"file": "a.txt", "start": 8, "end": 14, "kind": "EMAIL"}, {"file": "a.txt", "start": 0, "end": 2, "kind": "CARD"}, {"file": "b.txt", "start": 1, "end": 2, "kind": "EMAIL"}, {"file": "none.txt", "start": 0, "end": 1, "kind": "EMAIL"}]
+    (tmp_path / "gold.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    spans, texts, counts = side.read_gold(spark, str(tmp_path / "gold.jsonl"), str(tmp_path / "first"), str(tmp_path / "second"))
+    assert [tuple(r) for r in spans.collect()] == [("a.txt", 7, 13, "EMAIL")] and texts.count() == 2 and tuple(counts.first()) == (2, 1, 1)
 
 
 def sse(v):
     return "data: " + json.dumps(v, separators=(",", ":"))
 
 
-VAULT = {"EMAIL_18686338BC2AD87A": "a@b.co"}
-TOKEN = "EMAIL_18686338BC2AD87A"
 
 
 def delta(text, kind="text_delta", name="text"):
     return sse({"type": "content_block_delta", "index": 0, "delta": {"type": kind, name: text}})
 
 
-def test_event_restorer_shapes():
-    r = events.EventRestorer(VAULT)
-    assert "a@b.co" not in r.block(delta("see " + TOKEN[:9])) and r.blocks(sse({"type": "message_stop"}))[0] == delta(TOKEN[:9])
-    r = events.EventRestorer(VAULT)
+MARKED = f"\ue000{TOKEN}\ue001"
+
+
+def test_recut_shapes():
+    r = events.Recutter()
+    assert r.block(delta("see " + TOKEN[:9])) == delta("see ") and r.blocks(sse({"type": "message_stop"}))[0] == delta(TOKEN[:9])
+    r = events.Recutter()
     r.block(delta(TOKEN[:9]))
-    assert json.loads(r.block(delta(TOKEN[9:] + " x"))[6:])["delta"]["text"] == "a@b.co x"
+    assert json.loads(events.Recutter(r.state()).block(delta(TOKEN[9:] + " x"))[6:])["delta"]["text"] == MARKED + " x"
     assert r.block(delta(TOKEN, "signature_delta", "signature")) == delta(TOKEN, "signature_delta", "signature")
     chat = lambda d: sse({"choices": [{"index": 0, "delta": d}]})
-    r = events.EventRestorer(VAULT)
+    r = events.Recutter()
     r.block(chat({"tool_calls": [{"index": 3, "function": {"arguments": TOKEN[:8]}}]}))
     r.block(chat({"content": TOKEN}))
     last = [json.loads(b[6:])["choices"][0]["delta"] for b in r.blocks("data: [DONE]")[:-1]]
-    assert {"content": "a@b.co"} in last and {"tool_calls": [{"index": 3, "function": {"arguments": TOKEN[:8]}}]} in last
-    r = events.EventRestorer(VAULT)
+    assert {"content": MARKED} in last and {"tool_calls": [{"index": 3, "function": {"arguments": TOKEN[:8]}}]} in last
+    r = events.Recutter()
     r.block(sse({"type": "response.output_text.delta", "item_id": "i", "delta": TOKEN}))
-    assert r.flush() == [] and "a@b.co" in r.block(sse({"type": "response.completed", "response": {"text": TOKEN}}))
-    assert r.block("event: x\ndata: not json ") == "event: x\ndata: not json " and r.flush() == []
+    assert r.rests() == [] and json.loads(r.block(sse({"type": "response.completed", "response": {"text": [TOKEN], TOKEN: 1}}))[6:])["response"] == {"text": [MARKED], TOKEN: 1}
+    assert r.block("event: x\ndata: not json ") == "event: x\ndata: not json " and r.rests() == []
+    assert [events.whole(v, 7) for v in (3, True, "3", 3.0, None)] == [3, 7, 7, 7, 7]
 
 
 def test_streams_survive_any_cut(spark, tmp_path):
@@ -265,16 +393,49 @@ def test_streams_survive_any_cut(spark, tmp_path):
     assert joined(events.restore_batch(df, vault).collect()) == want
     df.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    query = events.restore_stream(stream, vault).writeStream.format("memory").queryName("restored").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    reads, rows = [], []
+
+    def read():
+        reads.append(1)
+        return vault
+
+    query = events.restore_stream(stream, read, lambda batch, n: rows.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
     try:  # timeouts make the query go on without data, so the result is awaited, not the query
+        until = time.time() + 90
+        while (got := joined(rows)) != want and time.time() < until:
+            time.sleep(0.5)
+        assert got == want and len(reads) > 1
+    finally:
+        query.stop()
+
+
+def test_a_stream_with_a_gap_gives_all_it_has(spark, tmp_path):
+    schema = "stream_id string, seq long, block string"
+    spark.createDataFrame([("g", 0, delta("a ")), ("g", 2, delta("c " + TOKEN)), ("g", 3, delta("d "))], schema).write.parquet(str(tmp_path / "in"))
+    rows = []
+    query = events.recut_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "2 seconds").writeStream.outputMode("append").foreachBatch(lambda b, n: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
         until = time.time() + 60
-        while (got := joined(spark.table("restored").collect())) != want and time.time() < until:
+        while len(rows) < 3 and time.time() < until:
             time.sleep(0.5)
-        assert got == want
+        time.sleep(1)
+        assert [(r.seq, json.loads(r.block[6:])["delta"]["text"]) for r in sorted(rows, key=lambda r: (r.seq, r.part))] == [(0, "a "), (2, "c "), (3, MARKED + "d ")]
     finally:
         query.stop()
 
 
+def test_values_are_escaped_and_marks_of_the_stream_stay(spark):
+    vault = spark.createDataFrame([(TOKEN, 'a"b\\c\n\ue0021'), ("PHONE_D9E4E10C9DD1E02E", "1")], "token string, value string")
+    odd = "\ue000x\ue001 \ue0021"
+    blocks = [delta(f"{odd} {TOKEN[:-1]} "), "event: " + odd, sse({"type": "response.completed", "response": {"t": TOKEN}}), "data: \ue002 no json"]
+    df = spark.createDataFrame([("s", i, b) for i, b in enumerate(blocks)], "stream_id string, seq long, block string")
+    got = [r.block for r in events.restore_batch(df, vault).orderBy("seq", "part").collect()]
+    assert json.loads(got[0][6:])["delta"]["text"] == f'{odd} a"b\\c\n\ue0021 ' and got[1] == blocks[1] and got[3] == blocks[3]
+    assert json.loads(got[2][6:])["response"]["t"] == 'a"b\\c\n\ue0021'
+    raw = spark.createDataFrame([("s", "a\n\nb\u2028c\n\nd")], "stream_id string, raw string")
+    assert [(r.seq, r.block) for r in events.event_blocks(raw).orderBy("seq").collect()] == [(0, "a"), (1, "b\u2028c"), (2, "d")]
+
+
 def test_scores(spark):
     d = spark.createDataFrame([("f", 0, 5, "EMAIL", "s"), ("f", 10, 12, "EMAIL", "s"), ("f", 0, 5, "PHONE", "s")], "file string, start int, end int, kind string, source string")
     g = spark.createDataFrame([("f", 3, 8, "EMAIL"), ("f", 20, 22, "EMAIL")], "file string, start int, end int, kind string")
@@ -282,15 +443,55 @@ def test_scores(spark):
     assert got == {"EMAIL": (1, 1, 1, 0.5, 0.5), "PHONE": (0, 1, 0, 0.0, 0.0)}
 
 
-def test_model_spans():
+def test_model_spans(spark):
     t = "Khalid bin Sultan met Acme"
     words = [(0, 6, "B-PER", 0.99), (7, 10, "O", 0.9), (11, 17, "B-PERS", 0.8), (18, 21, "O", 1.0), (22, 26, "I-ORG", 0.9)]
-    assert [x[:3] for x in ner.islands(words, t)] == [(0, 17, "PERSON"), (22, 26, "ORGANIZATION")]
+    assert [x[:3] for x in ner.islands(words, t)] == [(0, 17, "PERSON"), (22, 26, "ORGANIZATION")] and ner.islands([], t) == []
     assert ner.fold_pieces([("Kha", 0, 3, "O", 0.9), ("##lid", 3, 6, "B-PER", 0.7), ("##x", 6, 7, "I-PER", 0.6)]) == [(0, 7, "B-PER", 0.7)]
     assert ner.windows(1001) == [(0, 500), (500, 1000), (1000, 1001)] and ner.label_parts("S-GPE") == ("B", "ADDRESS") and ner.label_parts("X") == ("O", "")
     assert ner.reconcile([(0, 4, "ORGANIZATION", 0.9), (10, 12, "PERSON", 0.9)], [(2, 6, "PERSON", 0.9), (9, 14, "PERSON", 0.95)]) == [(0, 4, "ORGANIZATION", 0.9), (9, 14, "PERSON", 0.95)]
 
 
+def plain_runs(words, text):
+    """One word at a time: a run is open or not, and a name may be waiting behind connectives."""
+    runs, linked = [], False
+    still = False
+    for start, end, label, p in words:
+        tag, kind = ner.label_parts(label)
+        if still and runs[-1][2] == "PERSON" and text[start:end].lower() in fixed.CONNECTIVES:
+            runs[-1][1], linked = end, True
+            continue
+        if tag == "O":
+            still = False
+        elif still and kind == runs[-1][2] and (tag == "I" or linked):
+            runs[-1][1] = end
+            runs[-1][3].append(p)
+        else:
+            runs.append([start, end, kind, [p]])
+            still = True
+        linked = False
+    return [(a, b, k, round(sum(p) / len(p), 6)) for a, b, k, p in runs if sum(p) / len(p) >= 0.5 and k in fixed.KINDS]
+
+
+def test_entity_runs_in_three_forms(spark):
+    rnd = random.Random(3)
+    rows, want, texts = [], {}, {}
+    for doc in range(60):
+        words = [(rnd.choice(["bin", "ibn", "Ali", "x"]), rnd.choice(["O", "B-PER", "I-PER", "B-ORG", "I-ORG", "E-LOC", "S-PER", "B-MISC"]), rnd.choice([0.25, 0.5, 1.0])) for _ in range(rnd.randrange(1, 14))]
+        text = texts[doc] = " ".join(w for w, _, _ in words)
+        at, spans = 0, []
+        for i, (w, label, p) in enumerate(words):
+            spans.append((at, at + len(w), label, p))
+            rows.append((doc, i, at, at + len(w), label, p, w))
+            at += len(w) + 1
+        want[doc] = plain_runs(spans, text)
+        assert [(a, b, k, round(p, 6)) for a, b, k, p in ner.islands(spans, text, 0.5)] == want[doc]
+    got = {}
+    for r in ner.entity_runs(spark.createDataFrame(rows, "doc int, i int, start int, end int, label string, p double, surface string"), "doc", 0.5).orderBy("doc", "start").collect():
+        got.setdefault(r.doc, []).append((r.start, r.end, r.kind, round(r.p, 6)))
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_vault_file_and_side_inputs(spark, tmp_path):
     rows = [("EMAIL", "EMAIL_1", "á@b.co", "á@b.co"), ("OLD", "OLD_1", "x", "x")]
     vault = spark.createDataFrame(rows, "kind string, token string, value string, normalized string")

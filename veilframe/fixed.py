@@ -20,8 +20,10 @@ PREFIX = {
 }
 PUBLIC_PREFIXES = ["BANK", "TELCO", "CHANNEL", "PAYMENT_RAIL", "GOV"]
 _PRIVATE = r"(?:EMAIL|PHONE|IBAN|CR|TAX_ID|GOV_ID|PERSON|ORG|ADDRESS)"
-PRIVATE_TOKEN = rf"(?U)\b{_PRIVATE}_[A-F0-9]{{10,32}}\b"
-PLACEHOLDER = rf"(?U)\b{_PRIVATE}_[A-F0-9]{{10,32}}\b|\b(?:BANK|TELCO|CHANNEL|PAYMENT_RAIL|GOV)_[A-Z0-9_]+\b"
+PRIVATE_TOKEN_BARE = rf"\b{_PRIVATE}_[A-F0-9]{{10,32}}\b"
+PRIVATE_TOKEN = f"(?U){PRIVATE_TOKEN_BARE}"
+PLACEHOLDER_BARE = rf"{PRIVATE_TOKEN_BARE}|\b(?:BANK|TELCO|CHANNEL|PAYMENT_RAIL|GOV)_[A-Z0-9_]+\b"
+PLACEHOLDER = f"(?U){PLACEHOLDER_BARE}"
 KEPT_VALUE = rf"^(?:{_PRIVATE}_[0-9a-fA-F]{{10,32}}|(?:BANK|TELCO|CHANNEL|PAYMENT_RAIL|GOV)_[A-Z0-9_]+)$"
 
 # --- fixed values: characters ---
@@ -81,6 +83,8 @@ ARABIC_STREET = r"(?U)\b(?:شارع|حي|طريق|مدينة|قرية|منطقة
 ARABIC_COMPOUND = rf"(?U){_WORD_AR}(?:[\s,،]*(?:[\n]|\s{{2,}}|[,،])\s*(?:{_WORD_AR}|{_CITY_AR}|خميس\s+مشيط|{_CITY_COMPOUND})){{1,5}}(?:\s+[0-9٠-٩]{{4,5}}(?:[\-\s][0-9٠-٩]{{4}})?)?"
 CITY_ANCHOR = rf"(?iU)[\p{{IsArabic}}A-Za-z][\p{{IsArabic}}A-Za-z0-9\s\.\-/]{{3,80}}[,،]\s*(?:{_CITY_ANCHOR}|{_CITY_AR}|خميس مشيط)(?:\s+\d{{4,5}})?\b"
 ENGLISH_STREET = r"(?iU)\b(?:[A-Z][A-Za-z'\-]{1,30})(?:\s+[A-Z][A-Za-z'\-]{1,30}){0,4}\s+(?:Road|Street|St\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Highway|Hwy\.?|Lane|Way|District|Quarter|Neighborhood|Neighbourhood)\b"
+CITY_AFTER_COMMA = rf"(?iU)[,،]\s*(?:{_CITY_ANCHOR}|{_CITY_AR}|خميس مشيط)"  # what CITY_ANCHOR cannot do without
+STREET_NOUN = r"(?iU)\s(?:Road|Street|St|Avenue|Ave|Boulevard|Blvd|Highway|Hwy|Lane|Way|District|Quarter|Neighborhood|Neighbourhood)\b"  # likewise ENGLISH_STREET
 CITY_POSTAL = rf"(?iU)(?:(?:{_CITY_POSTAL})\s*[,،\-]?\s*[0-9٠-٩]{{5}}(?:[\-\s][0-9٠-٩]{{4}})?|[0-9٠-٩]{{5}}(?:[\-\s][0-9٠-٩]{{4}})?\s*[,،\-]?\s*(?:{_CITY_POSTAL}))\b"
 
 # --- fixed values: gates ---

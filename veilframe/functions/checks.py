@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import alnum_upper, digits_only, fold_arabic, fold_digits
+from .text import alnum_upper, digits_only, fold_arabic, fold_digits, is_ascii
 
 
 def luhn(digits: Column) -> Column:
@@ -79,7 +79,7 @@ def address_value(value: Column) -> Column:
 
 
 def is_placeholder(value: Column) -> Column:
-    return F.trim(value).rlike(rf"\A(?:{fixed.PLACEHOLDER[4:]})\z")
+    return F.trim(value).rlike(rf"\A(?:{fixed.PLACEHOLDER_BARE})\z")
 
 
 def kept_value(value: Column) -> Column:
@@ -93,8 +93,16 @@ def may_be_personal(cell: Column) -> Column:
 
 
 def raw_shape(text: Column) -> Column:
-    """Whether raw personal data is left once tokens are taken out (text: scrubbed and digit-folded)."""
+    """Whether raw personal data is left once tokens are taken out (text: scrubbed and digit-folded).
+
+    A shape is looked for where what it cannot do without is there; in ASCII text
+    the Unicode classes are the plain ones, which are faster.
+    """
     bare, out = F.regexp_replace(text, fixed.PLACEHOLDER, ""), F.lit(False)
-    for p in fixed.LEAK_SHAPES:
-        out = out | bare.rlike(p)
+    bare = F.when(text.contains("_"), bare).otherwise(text)
+    ascii_only, digits = is_ascii(text), text.rlike(r"(?U)\d")
+    needs = [bare.contains("@"), digits, digits, digits, bare.contains("784"), digits, bare.rlike("(?iU)sk-|akia|key|secret|token")]
+    for p, need in zip(fixed.LEAK_SHAPES, needs, strict=True):
+        plain = p.replace("(?U)", "").replace("(?iU)", "(?i)")
+        out = out | (need & F.when(ascii_only, bare.rlike(plain)).otherwise(bare.rlike(p)))
     return out

@@ -1,12 +1,14 @@
 """Text functions as Column expressions.
 
 All are null in, null out.  Compatibility normalisation has no built-in: one
-Arrow UDF does it, and rows of ASCII text are given to it as null, so they do
-not pay for it.
+Arrow UDF does it, and texts of characters that it leaves as they are (ASCII,
+plain Arabic, most of Latin, Greek, Cyrillic, CJK) are given to it as null, so
+they do not pay for it.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -18,11 +20,30 @@ from pyspark.sql.functions import pandas_udf
 from .. import fixed
 
 _FOREIGN = fixed.ARABIC_INDIC + fixed.PERSIAN
-_ASCII = "^[\\x00-\\x7F]*$"
 
 
 def is_ascii(s: Column) -> Column:
-    return s.rlike(_ASCII)
+    """As many bytes as characters; the text is not decoded for it."""
+    return F.octet_length(s) == F.length(s)
+
+
+def _stable_ranges() -> list[tuple[int, int]]:
+    """Ranges of characters of common scripts that are their own compatibility form, no marks and no tatweel."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in ((0x600, 0x6FF), (0x80, 0x17F), (0x370, 0x4FF), (0x2010, 0x203F), (0x20A0, 0x20BF), (0x3001, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)):
+        for n in range(lo, hi + 1):
+            c = chr(n)
+            if unicodedata.normalize("NFKC", c) == c and unicodedata.category(c)[0] != "M" and unicodedata.category(c) != "Cn" and n != 0x640:
+                out[-1:] = [(out[-1][0], n)] if out and out[-1][1] == n - 1 else [*out[-1:], (n, n)]
+    return out
+
+
+_STABLE = "\\A[\\x00-\\x7F" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in _stable_ranges()) + "]*\\z"
+
+
+def is_stable(s: Column) -> Column:
+    """Whether every character is its own compatibility form and none is dropped for matching (sound, not complete)."""
+    return is_ascii(s) | s.rlike(_STABLE)
 
 
 def fold_digits(s: Column) -> Column:
@@ -47,7 +68,7 @@ def is_arabic_letter(c: Column) -> Column:
 
 
 def has_arabic(s: Column) -> Column:
-    return s.rlike(f"[{fixed.ARABIC_LETTERS}]")
+    return ~is_ascii(s) & s.rlike(f"[{fixed.ARABIC_LETTERS}]")
 
 
 def is_arabic_word(s: Column) -> Column:
@@ -57,7 +78,7 @@ def is_arabic_word(s: Column) -> Column:
 
 def scrub(s: Column) -> Column:
     """Without invisible characters, Cyrillic look-alikes as Latin letters."""
-    return F.translate(F.regexp_replace(s, fixed.INVISIBLE, ""), "".join(fixed.LOOKALIKES), "".join(fixed.LOOKALIKES.values()))
+    return F.when(is_ascii(s), s).otherwise(F.translate(F.regexp_replace(s, fixed.INVISIBLE, ""), "".join(fixed.LOOKALIKES), "".join(fixed.LOOKALIKES.values())))
 
 
 def reverse_arabic_runs(s: Column) -> Column:
@@ -86,45 +107,59 @@ def fold_arabic(s: Column) -> Column:
 
 
 def normalize_arabic(s: Column) -> Column:
-    """Canonical form for comparing; the UDF sees non-ASCII rows only."""
-    return fold_arabic(F.coalesce(nfkc(F.when(~is_ascii(s), s)), s))
+    """Canonical form for comparing; the UDF sees rows with unstable characters only."""
+    return fold_arabic(F.coalesce(nfkc(F.when(~is_stable(s), s)), s))
+
+
+VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("src", T.ArrayType(T.IntegerType()))])
 
 
-_VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("src", T.ArrayType(T.IntegerType()))])
+def _folded_form(x: str) -> tuple[str, list[int]]:
+    """The matching view of one text and the source place of each of its characters."""
+    out, src = [], []
+    for i, ch in enumerate(x):
+        for c in ch if ch < "\x80" else _form(ch):
+            out.append(c), src.append(i)
+    return "".join(out), src
 
 
-@pandas_udf(_VIEW)
-def _view(s: pd.Series) -> pd.DataFrame:
-    texts, sources = [], []
+@functools.lru_cache(1 << 16)
+def _form(ch: str) -> str:
     fold = {c: str(i % 10) for i, c in enumerate(_FOREIGN)}
-    for x in s:
+    return "".join(fold.get(c, c) for c in unicodedata.normalize("NFKC", ch) if not (0x64B <= ord(c) <= 0x65F or ord(c) == 0x670 or 0x6D6 <= ord(c) <= 0x6ED or ord(c) == 0x640))
+
+
+@pandas_udf(T.ArrayType(VIEW))
+def _views(s: pd.Series) -> pd.Series:
+    def one(x):
         if x is None:
-            texts.append(None), sources.append(None)
-            continue
-        out, src = [], []
-        for i, ch in enumerate(x):
-            for c in ch if ch < "\x80" else unicodedata.normalize("NFKC", ch):
-                n = ord(c)
-                if not (0x64B <= n <= 0x65F or n == 0x670 or 0x6D6 <= n <= 0x6ED or n == 0x640):
-                    out.append(fold.get(c, c)), src.append(i)
-        texts.append("".join(out)), sources.append(src)
-    return pd.DataFrame({"text": texts, "src": sources})
+            return None
+        text, src = _folded_form(x)
+        return {"text": text, "src": src}
+
+    return s.map(lambda xs: None if xs is None else [one(x) for x in xs])
 
 
 #: Marked non-deterministic so that the planner keeps it a column of its own: a view of a
 #: text that itself comes from a view (a second pass over redacted text) is then not
 #: merged into one projection, which cannot be split into two Python steps again.
-_bound_view = _view.asNondeterministic()
+_bound_views = _views.asNondeterministic()
+
 
+def unstable_views(texts: Column) -> Column:
+    """For an array of texts: struct(text, src) of what detectors read, null where the text is stable (see ``stable_view``); null where all are."""
+    asked = F.transform(texts, lambda s: F.when(~is_stable(s), s))
+    return _bound_views(F.when(F.exists(asked, lambda s: s.isNotNull()), asked))
 
-def matching_view(s: Column) -> Column:
-    """struct(text, src): what detectors read, and the source index of each character; null for ASCII text, which is its own view."""
-    return _bound_view(F.when(~is_ascii(s), s))
+
+def stable_view(s: Column) -> Column:
+    """The matching view of a text of stable characters: digits folded, every character in its place."""
+    return F.when(is_ascii(s) | ~s.rlike(f"[{_FOREIGN}]"), s).otherwise(fold_digits(s))
 
 
 def normalize_for_kind(kind: Column, value: Column, compat: Column | None = None) -> Column:
     """The form that tokens are keyed on; ``compat`` is the compatibility-normal value."""
-    whole = fold_arabic(compat if compat is not None else F.coalesce(nfkc(F.when(~is_ascii(value), value)), value))
+    whole = fold_arabic(compat if compat is not None else F.coalesce(nfkc(F.when(~is_stable(value), value)), value))
     strip = F.regexp_replace(value, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
     return F.when(kind == "EMAIL", F.lower(strip)).when(kind.isin("PHONE", "COMMERCIAL_REGISTRATION", "TAX_NUMBER", "NATIONAL_ID"), digits_only(value)).when(kind == "IBAN", alnum_upper(value)).otherwise(whole)
 
@@ -174,8 +209,13 @@ def folder_name(s: Column) -> Column:
 
 
 def json_int(value: Column, default: int = 0) -> Column:
-    """A whole JSON number's text as an int; anything else gives the default."""
-    return F.when(value.rlike(r"\A-?[0-9]+\z"), value.cast("int")).otherwise(F.lit(default))
+    """A whole JSON number's text as an int; anything else (a string, a bool, a fraction) gives the default."""
+    return F.when(value.rlike(r"\A-?[0-9]{1,18}\z"), value.cast("long")).otherwise(F.lit(default).cast("long"))
+
+
+def lf_lines(s: Column) -> Column:
+    """Lines that end at a line feed alone, not at other separators."""
+    return F.split(s, "\n", -1)
 
 
 def byte_to_char(text: Column, offset: Column) -> Column:

@@ -1,21 +1,26 @@
 """Detection: declarative detectors compiled to Columns, and the whole pipeline.
 
-A detector is a pattern with a gate; ``find`` turns it into an array of spans.
-The matching view is bound once per row and every detector reads that binding,
-so the view is not computed again for each of the 22 passes.
+A detector is a pattern with a gate; ``find`` turns it into an array of matches.
+A row's texts (one, or the cells of a table) are one array, of which each element
+is read as it stands and, where Arabic runs may be written backwards, turned:
+one expression holds every pattern once, however many texts and readings there
+are, and one Python step gives the views of texts that built-ins cannot fold.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import checks, text
 from . import spans
+from .tables import free
 
 
 @dataclass(frozen=True)
@@ -32,22 +37,27 @@ class Detector:
     passed: bool | None = None
 
     def find(self, view: Column, number: int = 0) -> Column:
-        return spans.find(view, self.pattern, self.cued, self.kind, self.confidence, self.name, number, self.gate, self.prefilter, self.passed)
+        return spans.find(view, self.pattern, self.cued, number, self.gate, self.prefilter)
+
+    def told(self) -> tuple[str, float, str, bool | None]:
+        return self.kind, self.confidence, self.name, self.passed
 
 
 def _digits(n: int) -> Callable[[Column], Column]:
-    """Cheap test: some n digits with few characters between them."""
+    """Cheap test: some n digits with few characters between them (a pattern of n digits with up to six others in each gap implies it)."""
     return lambda v: v.rlike(rf"[0-9{fixed.ARABIC_INDIC}{fixed.PERSIAN}](?:[^0-9{fixed.ARABIC_INDIC}{fixed.PERSIAN}]{{0,6}}[0-9{fixed.ARABIC_INDIC}{fixed.PERSIAN}]){{{n - 1}}}")
 
 
+#: A country and a digit after it: an IBAN's account may be all letters, and any number of spaces may part its characters.
+_IBAN_START = lambda v: v.rlike(rf"(?iU)(?:{'|'.join(fixed.IBAN_LENGTH)})[\s\-]*[0-9{fixed.ARABIC_INDIC}{fixed.PERSIAN}]")
 _ADDRESS = lambda v, b, a: checks.address_value(v)
 _A_DIGIT = lambda v: v.rlike(r"(?U)\d")
 _ARABIC = text.has_arabic
 
 DETECTORS: tuple[Detector, ...] = (
     Detector("regex.email", "EMAIL", fixed.EMAIL, 0.99, prefilter=lambda v: v.contains("@")),
-    Detector("regex.gcc.iban.mod97", "IBAN", fixed.IBAN, 0.99, gate=lambda v, b, a: checks.valid_iban(v), prefilter=_digits(10), passed=True),
-    Detector("regex.gcc.phone", "PHONE", fixed.PHONE, 0.93, gate=lambda v, b, a: checks.plausible_phone(v) & checks.no_digit_beside(b, a), prefilter=_digits(8)),
+    Detector("regex.gcc.iban.mod97", "IBAN", fixed.IBAN, 0.99, gate=lambda v, b, a: checks.valid_iban(v), prefilter=_IBAN_START, passed=True),
+    Detector("regex.gcc.phone", "PHONE", fixed.PHONE, 0.93, gate=lambda v, b, a: checks.plausible_phone(v) & checks.no_digit_beside(b, a), prefilter=_digits(6)),
     Detector("regex.gcc.uae_id", "NATIONAL_ID", fixed.UAE_ID, 0.98, prefilter=lambda v: v.contains("784")),
     Detector("regex.gcc.saudi_id_context", "NATIONAL_ID", fixed.SAUDI_ID, 0.95, True, prefilter=_digits(8)),
     Detector("regex.gcc.id_context", "NATIONAL_ID", fixed.GULF_ID, 0.90, True, prefilter=_digits(8)),
@@ -64,8 +74,8 @@ DETECTORS: tuple[Detector, ...] = (
     Detector("regex.address_street", "ADDRESS", fixed.STREET, 0.78, True, _ADDRESS),
     Detector("regex.address_arabic_keyword", "ADDRESS", fixed.ARABIC_STREET, 0.78, prefilter=_ARABIC),
     Detector("regex.address_compound", "ADDRESS", fixed.ARABIC_COMPOUND, 0.92, prefilter=_ARABIC),
-    Detector("regex.address_city_anchor", "ADDRESS", fixed.CITY_ANCHOR, 0.86, prefilter=lambda v: v.contains(",") | v.contains("،")),
-    Detector("regex.address_english_street", "ADDRESS", fixed.ENGLISH_STREET, 0.86),
+    Detector("regex.address_city_anchor", "ADDRESS", fixed.CITY_ANCHOR, 0.86, prefilter=lambda v: (v.contains(",") | v.contains("،")) & v.rlike(fixed.CITY_AFTER_COMMA)),
+    Detector("regex.address_english_street", "ADDRESS", fixed.ENGLISH_STREET, 0.86, prefilter=lambda v: v.rlike(fixed.STREET_NOUN)),
     Detector("regex.address_city_postal", "ADDRESS", fixed.CITY_POSTAL, 0.90, prefilter=_digits(5)),
 )
 
@@ -88,48 +98,41 @@ class Gazetteer:
         if not self.surfaces:
             return spans.no_detections()
         pattern = "(?iu)(?:" + "|".join("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in self.surfaces) + ")"
-        found = spans.find(source, pattern, False, "ADDRESS", fixed.GEO_CONFIDENCE, "geo.gazetteer_address_gated", number)
+        found = spans.detections(spans.find(source, pattern, False, 0), source, F.lit(None).cast("array<int>"), [("ADDRESS", fixed.GEO_CONFIDENCE, "geo.gazetteer_address_gated", None)])
+        found = F.transform(found, lambda d: d.withField("ord", d["ord"] + number * spans.PER_PATTERN))
         window = lambda d: F.substr(source, F.greatest(d["start"] - fixed.GEO_WINDOW, F.lit(0)) + 1, d["end"] + fixed.GEO_WINDOW - F.greatest(d["start"] - fixed.GEO_WINDOW, F.lit(0)))
         return F.filter(found, lambda d: window(d).rlike(fixed.GEO_HEAD) | window(d).rlike(fixed.GEO_POSTAL) | window(d).rlike(fixed.GEO_BUILDING))
 
 
-def scan(source: Column, view: Column, src: Column, which: Sequence[Detector], gazetteer: Gazetteer | None = None) -> Column:
-    """Resolved detections of one text; ``view`` and ``src`` are null where the text is its own view."""
-
-    def of(pair):
-        source_text, body = pair["source"], pair["body"]
-        found = F.concat(spans.no_detections(), *[d.find(body, i) for i, d in enumerate(which)])
-        last = F.size(pair["src"])
+def scan(source: Column, body: Column, src: Column, which: Sequence[Detector], gazetteer: Gazetteer | None = None) -> Column:
+    """Resolved detections of one reading of a text: its view, and the source place of each of the view's characters."""
+    found = spans.no_detections()
+    if which:
+        matches = F.concat(*[d.find(body, i) for i, d in enumerate(which)])
+        found = spans.detections(matches, source, src, [d.told() for d in which])
+    if gazetteer is not None and gazetteer.surfaces:
+        found = F.concat(found, gazetteer.find(source, len(which)))
+    return spans.resolve(found)
 
-        def back(d):
-            start, end = F.element_at(pair["src"], d["start"] + 1), F.element_at(pair["src"], F.least(d["end"], last)) + 1
-            return F.struct(start.alias("start"), end.alias("end"), d["kind"].alias("kind"), F.substr(source_text, start + 1, end - start).alias("text"), *[d[f].alias(f) for f in ("confidence", "source", "ord", "passed", "base", "boost", "matched_terms")], d["text"].alias("compat"))
 
-        mapped = F.when(pair["src"].isNull(), found).otherwise(F.transform(found, back))
-        if gazetteer is not None and gazetteer.surfaces:
-            mapped = F.concat(mapped, gazetteer.find(source_text, len(which)))
-        return spans.resolve(mapped)
-
-    pair = F.struct(source.alias("source"), spans.unmarked(F.coalesce(view, source)).alias("body"), src.alias("src"))
-    return F.when(source.isNotNull(), F.element_at(F.transform(F.array(pair), of), 1))
+def _folded(term: str) -> str:
+    """``text.fold_arabic`` of a fixed term."""
+    plain = "".join(fixed.LETTER_FOLD.get(c, c) for c in term if not re.match(fixed.MARKS, c))
+    return " ".join("".join(str(int(c)) if c.isdecimal() else c for c in plain).split()).lower()
 
 
 def context_boost(source: Column, found: Column) -> Column:
     """Higher confidence where a cue of the kind is among the last words before the span."""
+    terms = F.create_map(*[x for kind, cues in fixed.CONTEXT_TERMS.items() for x in (F.lit(kind), F.array(*map(F.lit, sorted({_folded(c) for c in cues}))))])
 
     def one(d):
         words = F.filter(F.split(F.substr(source, F.lit(1), d["start"]), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         last = F.transform(F.slice(words, F.greatest(F.size(words) - fixed.CONTEXT_WORDS, F.lit(0)) + 1, F.lit(fixed.CONTEXT_WORDS)), text.fold_arabic)
-        terms = F.array().cast("array<string>")
-        for kind, cues in fixed.CONTEXT_TERMS.items():
-            terms = F.when(d["kind"] == kind, F.transform(F.array(*map(F.lit, cues)), text.fold_arabic)).otherwise(terms)
-        hits = F.array_distinct(F.filter(last, lambda w: F.array_contains(terms, w)))
+        mine = F.try_element_at(terms, d["kind"])
+        hits = F.array_distinct(F.filter(last, lambda w: F.array_contains(mine, w)))
         new = F.greatest(F.least(d["confidence"] + fixed.CONTEXT_BOOST, F.lit(1.0)), F.lit(fixed.CONTEXT_LEAST))
-        up = F.size(hits) > 0
-        return F.when(
-            up & d["passed"].isNull(),
-            F.struct(*[d[f].alias(f) for f in ("start", "end", "kind", "text")], new.alias("confidence"), *[d[f].alias(f) for f in ("source", "ord", "passed")], d["confidence"].alias("base"), (new - d["confidence"]).alias("boost"), hits.alias("matched_terms"), d["compat"].alias("compat")),
-        ).otherwise(d)
+        up = (F.size(hits) > 0) & d["passed"].isNull() & mine.isNotNull()
+        return F.when(up, d.withField("confidence", new).withField("base", d["confidence"]).withField("boost", new - d["confidence"]).withField("matched_terms", hits)).otherwise(d)
 
     return F.transform(found, one)
 
@@ -161,29 +164,52 @@ class Suppressor:
         return F.filter(found, lambda d: ~F.array_contains(listed, F.concat(F.lit("\x1f"), F.lower(d["text"]))) & ~F.array_contains(listed, F.concat(d["kind"], F.lit("\x1f"), F.lower(d["text"]))))
 
 
+def _readings(source: Column, views: Column, at: Column) -> Column:
+    """A text's readings (source, body, src, turned?): as it stands, and turned where that changes anything."""
+    turned = text.reverse_arabic_runs(source)
+    reading = lambda s, v, back: F.struct(s.alias("source"), spans.unmarked(F.coalesce(v["text"], text.stable_view(s))).alias("body"), v["src"].alias("src"), F.lit(back).alias("turned"))
+    plain = reading(source, F.get(views, at * 2), False)
+    return F.when(turned != source, F.array(plain, reading(turned, F.get(views, at * 2 + 1), True))).otherwise(F.array(plain))
+
+
+def detect_all(df: DataFrame, texts: Column, out: str, which: Sequence[Detector] = DETECTORS, gazetteer: Gazetteer | None = None) -> DataFrame:
+    """Adds, for an array of texts, the array of each one's pattern detections, boosted by context; null for a null text."""
+    df = df.withColumn("__texts", texts)
+    both = F.flatten(F.transform("__texts", lambda s: F.array(s, text.reverse_arabic_runs(s))))
+    df = df.withColumn("__views", F.coalesce(text.unstable_views(both), F.array().cast(T.ArrayType(text.VIEW))))
+
+    def of(source, at):
+        def read(r):
+            # spans of a turned reading index the text as it stands, and so do their values
+            own = lambda d: F.when(r["turned"], F.substr(source, d["start"] + 1, d["end"] - d["start"])).otherwise(d["compat"])
+            return F.transform(scan(r["source"], r["body"], r["src"], which, gazetteer), lambda d: d.withField("compat", own(d)))
+
+        found = F.transform(_readings(source, F.col("__views"), at), read)
+        merged = F.transform(F.array(found), lambda f: F.when(F.size(f) > 1, spans.merge(f[0], F.get(f, F.lit(1)))).otherwise(f[0]))
+        return F.when(source.isNotNull(), context_boost(source, merged[0]))
+
+    return df.withColumn(out, F.transform("__texts", of)).drop("__texts", "__views")
+
+
 def detect(df: DataFrame, text_col: str = "text", out: str = "detections", which: Sequence[Detector] = DETECTORS, gazetteer: Gazetteer | None = None, suppressor: Suppressor | None = None, engines: Sequence[Callable[[Column], Column]] = ()) -> DataFrame:
     """Adds the array of detections of a text column.
 
     ``engines`` are Columns of model detections (see ``ner``), merged in order
     after the context boost and before tokens and phrases are dropped.
     """
-    source = F.col(text_col)
-    turned = text.reverse_arabic_runs(source)
-    changed = text.has_arabic(source) & (turned != source)
-    df = df.withColumn("__view", text.matching_view(source)).withColumn("__turned", F.when(changed, turned))
-    df = df.withColumn("__turned_view", text.matching_view(F.col("__turned")))
-    first = scan(source, F.col("__view.text"), F.col("__view.src"), which, gazetteer)
-    second = scan(F.col("__turned"), F.col("__turned_view.text"), F.col("__turned_view.src"), which, gazetteer)
-    # spans of the turned view index the original text, and so do their values
-    own = lambda d: F.struct(*[d[f].alias(f) for f in ("start", "end", "kind", "text", "confidence", "source", "ord", "passed", "base", "boost", "matched_terms")], F.substr(source, d["start"] + 1, d["end"] - d["start"]).alias("compat"))
-    found = F.when(F.col("__turned").isNull(), first).otherwise(spans.merge(first, F.transform(F.coalesce(second, spans.no_detections()), own)))
-    df = df.withColumn(out, context_boost(source, found))
+    free(df, out)
+    source = F.col(f"`{text_col}`")
+    df = detect_all(df, F.array(source), "__all", which, gazetteer).withColumn(out, F.get("__all", F.lit(0))).drop("__all")
     for i, engine in enumerate(engines):
         df = df.withColumn(f"__engine{i}", engine(source))
     if engines:
         df = df.withColumn(out, spans.merge(F.col(out), F.concat(*[F.coalesce(F.col(f"__engine{i}"), spans.no_detections()) for i in range(len(engines))])))
-    kept = F.filter(F.col(out), lambda d: ~checks.is_placeholder(d["text"]))
-    return df.withColumn(out, (suppressor or Suppressor()).keep(kept)).drop("__view", "__turned", "__turned_view", *[f"__engine{i}" for i in range(len(engines))])
+    return df.withColumn(out, kept(F.col(out), suppressor)).drop(*[f"__engine{i}" for i in range(len(engines))])
+
+
+def kept(found: Column, suppressor: Suppressor | None = None) -> Column:
+    """Detections that are no tokens and no suppressed phrases."""
+    return (suppressor or Suppressor()).keep(F.filter(found, lambda d: ~checks.is_placeholder(d["text"])))
 
 
 def detect_rows(df: DataFrame, id_col: str, text_col: str = "text", **options) -> DataFrame:

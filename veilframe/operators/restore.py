@@ -6,53 +6,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .spans import CLOSE, OPEN
+from .tables import free, join_by_key
 
 _EXACT = r"(?:EMAIL|PHONE|IBAN|CR|TAX_ID|GOV_ID|PERSON|ORG|ADDRESS)_[A-F0-9]{16}"
 #: A token of 16 digits wherever it stands, or a token-shaped word of another length.
-_ANY = rf"{fixed.PRIVATE_TOKEN}|{_EXACT}"
+ANY_TOKEN = rf"{fixed.PRIVATE_TOKEN}|{_EXACT}"
 HEX = 16
+_FOUND = "array<struct<token:string,value:string,name:string>>"
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    return F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, "��"), pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+def tokens_in(text: Column, pattern: str = ANY_TOKEN) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def restore(df: DataFrame, vault: DataFrame, text_col: str = "text", key: str = "id", fuzzy: bool = True) -> DataFrame:
-    """Restores a text column; adds ``restored`` and ``unrestored`` (sorted tokens).
+def with_values(text: Column, found: Column, pattern: str = ANY_TOKEN) -> Column:
+    """The text with each token that ``found`` (token, value, name) knows replaced by its value."""
+    value = lambda t: F.get(F.transform(F.filter(found, lambda f: f["token"] == t), lambda f: f["value"]), F.lit(0))
+    put = lambda plain, t: F.concat(plain, F.coalesce(value(t), t, F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), tokens_in(text, pattern), put), "")
 
-    ``key`` identifies a row.  Tokens are looked up with one join; values that
-    hold tokens themselves are resolved in the vault first, once.  Rows without
-    a token are not shuffled.
+
+def values_of(asked: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """(token, value, name of the vault's token, n) of the asked tokens (token, n) that the vault knows, exactly or within two edits.
+
+    Values that hold tokens themselves are resolved first, once.
     """
     values = _resolved(vault.select("token", "value").dropDuplicates(["token"]))
-    has = F.col(text_col).rlike(_ANY)
-    parts = df.where(has).select(F.col(key).alias("__k"), F.posexplode(_pieces(F.col(text_col), _ANY)).alias("__i", "__p"))
-    mapping = values.select("token", "value", F.col("token").alias("name"))
-    if fuzzy:
-        asked = parts.where("__i % 2 = 1").select(F.col("__p").alias("token")).distinct()
-        lost = asked.join(values.select("token"), "token", "left_anti").where(F.col("token").rlike(rf"\A{fixed.PRIVATE_TOKEN[4:]}\z"))
-        near = nearest(lost, values).join(values.select(F.col("token").alias("best"), "value"), "best")
-        mapping = mapping.unionByName(near.select("token", "value", F.col("best").alias("name")))
-    joined = parts.join(mapping.select(F.col("token").alias("__p"), "value", "name"), "__p", "left")
-    token = F.col("__i") % 2 == 1
-    done = joined.groupBy("__k").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.when(token, F.coalesce("value", "__p")).otherwise(F.col("__p")).alias("t")))), lambda x: x["t"]), "").alias("__new"),
-        F.array_sort(F.collect_set(F.when(token, F.col("name")))).alias("__hits"),
-        F.array_sort(F.collect_set(F.when(token & F.col("name").isNull(), F.col("__p")))).alias("__left"),
-    )
+    known = asked.join(values, "token").select("token", "value", F.col("token").alias("name"), "n")
+    if not fuzzy:
+        return known
+    lost = asked.join(values.select("token"), "token", "left_anti").where(F.col("token").rlike(rf"\A(?:{fixed.PRIVATE_TOKEN_BARE})\z"))
+    near = nearest(lost, values).join(values.select(F.col("token").alias("best"), "value"), "best").join(lost, "token")
+    return known.unionByName(near.select("token", "value", F.col("best").alias("name"), "n"))
+
+
+def look_up(rows: DataFrame, text: Column, vault: DataFrame, fuzzy: bool = True, out: str = "__found") -> DataFrame:
+    """Adds the array (token, value, name) of the tokens of a text that the vault knows.
+
+    The result depends on the text alone, so a text's digest stands for it: no
+    column of the rows need identify them, and no text is shuffled but for rows
+    that hold a token.  A text that many rows share and a token that many texts
+    share are joined where they are (see ``join_by_key``).
+    """
+    held = rows.where(text.rlike(ANY_TOKEN)).withColumn("__text", F.unhex(F.sha2(text, 256)))
+    plain = rows.where(~F.coalesce(text.rlike(ANY_TOKEN), F.lit(False)))
+    pairs = held.select("__text", F.explode(F.array_distinct(tokens_in(text))).alias("token")).distinct()
+    asked = pairs.groupBy("token").agg(F.count("*").alias("n"))
+    found = join_by_key(pairs, values_of(asked, vault, fuzzy), "token", "n").groupBy("__text").agg(F.array_sort(F.collect_list(F.struct("token", "value", "name"))).alias(out))
+    texts = held.groupBy("__text").agg(F.count("*").alias("n")).join(found, "__text", "left").withColumn(out, F.coalesce(out, F.array().cast(_FOUND)))
+    return join_by_key(held, texts, "__text", "n").drop("__text").unionByName(plain.withColumn(out, F.array().cast(_FOUND)))
+
+
+def restore(df: DataFrame, vault: DataFrame, text_col: str = "text", fuzzy: bool = True, restored: str = "restored", unrestored: str = "unrestored") -> DataFrame:
+    """Restores a text column; adds the sorted tokens that were restored (as the vault has them) and those left.
+
+    Every row is restored on its own, whatever its other columns hold; a null
+    text stays null.
+    """
+    free(df, restored, unrestored)
+    text = F.col(f"`{text_col}`")
+    out = look_up(df, text, vault, fuzzy)
+    names = F.array_sort(F.array_distinct(F.transform("__found", lambda f: f["name"])))
+    left = F.array_sort(F.array_except(tokens_in(text), F.transform("__found", lambda f: f["token"])))
     none = F.array().cast("array<string>")
-    out = df.join(done, df[key] == F.col("__k"), "left")
-    return out.withColumns({text_col: F.coalesce("__new", text_col), "restored": F.coalesce("__hits", none), "unrestored": F.coalesce("__left", none)}).drop("__k", "__new", "__hits", "__left")
+    new = F.when(F.size("__found") > 0, with_values(text, F.col("__found"))).otherwise(text)
+    return out.withColumns({restored: names, unrestored: F.coalesce(left, none), text_col: new}).drop("__found")
 
 
 def _resolved(values: DataFrame) -> DataFrame:
     """The vault with tokens inside its values replaced (values rarely hold any)."""
-    holds = F.col("value").rlike(_EXACT)
-    inner = values.where(holds).select("token", F.posexplode(_pieces(F.col("value"), _EXACT)).alias("i", "p"))
-    known = values.select(F.col("token").alias("p"), F.col("value").alias("v"))
-    new = inner.join(known, "p", "left").groupBy("token").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", "p").alias("t")))), lambda x: x["t"]), "").alias("value"))
-    return values.where(~F.coalesce(holds, F.lit(False))).unionByName(new)
+    holds = F.coalesce(F.col("value").rlike(_EXACT), F.lit(False))
+    inner = values.where(holds)
+    asked = inner.select(F.col("token").alias("holder"), F.explode(F.array_distinct(tokens_in(F.col("value"), _EXACT))).alias("token"))
+    known = asked.join(values, "token").groupBy("holder").agg(F.collect_list(F.struct("token", "value", F.col("token").alias("name"))).alias("found"))
+    new = inner.join(known, inner.token == known.holder, "left").select("token", F.coalesce(with_values(F.col("value"), F.col("found"), _EXACT), "value").alias("value"))
+    return values.where(~holds).unionByName(new)
 
 
 def nearest(needles: DataFrame, vault: DataFrame, order_col: str = "token") -> DataFrame:

@@ -18,39 +18,66 @@ OPEN, CLOSE = "\ue000", "\ue001"
 
 def unmarked(s: Column) -> Column:
     """The text with the marks replaced one to one."""
-    return F.translate(s, OPEN + CLOSE, "��")
+    return F.when(s.contains(OPEN) | s.contains(CLOSE), F.translate(s, OPEN + CLOSE, "��")).otherwise(s)
 
 
-def detection(start: Column, text: Column, kind, confidence, source, order, passed=None) -> Column:
-    none = F.lit(None)
-    return F.struct(
-        start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), F.lit(kind).alias("kind"), text.alias("text"), F.lit(confidence).cast("double").alias("confidence"), F.lit(source).alias("source"), order.cast("int").alias("ord"),
-        F.lit(passed).cast("boolean").alias("passed"), none.cast("double").alias("base"), none.cast("double").alias("boost"), none.cast("array<string>").alias("matched_terms"), text.alias("compat"),
-    )
+#: A match of one pattern: where it starts in the view, its number (pattern and place), and its text there.
+_MATCHES = "array<struct<start:int,ord:int,text:string>>"
+#: Numbers of one pattern's matches.
+PER_PATTERN = 1_000_000
+
+
+def no_matches() -> Column:
+    return F.array().cast(_MATCHES)
 
 
 def no_detections() -> Column:
     return F.array().cast(DETECTIONS)
 
 
-def find(view: Column, pattern: str, cued: bool, kind: str, confidence: float, source: str, number: int, gate: Callable | None = None, prefilter: Callable | None = None, passed=None) -> Column:
-    """Detections of one pattern in the view; ``gate(value, before, after)`` decides each.
+def find(view: Column, pattern: str, cued: bool, number: int, gate: Callable | None = None, prefilter: Callable | None = None) -> Column:
+    """Matches of one pattern in the view; ``gate(value, before, after)`` decides each.
 
-    ``cued`` patterns have three groups, of which the second is the value.
+    ``cued`` patterns have three groups, of which the second is the value.  A
+    match is kept small here; ``detections`` makes detections of all of them at once.
     """
     marked = F.regexp_replace(view, pattern, f"$1{OPEN}$2{CLOSE}$3" if cued else f"{OPEN}$0{CLOSE}")
     parts = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), no_detections().alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), no_matches().alias("out"))
 
     def step(s, p):
-        good = (s["i"] % 2 == 1) & (F.length(F.trim(p)) > 0) & ~p.rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
+        good = (s["i"] % 2 == 1) & p.rlike(r"(?U)[^\s\x1c-\x1f]")
         if gate is not None:
             good = good & gate(p, F.substr(view, s["at"], F.when(s["at"] > 0, 1).otherwise(0)), F.substr(view, s["at"] + F.length(p) + 1, F.lit(1)))
-        found = F.array(detection(s["at"], p, kind, confidence, source, F.lit(number * 1_000_000) + s["i"], passed))
+        found = F.array(F.struct(s["at"].alias("start"), (F.lit(number * PER_PATTERN) + s["i"]).alias("ord"), p.alias("text")))
         return F.struct((s["at"] + F.length(p)).alias("at"), (s["i"] + 1).alias("i"), F.when(good, F.concat(s["out"], found)).otherwise(s["out"]).alias("out"))
 
     found = F.aggregate(parts, start, step, lambda s: s["out"])
-    return F.when(prefilter(view), found).otherwise(no_detections()) if prefilter is not None else found
+    hit = F.size(parts) > 1 if prefilter is None else prefilter(view) & (F.size(parts) > 1)
+    return F.when(hit, found).otherwise(no_matches())
+
+
+def detections(found: Column, source: Column, src: Column, kinds: list[tuple[str, float, str, bool | None]]) -> Column:
+    """Detections of matches in a view: their kind, confidence, source and passed check by pattern, their place and text in the source.
+
+    ``src`` has the source place of each character of the view; null: the same place.
+    """
+    by = [F.array(*map(F.lit, x)) for x in zip(*[(k, float(c), s) for k, c, s, _ in kinds], strict=True)]
+    passed = F.array(*[F.lit(p).cast("boolean") for *_, p in kinds])
+    none = F.lit(None)
+
+    def one(m):
+        pattern = F.floor(m["ord"] / PER_PATTERN).cast("int") + 1
+        stop = m["start"] + F.length(m["text"])
+        start = F.when(src.isNull(), m["start"]).otherwise(F.element_at(src, m["start"] + 1)).cast("int")
+        end = F.when(src.isNull(), stop).otherwise(F.element_at(src, F.least(stop, F.size(src))) + 1).cast("int")
+        kind, confidence, name = (F.element_at(x, pattern) for x in by)
+        return F.struct(
+            start.alias("start"), end.alias("end"), kind.alias("kind"), F.substr(source, start + 1, end - start).alias("text"), confidence.alias("confidence"), name.alias("source"), m["ord"].alias("ord"),
+            F.element_at(passed, pattern).alias("passed"), none.cast("double").alias("base"), none.cast("double").alias("boost"), none.cast("array<string>").alias("matched_terms"), m["text"].alias("compat"),
+        )
+
+    return F.transform(found, one)
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -8,29 +8,12 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import checks, text
+from ..model import Policy
 from . import detect as D
 from . import spans, tokens
+from .keys import header_kind, key_kind, table_kinds
 
-
-def _has(key: str, terms: list[str]) -> bool:
-    parts = key
-    for c in "-. /":
-        parts = parts.replace(c, "_")
-    parts = parts.split("_")
-    return any(t in parts if t.isascii() and not any(c in t for c in "_-. /") else t in key for t in terms)
-
-
-def key_kind(key: str | None, letters: bool = True) -> str | None:
-    """The kind that a key's values hold; ``letters``: the value has a letter."""
-    if key is None:
-        return None
-    key = key.lower()
-    if _has(key, fixed.KEYS_SKIPPED):
-        return None
-    for kind, terms in fixed.KEY_GROUPS:
-        if _has(key, terms) and (kind != "PERSON" or letters):
-            return kind
-    return None
+__all__ = ["header_kind", "key_kind", "key_kind_column", "redact_structured", "redact_table", "table_kinds"]
 
 
 def key_kind_column(key: Column, value: Column) -> Column:
@@ -56,11 +39,10 @@ def _scan_inline(value: Column, secret: str, tenant: str, which) -> Column:
     """Detect and replace inside a nested leaf: built-ins only, so the view folds digits but has no compatibility forms."""
 
     def of(v):
-        found = spans.resolve(F.concat(spans.no_detections(), *[d.find(text.fold_digits(spans.unmarked(v)), i) for i, d in enumerate(which)]))
-        edits = F.transform(F.filter(found, lambda d: ~checks.is_placeholder(d["text"])), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), tokens.derive(d["kind"], text.normalize_for_kind(d["kind"], d["text"], d["text"]), secret, tenant).alias("new")))
-        return spans.splice(v, edits)
+        found = D.kept(D.scan(v, text.stable_view(spans.unmarked(v)), F.lit(None).cast("array<int>"), which))
+        return spans.splice(v, tokens.edits_of(v, found, secret, tenant, None, Policy()))
 
-    return F.when(value.isNotNull(), F.element_at(F.transform(F.array(text.scrub(value)), of), 1))
+    return F.when(value.isNotNull(), F.transform(F.array(text.scrub(value)), of)[0])
 
 
 def redact_leaf(value: Column, key: str | None, secret: str, tenant: str = "", which=D.DETECTORS) -> Column:
@@ -95,42 +77,22 @@ def redact_structured(df: DataFrame, secret: str, tenant: str = "", columns: lis
     return df.select(*[redact_column(F.col(f"`{f.name}`"), f.dataType, f.name, leaf).alias(f.name) if columns is None or f.name in columns else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
-def header_kind(header: str) -> str | None:
-    """The kind that a table column's cells hold."""
-    h = text.normalize_header(header)
-    if h.endswith((".id", ".module")):
-        return None
-    if any(t in h for t in fixed.HEADER_EMAIL) and not any(t in h for t in fixed.HEADER_EMAIL_NOT):
-        return "EMAIL"
-    if any(t in h for t in fixed.HEADER_PHONE) or h in fixed.HEADER_PHONE_EXACT:
-        return "PHONE"
-    if h.endswith(tuple(fixed.HEADER_ADDRESS)):
-        return "ADDRESS"
-    if h in fixed.HEADER_PERSON or ("name" in h and not any(t in h for t in fixed.HEADER_PERSON_NOT)):
-        return "PERSON"
-    return "ORGANIZATION" if h in fixed.HEADER_ORGANIZATION else None
-
-
-def redact_table(df: DataFrame, secret: str, tenant: str = "") -> DataFrame:
-    """String columns by their headers: whole cells as tokens, other cells scanned if they may hold something; blanks stay."""
-    out = df
-    for f in df.schema.fields:
-        if not isinstance(f.dataType, T.StringType):
-            continue
-        c, kind = F.col(f"`{f.name}`"), header_kind(f.name)
-        if kind is not None:
-            new = tokens.token_for(kind, c, secret, tenant)
-        else:
-            out = tokens.anonymize(out.withColumn("__cell", F.when(checks.may_be_personal(c), c)), "__cell", secret, tenant, detections="__d", records="__r")
-            new = F.coalesce("__cell", c)
-        out = out.withColumn(f.name, F.when(c.isNull() | (F.trim(c) == ""), c).otherwise(new)).drop("__cell", "__d", "__r")
-    return out
-
+def redact_table(df: DataFrame, secret: str, tenant: str = "", which=D.DETECTORS) -> DataFrame:
+    """String columns by their headers: whole cells as tokens, other cells scanned if they may hold something; blanks stay.
 
-def table_kinds(columns: list[str]) -> dict[str, int]:
-    """How many columns of a table hold each kind."""
-    out: dict[str, int] = {}
-    for k in map(header_kind, columns):
-        if k:
-            out[k] = out.get(k, 0) + 1
-    return out
+    The cells of all other string columns are one array, which one scan reads.
+    """
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    told = {n: k for n in names if (k := header_kind(n)) is not None}
+    plain = [n for n in names if n not in told]
+    cell = lambda n: F.col(f"`{n}`")
+    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    new = {n: F.when(blank(cell(n)), cell(n)).otherwise(tokens.token_for(k, cell(n), secret, tenant)) for n, k in told.items()}
+    out = df
+    if plain:
+        scrubbed = F.transform(F.array(*[F.when(~blank(cell(n)) & checks.may_be_personal(cell(n)), cell(n)) for n in plain]), text.scrub)
+        out = D.detect_all(out.withColumn("__cells", scrubbed), F.col("__cells"), "__found", which)
+        done = F.transform("__cells", lambda c, i: spans.splice(c, tokens.edits_of(c, D.kept(F.get("__found", i)), secret, tenant)))
+        out = out.withColumn("__done", done)
+        new |= {n: F.coalesce(F.get("__done", F.lit(i)), cell(n)) for i, n in enumerate(plain)}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])

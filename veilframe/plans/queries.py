@@ -93,7 +93,7 @@ def format_kinds(spark, sf_dir):
 
 
 def html_text(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", formats.extract(F.encode("html", "UTF-8"), F.lit("HTML")).alias("x"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", formats.extracting()(F.encode("html", "UTF-8"), F.lit("HTML")).alias("x"))
     return pages.select("page_id", F.posexplode("x.segments").alias("node", "s"), F.col("x.text").alias("text")).select("page_id", "node", F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"))
 
 
@@ -231,7 +231,7 @@ def conversation_redact(spark, sf_dir):
 
 def hook_decisions(spark, sf_dir):
     rows = carrier(spark, sf_dir, "contact").select("id", F.element_at(F.array(*map(F.lit, ["UserPromptSubmit", "PreToolUse", "PreToolUse", "PostToolUse"])), (F.col("id") % 4 + 1).cast("int")).alias("event"), F.when(F.col("id") % 4 == 1, "Write").otherwise("Bash").alias("tool"), F.when(F.col("id") % 3 == 0, F.lit("nothing")).otherwise(F.col("text")).alias("payload"))
-    return guard.hook_decision(rows, which=CONTACT).select("id", "decision", "summary")
+    return guard.hook_decision(rows, secret=SECRET, tenant=TENANT, which=CONTACT).select("id", "decision", "summary")
 
 
 def stream_restore(spark, sf_dir):

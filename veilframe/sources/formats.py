@@ -1,8 +1,9 @@
 """Document formats over ``binaryFile`` rows.
 
 Kind detection is Column expressions.  Parsing containers has no built-in:
-``extract`` and ``emit`` are Arrow UDFs around small parsers; detection between
-them stays native.  Every adapter gives one text with separators and a list of
+``extracting`` and ``emitting`` make Arrow UDFs around small parsers, the
+``ADAPTERS`` by kind, to which a caller may add others; detection between them
+stays native.  Every adapter gives one text with separators and a list of
 segments (start, end, locator), and puts a changed text back piece by piece; a
 changed number of pieces is an error.
 """
@@ -15,6 +16,9 @@ import io
 import json
 import re
 import zipfile
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -212,6 +216,10 @@ def emit_bytes(content: bytes, kind: str, changed: str) -> bytes:
     return out.getvalue()
 
 
+def _emit_kind(kind: str, content: bytes, changed: str) -> bytes:
+    return emit_bytes(content, kind, changed)
+
+
 def _splice(source: str, ranges: list[tuple[int, int]], new: list[str]) -> str:
     out, at = [], 0
     for (a, b), x in zip(ranges, new, strict=True):
@@ -220,25 +228,45 @@ def _splice(source: str, ranges: list[tuple[int, int]], new: list[str]) -> str:
     return "".join(out) + source[at:]
 
 
-@pandas_udf(EXTRACTED)
-def extract(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
-    """Text and segments; a document that cannot be read has an error and no text."""
-    rows = []
-    for c, k in zip(content, kind, strict=True):
-        try:
-            text, segments = extract_text(bytes(c), k)
-            rows.append((text, [{"start": a, "end": b, "locator": w} for a, b, w in segments], None))
-        except Exception as e:  # noqa: BLE001 - the error is the row's result
-            rows.append((None, None, f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(rows, columns=["text", "segments", "error"])
-
-
-@pandas_udf(EMITTED)
-def emit(content: pd.Series, kind: pd.Series, changed: pd.Series) -> pd.DataFrame:
-    rows = []
-    for c, k, t in zip(content, kind, changed, strict=True):
-        try:
-            rows.append((emit_bytes(bytes(c), k, t) if t is not None else None, None))
-        except Exception as e:  # noqa: BLE001 - the error is the row's result
-            rows.append((None, f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(rows, columns=["content", "error"])
+@dataclass(frozen=True)
+class Adapter:
+    """How a kind of document is read, (text, segments) of its bytes, and how a changed text is put back."""
+
+    extract: Callable[[bytes], tuple[str, list[tuple[int, int, str]]]]
+    emit: Callable[[bytes, str], bytes]
+
+
+ADAPTERS = {kind: Adapter(partial(extract_text, kind=kind), partial(_emit_kind, kind)) for kind in dict.fromkeys(fixed.SEGMENT_EXTENSIONS.values())}
+
+
+def extracting(adapters: dict[str, Adapter] = ADAPTERS):
+    """A column function (content, kind) -> text and segments; a document that cannot be read has an error and no text."""
+
+    @pandas_udf(EXTRACTED)
+    def run(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, k in zip(content, kind, strict=True):
+            try:
+                text, segments = adapters[k].extract(bytes(c))
+                rows.append((text, [{"start": a, "end": b, "locator": w} for a, b, w in segments], None))
+            except Exception as e:  # noqa: BLE001 - the error is the row's result
+                rows.append((None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["text", "segments", "error"])
+
+    return run
+
+
+def emitting(adapters: dict[str, Adapter] = ADAPTERS):
+    """A column function (content, kind, changed text) -> new content, or an error."""
+
+    @pandas_udf(EMITTED)
+    def run(content: pd.Series, kind: pd.Series, changed: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, k, t in zip(content, kind, changed, strict=True):
+            try:
+                rows.append((adapters[k].emit(bytes(c), t) if t is not None else None, None))
+            except Exception as e:  # noqa: BLE001 - the error is the row's result
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["content", "error"])
+
+    return run

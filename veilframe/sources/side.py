@@ -7,23 +7,50 @@ import hashlib
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.functions import pandas_udf
 
 from .. import fixed
 from ..functions import text
 from ..operators.detect import Gazetteer, Suppressor
+from .formats import json_leaves
 
 _GOLD = "file string, start int, end int, kind string, text string, confidence_floor double"
 _VAULT = "kind string, token string, value string, normalized string"
 
 
-def read_gold(spark: SparkSession, gold: str, corpus: str) -> tuple[DataFrame, DataFrame]:
-    """(spans in code points, texts): byte offsets become code points; spans inside a character or of other kinds are left out."""
-    texts = spark.read.format("binaryFile").load(corpus).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("text"))
-    rows = spark.read.schema(_GOLD).json(gold).where(F.col("kind").isin(*fixed.KINDS)).drop("text")
-    spans = rows.join(texts, "file").select("file", text.byte_to_char(F.col("text"), F.col("start")).alias("start"), text.byte_to_char(F.col("text"), F.col("end")).alias("end"), "kind")
-    return spans.where("start is not null and end is not null"), texts.join(rows.select("file").distinct(), "file", "left_semi")
+def read_gold(spark: SparkSession, gold: str, *folders: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans in code points, texts, counts) of gold rows and the first folder's text of each file.
+
+    Byte offsets become code points; spans inside a character are left out, and
+    so are spans of other kinds, which ``counts`` has: one row of files, gold
+    (spans in scope) and out_of_scope.
+    """
+    texts = None
+    for rank, folder in enumerate(folders):
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.lit(rank).alias("rank"), F.decode("content", "UTF-8").alias("text"))
+        texts = read if texts is None else texts.unionByName(read)
+    rows = spark.read.schema(_GOLD).json(gold).drop("text")
+    texts = texts.join(rows.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.min_by("text", "rank").alias("text"))
+    return gold_spans(rows, texts), texts, gold_counts(rows, texts)
+
+
+def gold_spans(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Gold rows (file, start, end, kind) in scope, in code points of their texts."""
+    placed = rows.where(F.col("kind").isin(*fixed.KINDS)).join(texts, "file").select("file", text.byte_to_char(F.col("text"), F.col("start")).alias("start"), text.byte_to_char(F.col("text"), F.col("end")).alias("end"), "kind")
+    return placed.where("start is not null and end is not null")
+
+
+def gold_counts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """files, gold spans and spans out of scope, of the gold rows that have a text."""
+    here = rows.join(texts.select("file"), "file", "left_semi")
+    inside = F.col("kind").isin(*fixed.KINDS)
+    spans = gold_spans(rows, texts).agg(F.count("*").alias("gold"))
+    return here.agg(F.countDistinct("file").alias("files"), F.count_if(~inside).alias("out_of_scope")).crossJoin(spans).select("files", "gold", "out_of_scope")
 
 
 def read_phrases(spark: SparkSession, path: str) -> Suppressor:
@@ -77,5 +104,72 @@ def load_vault(spark: SparkSession, path: str, secret: str) -> DataFrame:
 
 
 def json_text_leaves(body: Column) -> Column:
-    """(pointer, text) of the strings of a flat or nested JSON text, natively for one level of keys."""
-    return F.transform(F.filter(F.map_entries(F.from_json(body, "map<string,string>")), lambda e: e["value"].isNotNull()), lambda e: F.struct(F.concat(F.lit("/"), text.pointer_escape(e["key"])).alias("pointer"), e["value"].alias("text")))
+    """(pointer, text) of the string values of a JSON text at any depth, by sorted keys; numbers, booleans and nulls are no text."""
+    return _string_leaves(body)
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("pointer", T.StringType()), T.StructField("text", T.StringType())])))
+def _string_leaves(bodies: pd.Series) -> pd.Series:
+    def one(body):
+        try:
+            return None if body is None else [{"pointer": p, "text": t} for p, t in json_leaves(json.loads(body))]
+        except ValueError:
+            return None
+
+    return bodies.map(one)
+
+
+class TranscriptTail(DataSource):
+    """Streaming source ``transcript_tail``: the complete lines that are added to the newest file of a folder.
+
+    It begins at the end of the file that is newest then (option ``from`` =
+    ``start``: at its beginning), goes on with a newer file when there is one, and
+    from the beginning of a file that became shorter.  The folder is read by the
+    driver, which must have it mounted.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "transcript_tail"
+
+    def schema(self) -> str:
+        return "path string, value string"
+
+    def simpleStreamReader(self, schema):
+        return TailReader(self.options["path"], self.options.get("from", "end"))
+
+
+class TailReader(SimpleDataSourceStreamReader):
+    def __init__(self, folder: str, begin: str):
+        self.folder, self.begin = folder, begin
+
+    def newest(self) -> str:
+        files = [e for e in os.scandir(self.folder) if e.is_file()] if os.path.isdir(self.folder) else []
+        return max(files, key=lambda e: (e.stat().st_mtime_ns, e.path)).path if files else ""
+
+    def initialOffset(self) -> dict:
+        path = self.newest()
+        return {"path": path, "at": os.path.getsize(path) if path and self.begin == "end" else 0}
+
+    def read(self, start: dict):
+        path, at = start["path"], start["at"]
+        if (latest := self.newest()) != path:
+            path, at = latest, 0
+        if not path:
+            return iter([]), start
+        if os.path.getsize(path) < at:
+            at = 0
+        lines, stop = self.lines(path, at, None)
+        return iter(lines), {"path": path, "at": stop}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        same = start["path"] == end["path"] and start["at"] <= end["at"]
+        return iter(self.lines(end["path"], start["at"] if same else 0, end["at"])[0])
+
+    @staticmethod
+    def lines(path: str, at: int, stop: int | None) -> tuple[list[tuple[str, str]], int]:
+        with open(path, "rb") as f:
+            f.seek(at)
+            data = f.read() if stop is None else f.read(stop - at)
+        whole = data[: data.rfind(b"\n") + 1]
+        return [(path, x.decode("utf-8", "replace")) for x in whole.split(b"\n")[:-1]], at + len(whole)

@@ -1,26 +1,114 @@
 """Restoring tokens in event streams whose tokens are split between events.
 
-``EventRestorer`` is the state of one stream: held-back tails by channel.
-``restore_batch`` runs it over a bounded table, ``restore_stream`` over a
-streaming one with arbitrary state; both sort a stream's events by ``seq``,
-and the streaming form keeps events that arrive early until the gap is filled.
+The work is two steps.  Re-cutting needs a stream's order and a little state, but
+no vault: text that may be the beginning of a token waits for the event that
+goes on with it, so afterwards every token stands whole in one event, between
+marks.  ``FIELDS`` says for each kind of event where its texts stand, which of
+them go on in one another, and what event tells a rest; one walker reads it.
+Looking values up needs the vault but no state: ``put_values`` is a join over the
+marked tokens, so no worker holds the vault, however large it is, and a running
+stream joins each of its batches with the vault as it is then.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .. import fixed
+from ..operators import restore, spans
 
-#: Vault rows that may be broadcast to the restoring workers.
-VAULT_ROWS = 1_000_000
+#: Marks around a token to look up, and the escape that keeps such characters of the stream itself apart.
+OPEN, CLOSE, ESCAPE = spans.OPEN, spans.CLOSE, "\ue002"
+_SAVED = {ESCAPE: ESCAPE + "2", OPEN: ESCAPE + "0", CLOSE: ESCAPE + "1"}
 _TAIL = re.compile(r"[A-Z0-9_]*\Z")
-_TOKEN = re.compile(r"(?:EMAIL|PHONE|IBAN|CR|TAX_ID|GOV_ID|PERSON|ORG|ADDRESS)_[A-F0-9]{16}")
+_TOKEN = re.compile(rf"{fixed.PRIVATE_TOKEN_BARE}|(?:EMAIL|PHONE|IBAN|CR|TAX_ID|GOV_ID|PERSON|ORG|ADDRESS)_[A-F0-9]{{16}}")
+
+
+class Field(NamedTuple):
+    """A text of an event: its path ("*" is every list item), and by the items on the way its channel and the event of a rest.
+
+    ``rest`` gives that event with None in the text's place, and the path there; without it a rest is told by the stream itself.
+    """
+
+    path: tuple[str, ...]
+    channel: Callable[[dict, list[tuple[int, dict]]], list]
+    rest: Callable[[dict, list[tuple[int, dict]]], tuple[dict, list]] | None = None
+    where: tuple[tuple[str, ...], str] | None = None
+
+
+def whole(value, default: int) -> int:
+    """A whole JSON number; anything else (a bool, a string, a fraction) is the default."""
+    return value if type(value) is int else default
+
+
+def _block(kind: str, name: str) -> Field:
+    at = lambda e: whole(e.get("index"), 0)
+    return Field(("delta", name), lambda e, _: ["block", at(e)], lambda e, _: ({"type": "content_block_delta", "index": at(e), "delta": {"type": kind, name: None}}, ["delta", name]), (("delta", "type"), kind))
+
+
+def _choice(delta: dict, path: list, by: list[tuple[int, dict]]) -> tuple[dict, list]:
+    return {"object": "chat.completion.chunk", "choices": [{"index": whole(by[0][1].get("index"), 0), "delta": delta, "finish_reason": None}]}, ["choices", 0, "delta", *path]
+
+
+_SAME = ("item_id", "output_index", "content_index", "summary_index")
+FIELDS: dict[str, list[Field]] = {
+    "content_block_delta": [_block(kind, name) for kind, name in fixed.DELTA_FIELD.items()],
+    **{kind: [Field(("delta",), lambda e, _: ["response", e["type"], *map(e.get, _SAME)])] for kind in fixed.RESPONSE_DELTAS},
+    "choices": [
+        Field(("choices", "*", "delta", "content"), lambda e, by: ["chat", whole(by[0][1].get("index"), 0)], lambda e, by: _choice({"content": None}, ["content"], by)),
+        Field(
+            ("choices", "*", "delta", "tool_calls", "*", "function", "arguments"),
+            lambda e, by: ["call", whole(by[0][1].get("index"), 0), by[1][0]],
+            lambda e, by: _choice({"tool_calls": [{"index": whole(by[1][1].get("index"), by[1][0]), "function": {"arguments": None}}]}, ["tool_calls", 0, "function", "arguments"], by),
+        ),
+    ],
+}
+
+
+def kind_of(event: dict) -> str:
+    """What names an event's fields: its type, ``whole`` where all its texts are complete, or ``choices``."""
+    kind = event.get("type")
+    if kind in FIELDS and kind != "choices":
+        return kind
+    if isinstance(kind, str) and kind.startswith("response."):
+        return "whole" if kind.endswith(".done") or kind == "response.completed" else ""
+    return "choices"
+
+
+def _at(node, path, by=()) -> Iterator[tuple[dict, str, list]]:
+    """(holder, key, items on the way) of every text at a path."""
+    head, *rest = path
+    if head == "*":
+        for i, item in enumerate(node if isinstance(node, list) else ()):
+            if isinstance(item, dict):
+                yield from _at(item, rest, (*by, (i, item)))
+    elif isinstance(node, dict) and rest:
+        yield from _at(node.get(head), rest, by)
+    elif isinstance(node, dict) and isinstance(node.get(head), str):
+        yield node, head, list(by)
+
+
+def _each(node, change):
+    """A JSON value with every string (keys stay) changed."""
+    if isinstance(node, dict):
+        return {k: _each(v, change) for k, v in node.items()}
+    return [_each(v, change) for v in node] if isinstance(node, list) else change(node) if isinstance(node, str) else node
+
+
+def _saved(text: str) -> str:
+    return text if not any(c in text for c in _SAVED) else "".join(_SAVED.get(c, c) for c in text)
+
+
+def marked(text: str) -> str:
+    return _TOKEN.sub(lambda m: OPEN + m[0] + CLOSE, text)
 
 
 def hold(text: str) -> int:
@@ -29,169 +117,169 @@ def hold(text: str) -> int:
     return len(text) if n > fixed.CARRY_LIMIT else len(text) - n
 
 
-def _number(v, default: int) -> int:
-    return v if isinstance(v, int) and not isinstance(v, bool) else default
+class Recutter:
+    """One stream: what waits in each channel, and the event that would tell it."""
 
-
-class EventRestorer:
-    """One stream: what is held back of each channel, and how the rest is told at the end."""
-
-    def __init__(self, vault: dict[str, str], state: str | None = None):
-        self.vault = vault
-        self.held: dict[str, str] = {}
-        self.shape: dict[str, list | None] = {}
-        if state:
-            self.held, self.shape = json.loads(state)
+    def __init__(self, state: str | None = None):
+        self.waits: dict[str, list] = json.loads(state) if state else {}
 
     def state(self) -> str:
-        return json.dumps([self.held, self.shape])
-
-    def restore(self, text: str) -> str:
-        return _TOKEN.sub(lambda m: self.vault.get(m[0], m[0]), text)
-
-    def push(self, channel: list, shape: list | None, text: str) -> str:
-        key = json.dumps(channel)
-        self.shape.setdefault(key, shape)
-        whole = self.held.get(key, "") + text
-        n = hold(whole)
-        self.held[key] = whole[n:]
-        return self.restore(whole[:n])
-
-    def _walk(self, v):
-        if isinstance(v, str):
-            return self.restore(v)
-        if isinstance(v, dict):
-            return {k: self._walk(x) for k, x in v.items()}
-        return [self._walk(x) for x in v] if isinstance(v, list) else v
-
-    def event(self, v: dict) -> dict:
-        kind = v.get("type")
-        if kind == "content_block_delta":
-            delta = v.get("delta")
-            name = fixed.DELTA_FIELD.get(delta.get("type", "")) if isinstance(delta, dict) else None
-            if name and isinstance(delta.get(name), str):
-                i = _number(v.get("index"), 0)
-                delta[name] = self.push(["block", i], ["block", i, delta["type"], name], delta[name])
-        elif isinstance(kind, str) and kind.startswith("response."):
-            if kind in fixed.RESPONSE_DELTAS and isinstance(v.get("delta"), str):
-                v["delta"] = self.push(["response", kind, *(v.get(k) for k in ("item_id", "output_index", "content_index", "summary_index"))], None, v["delta"])
-            elif kind.endswith(".done") or kind == "response.completed":
-                v = {k: self._walk(x) for k, x in v.items()}
-        elif isinstance(v.get("choices"), list):
-            for choice in v["choices"]:
-                delta = choice.get("delta") if isinstance(choice, dict) else None
-                if not isinstance(delta, dict):
-                    continue
-                i = _number(choice.get("index"), 0)
-                if isinstance(delta.get("content"), str):
-                    delta["content"] = self.push(["chat", i], ["chat", i], delta["content"])
-                calls = delta.get("tool_calls")
-                for place, call in enumerate(calls if isinstance(calls, list) else []):
-                    fn = call.get("function") if isinstance(call, dict) else None
-                    if isinstance(fn, dict) and isinstance(fn.get("arguments"), str):
-                        fn["arguments"] = self.push(["call", i, place], ["call", i, _number(call.get("index"), place)], fn["arguments"])
-        return v
+        return json.dumps(self.waits)
+
+    def event(self, event: dict) -> dict:
+        kind = kind_of(event)
+        if kind == "whole":
+            return _each(event, marked)
+        for field in FIELDS.get(kind, ()):
+            if field.where and not any(h[k] == field.where[1] for h, k, _ in _at(event, field.where[0])):
+                continue
+            for holder, key, by in _at(event, field.path):
+                channel = json.dumps(field.channel(event, by))
+                told = self.waits.setdefault(channel, ["", field.rest(event, by) if field.rest else None])
+                text = told[0] + holder[key]
+                n = hold(text)
+                told[0], holder[key] = text[n:], marked(text[:n])
+        return event
 
     def block(self, block: str) -> str:
         """An event block with its data lines rewritten; lines end at LF alone."""
         out = []
         for line in block.split("\n"):
-            if line.startswith("data:"):
-                gap = " " if line[5:6] == " " else ""
-                body = line[5 + len(gap) :]
-                try:
-                    v = json.loads(body)
-                    body = json.dumps(self.event(v), ensure_ascii=False, separators=(",", ":")) if isinstance(v, dict) else body
-                except ValueError:
-                    pass
-                line = f"data:{gap}{body}"
-            out.append(line)
-        return "\n".join(out)
-
-    @staticmethod
-    def ends(block: str) -> bool:
-        for line in block.split("\n"):
-            body = line[5:].lstrip() if line.startswith("data:") else ""
-            if body == "[DONE]":
-                return True
+            head, body = re.match(r"(data: ?)?((?s:.*))", line).groups()
             try:
-                v = json.loads(body) if body else None
+                value = json.loads(body) if head else None
             except ValueError:
-                continue
-            if isinstance(v, dict) and v.get("type") in fixed.STREAM_ENDS:
-                return True
-        return False
+                value = None
+            if isinstance(value, dict):
+                if any(c in body for c in _SAVED) or "\\ue00" in body.lower():
+                    value = _each(value, _saved)
+                line = head + json.dumps(self.event(value), ensure_ascii=False, separators=(",", ":"))
+            else:
+                line = _saved(line)
+            out.append(line)
+        return "\n".join(out)
 
-    def flush(self) -> list[str]:
-        """What is still held, as events of the stream's own shape; nothing the second time."""
+    def rests(self) -> list[str]:
+        """What still waits, as events of the stream's own kind; nothing the second time."""
         out = []
-        for key, text in self.held.items():
-            shape, self.held[key] = self.shape.get(key), ""
-            if not text or shape is None:
-                continue
-            text = self.restore(text)
-            if shape[0] == "block":
-                v = {"type": "content_block_delta", "index": shape[1], "delta": {"type": shape[2], shape[3]: text}}
-            else:
-                delta = {"content": text} if shape[0] == "chat" else {"tool_calls": [{"index": shape[2], "function": {"arguments": text}}]}
-                v = {"object": "chat.completion.chunk", "choices": [{"index": shape[1], "delta": delta, "finish_reason": None}]}
-            out.append("data: " + json.dumps(v, ensure_ascii=False, separators=(",", ":")))
+        for told in self.waits.values():
+            text, told[0] = told[0], ""
+            if text and told[1]:
+                event, path = json.loads(json.dumps(told[1]))
+                holder = event
+                for k in path[:-1]:
+                    holder = holder[k]
+                holder[path[-1]] = marked(text)
+                out.append("data: " + json.dumps(event, ensure_ascii=False, separators=(",", ":")))
         return out
 
     def blocks(self, block: str) -> list[str]:
-        """A block's output: before a last event comes what was held back."""
-        return [*(self.flush() if self.ends(block) else []), self.block(block)]
+        """A block's output: before a last event comes what still waits."""
+        return [*(self.rests() if ends(block) else []), self.block(block)]
+
+
+def ends(block: str) -> bool:
+    """Whether a block ends its stream."""
+    for line in block.split("\n"):
+        body = line[5:].lstrip() if line.startswith("data:") else ""
+        try:
+            value = json.loads(body) if body and body != "[DONE]" else None
+        except ValueError:
+            continue
+        if body == "[DONE]" or (isinstance(value, dict) and value.get("type") in fixed.STREAM_ENDS):
+            return True
+    return False
 
 
-def vault_map(vault: DataFrame) -> dict[str, str]:
-    rows = vault.select("token", "value").limit(VAULT_ROWS + 1).collect()
-    if len(rows) > VAULT_ROWS:
-        raise ValueError(f"the vault has more than {VAULT_ROWS} rows; restore whole texts with a join instead")
-    return {r.token: r.value for r in rows}
+def is_last(block: Column) -> Column:
+    """``ends`` as a Column."""
+    bodies = F.transform(F.filter(F.split(block, "\n", -1), lambda s: s.startswith("data:")), lambda s: F.regexp_replace(s, r"(?U)\Adata:\s*", ""))
+    return F.exists(bodies, lambda b: (b == "[DONE]") | F.coalesce(F.get_json_object(b, "$.type").isin(*fixed.STREAM_ENDS), F.lit(False)))
+
+
+def event_blocks(streams: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """(stream_id, seq, block) of whole streams: blocks end at a blank line; a rest without one is a block."""
+    parts = F.split(raw_col, "\n\n", -1)
+    return streams.select("stream_id", F.posexplode(parts).alias("seq", "block")).where("block <> ''").select("stream_id", F.col("seq").cast("long").alias("seq"), "block")
 
 
 _OUT = "stream_id string, seq long, part int, block string"
 
 
-def restore_batch(events: DataFrame, vault: DataFrame) -> DataFrame:
-    """All events (stream_id, seq, block) of bounded streams; what is left at a stream's end follows its last event."""
-    bc = events.sparkSession.sparkContext.broadcast(vault_map(vault))
+def recut_batch(events: DataFrame) -> DataFrame:
+    """All events (stream_id, seq, block) of bounded streams, tokens whole and marked; what is left at a stream's end follows its last event."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = EventRestorer(bc.value), []
+        state, rows = Recutter(), []
         for r in pdf.sort_values("seq").itertuples():
             rows += [(r.stream_id, r.seq, i, b) for i, b in enumerate(state.blocks(r.block))]
         if rows:
-            rows += [(*rows[-1][:2], rows[-1][2] + 1 + i, b) for i, b in enumerate(state.flush())]
+            rows += [(*rows[-1][:2], rows[-1][2] + 1 + i, b) for i, b in enumerate(state.rests())]
         return pd.DataFrame(rows, columns=["stream_id", "seq", "part", "block"])
 
     return events.select("stream_id", "seq", "block").groupBy("stream_id").applyInPandas(run, _OUT)
 
 
-def restore_stream(events: DataFrame, vault: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """The same for a streaming table; a stream that stays idle is flushed and forgotten."""
+def recut_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
+    """The same for a streaming table.
+
+    Blocks that arrive early wait until the gap before them is filled.  A stream
+    that stays idle gives all it has, the waiting blocks in their order and then
+    the rests, and is forgotten; blocks that come later still are a new stream,
+    which gives them in order when it is idle in turn.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    bc = events.sparkSession.sparkContext.broadcast(vault_map(vault))
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, early, last, held = state.get if state.exists else (0, "{}", 0, None)
-        restorer, waiting, rows = EventRestorer(bc.value, held), {int(k): v for k, v in json.loads(early).items()}, []
+        due, early, last, waits = state.get if state.exists else (0, "{}", 0, None)
+        cutter, waiting, rows = Recutter(waits), {int(k): v for k, v in json.loads(early).items()}, []
         if state.hasTimedOut:
-            rows = [(key[0], last, 1000 + i, b) for i, b in enumerate(restorer.flush())]
+            for seq in sorted(waiting):
+                rows += [(key[0], seq, i, b) for i, b in enumerate(cutter.blocks(waiting[seq]))]
+                last = seq
+            rows += [(key[0], last, 1000 + i, b) for i, b in enumerate(cutter.rests())]
             state.remove()
         else:
             for pdf in frames:
                 waiting |= {int(s): b for s, b in zip(pdf.seq, pdf.block, strict=True) if s >= due}
             while due in waiting:
-                rows += [(key[0], due, i, b) for i, b in enumerate(restorer.blocks(waiting.pop(due)))]
+                rows += [(key[0], due, i, b) for i, b in enumerate(cutter.blocks(waiting.pop(due)))]
                 last, due = due, due + 1
-            state.update((due, json.dumps(waiting), last, restorer.state()))
+            state.update((due, json.dumps(waiting), last, cutter.state()))
             state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "part", "block"])
 
-    return events.select("stream_id", "seq", "block").groupBy("stream_id").applyInPandasWithState(run, _OUT, "due long, early string, last long, held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("stream_id", "seq", "block").groupBy("stream_id").applyInPandasWithState(run, _OUT, "due long, early string, last long, waits string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def put_values(blocks: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """The marked tokens of re-cut blocks replaced by their values, escaped as JSON; others become plain again."""
+    between = F.split("block", f"[{OPEN}{CLOSE}]", -1)
+    asked = F.array_join(F.filter(between, lambda p, i: i % 2 == 1), " ")
+    out = restore.look_up(blocks.withColumn("__asked", F.when(F.col("block").contains(OPEN), asked)), F.col("__asked"), vault, fuzzy)
+    def value(v):
+        for c, saved in _SAVED.items():
+            v = F.replace(v, F.lit(c), F.lit(saved))
+        return F.regexp_replace(F.to_json(F.struct(v.alias("v"))), r'(?s)\A\{"v":"|"\}\z', "")
+
+    known = lambda p: F.get(F.transform(F.filter("__found", lambda f: f["token"] == p), lambda f: value(f["value"])), F.lit(0))
+    text = F.array_join(F.transform(between, lambda p, i: F.when(i % 2 == 1, F.coalesce(known(p), p)).otherwise(p)), "")
+    text = F.when(F.col("block").contains(OPEN), text).otherwise(F.col("block"))
+    for saved, c in (("1", CLOSE), ("0", OPEN), ("2", ESCAPE)):
+        text = F.replace(text, F.lit(ESCAPE + saved), F.lit(c))
+    return out.withColumn("block", text).drop("__asked", "__found")
+
+
+def restore_batch(events: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """All events of bounded streams with their tokens restored."""
+    return put_values(recut_batch(events), vault, fuzzy)
+
+
+def restore_stream(events: DataFrame, vault: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], idle: str = "10 minutes", fuzzy: bool = True) -> DataStreamWriter:
+    """A writer for a streaming table of events: each batch is joined with the vault that ``vault()`` reads then, and given to ``write``."""
+    return recut_stream(events, idle).writeStream.outputMode("append").foreachBatch(lambda batch, n: write(put_values(batch, vault(), fuzzy), n))
 
 
 def redact_stream(events: DataFrame, text_col: str, secret: str, **options) -> DataFrame:
@@ -199,3 +287,8 @@ def redact_stream(events: DataFrame, text_col: str, secret: str, **options) -> D
     from ..operators.tokens import anonymize
 
     return anonymize(events, text_col, secret, **options)
+
+
+def follow(messages: DataFrame, vault: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], text_col: str = "text") -> DataStreamWriter:
+    """A writer for a streaming table of messages, restored with the vault as it is at each batch."""
+    return messages.writeStream.outputMode("append").foreachBatch(lambda batch, n: write(restore.restore(batch, vault(), text_col), n))
