@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import join_by_key
 from ..session import stored as written
 
-__all__ = ["documents", "group_sample", "join_by_key", "parts_for", "plan_bytes", "sampled", "shuffle_partitions", "written"]
+__all__ = ["documents", "group_sample", "join_by_key", "parts_for", "plan_bytes", "sampled", "shuffle_partitions", "spread", "written"]
 
 #: Input bytes that one task of a shuffle sized by the input takes.
 TASK_BYTES = 32 << 20
-#: Keys of a join that are broadcast because more rows have them than any other key.
-HOT_KEYS = 4096
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,18 +34,28 @@ def parts_for(df: DataFrame, size: float) -> int:
     return max(shuffle_partitions(df), min(1 << 20, int(size) // TASK_BYTES))
 
 
-def join_by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join with a stored table of one row for each key; ``weight`` is how many of the rows have the key.
-
-    The ``HOT_KEYS`` heaviest keys are broadcast, so a key that holds a large
-    share of the rows is joined where they are; any other key holds less than
-    one in ``HOT_KEYS`` of them and is shuffled.
-    """
-    given = [c for c in table.columns if c not in (key, weight)]
-    hot = table.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key, F.struct(*given).alias("__hot"))
-    near = rows.join(F.broadcast(hot), key, "left")
-    cold = near.where("__hot is null").drop("__hot").join(table.select(key, F.struct(*given).alias("__hot")), key)
-    return near.where("__hot is not null").unionByName(cold).select(*rows.columns, "__hot.*")
+def _partition(labels: np.ndarray, parts: int) -> np.ndarray:
+    """Where Spark's hash partitioning puts int keys (Murmur3 of four bytes, seed 42)."""
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h = turn(labels.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+    h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+
+
+def spread(n: int, parts: int) -> np.ndarray:
+    """``n`` int keys of which the i-th is hashed to partition i % parts, so that no partition gets two of few keys."""
+    want = np.arange(n) // parts  # how many earlier keys go to the same partition
+    size = 16 * n + 64 * parts
+    while True:
+        at = _partition(np.arange(size), parts)
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(parts + 1))
+        place = first[np.arange(n) % parts] + want
+        if (place < first[np.arange(n) % parts + 1]).all():
+            return order[place].astype(np.int32)
+        size *= 2
 
 
 def _share(size: Column, max_bytes: float) -> Column:

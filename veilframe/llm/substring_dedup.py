@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .frames import documents, parts_for, plan_bytes
+from .frames import documents, parts_for, plan_bytes, spread
 
 WINDOW, GRAM = 13, 4
 #: Parquet bytes of input per shard: bounds what one automaton task holds.
@@ -203,7 +203,8 @@ def _unpack(codec, blob: bytes, *layouts):
     return out, raw[at:]
 
 
-def _router(shards: int, window: int, gram: int, hot: np.ndarray, words_bc):
+def _router(labels: np.ndarray, window: int, gram: int, hot: np.ndarray, words_bc):
+    shards = len(labels)
     schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
 
     def route(batches):
@@ -246,7 +247,7 @@ def _router(shards: int, window: int, gram: int, hot: np.ndarray, words_bc):
             o = order[cuts[s] : cuts[s + 1]]
             own, rest = o[ship[o]], o[~ship[o]]
             place[code[own[::-1]]] = np.arange(len(own))[::-1]
-            out_shard.append(s)
+            out_shard.append(int(labels[s]))
             out_blob.append(_pack(codec, (_OWN, (key[own] >> np.uint64(32), uid[own], utag[own], start[own])), (_REST, (uid[rest], utag[rest], start[rest], place[code[rest]])), [body[i] for i in own.tolist()]))
         yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(out_blob, pa.binary())], schema=schema)
 
@@ -295,13 +296,15 @@ def _spans(rows: list[int], doc, body: list[bytes], copied, window: int):
         i = j
 
 
-def _settle(window: int, buckets: int, words_bc):
+def _settle(window: int, labels: np.ndarray, words_bc):
     """The task of a shard: automata over its reference segments.
 
     Gives the spans of removed words, one blob for each bucket of documents: a
     document meets many shards, so a row for each pair of the two is avoided.
     """
 
+    buckets = len(labels)
+
     def settle(table: pa.Table) -> pa.Table:
         codec, plain = _codec(words_bc.value), _codec(b"")
         own, rest, body = [], [], []
@@ -332,7 +335,7 @@ def _settle(window: int, buckets: int, words_bc):
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts)).tolist()
         blobs = [_pack(plain, (_FOUND, [out[k][o] for k, _ in _FOUND])) for o in (order[cuts[x] : cuts[x + 1]] for x in full)]
-        return pa.table([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        return pa.table([pa.array(labels[full], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return settle
 
@@ -422,8 +425,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = hot_anchors(known, window, gram)
     words = docs.sparkSession.sparkContext.broadcast(dictionary(known))
     ranges = (
-        known.mapInArrow(_router(shards, window, gram, hot, words), "shard int, blob binary")
-        .repartition(routed, "shard").groupBy("shard").applyInArrow(_settle(window, joined, words), "bucket int, blob binary")
+        known.mapInArrow(_router(spread(shards, routed), window, gram, hot, words), "shard int, blob binary")
+        .repartition(routed, "shard").groupBy("shard").applyInArrow(_settle(window, spread(joined, joined), words), "bucket int, blob binary")
         .repartition(joined, "bucket").groupBy("bucket").applyInArrow(_gather, "doc long, tag int, ranges binary")
     )
     texts = rows.repartition(joined, "doc_id", "tag")
