@@ -23,9 +23,10 @@ pair without a fifth byte in common has one differing bit in each other byte.
 A list of five positions has 2**24 fingerprints at most.  A long list is split
 the same way inside its task.  Components are found by alternating star
 contraction on edges, with a written table in the shared folder after each
-round, until nothing changes; joins and partial sums only, no list of a
-vertex's edges.  Joins on a key that many rows may share (a copied fingerprint,
-a large component's root, a vertex of many edges) go through ``join_by_key``.
+round, until nothing changes; joins (whose large keys adaptive execution splits)
+and partial sums only, no list of a vertex's edges.  Joins on a key that many
+rows may share, a copied fingerprint or a large component's root, go through
+``join_by_key``.
 
 Nulls: a null text has no words (fingerprint zero, linked like any other).  A
 null id takes part and never names a component unless nothing else does.
@@ -44,9 +45,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .frames import documents, join_by_key, shuffle_partitions, written
+from .frames import documents, join_by_key, shuffle_partitions, spread, written
 
 SHINGLE, SEED, DISTANCE, MATCHES = 4, 42, 4, 4
+#: Bytes of text whose shingles are hashed at once; a longer single text is whole.
+SLICE = 1 << 20
 #: One of so many fingerprints is looked at for hot lists; a list with this many of the sample is split; so many lists
 #: a pass, the largest first: any other holds less than one in so many of the entries.
 HOT_EVERY, HOT_LIST, HOT_MAX = 16, 1024, 4096
@@ -68,7 +71,7 @@ def position_sets(size: int) -> list[tuple[int, ...]]:
 def _fingerprints(batches):
     for batch in batches:
         texts = tc.column(batch, "text")
-        for lo, hi in tc.slices(texts):
+        for lo, hi in tc.slices(texts, SLICE):
             words = tc.Words(texts[lo:hi], tc.PLAIN_LOWER)
             out = np.zeros(hi - lo, np.uint64)
             flat, sizes, owner = [], [], []
@@ -222,6 +225,7 @@ def links(distinct: DataFrame, size: int = 3) -> DataFrame:
     hot = hot_lists(distinct, sets)
     # parts of the index: enough of them that one holds some 100,000 fingerprints' share
     parts = max(shuffle_partitions(distinct), distinct.count() * len(sets) // 2_000_000)
+    labels = spread(parts, parts)
 
     def index(batches):
         for batch in batches:
@@ -231,7 +235,7 @@ def links(distinct: DataFrame, size: int = 3) -> DataFrame:
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cuts)).tolist()
             pairs = np.stack([k[order], fp[order]], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pairs[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(labels[full], pa.int32()), pa.array([pairs[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "entries"])
 
     return distinct.select("fp").mapInArrow(index, "part int, entries binary").repartition(parts, "part").groupBy("part").applyInArrow(_edges, "a long, b long")
 
@@ -242,10 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = join_by_key(both, least, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_by_key(large, least, "a", "n").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = written(small, "simhash-edges")
         r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (r["n"], r["h"]) == mark:
