@@ -289,10 +289,21 @@ def test_long_lists_are_split_in_their_task(monkeypatch):
         assert [find(int(x)) for x in fp] == [int(fp[w]) for w in want]
 
 
+@pytest.mark.parametrize("n, parts", [(1, 1), (7, 7), (40, 7), (51, 211)])
+def test_spread_keys_take_turns(spark, n, parts):
+    from pyspark.sql import functions as F
+    from veilframe.llm import frames
+
+    keys = frames.spread(n, parts).tolist()
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int").repartition(parts, "k")
+    assert {r.i: r.p for r in df.select("i", F.spark_partition_id().alias("p")).collect()} == {i: i % parts for i in range(n)} and len(set(keys)) == n
+
+
 def test_join_by_key_splits_hot_keys(spark, monkeypatch):
     from veilframe.llm import frames
+    from veilframe.operators import tables
 
-    monkeypatch.setattr(frames, "HOT_KEYS", 2)
+    monkeypatch.setattr(tables, "HOT_KEYS", 2)
     rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)], "k long, v long")
     table = spark.createDataFrame([(k, f"t{k}", 10 - k) for k in range(6)], "k long, t string, n long")
     got = frames.join_by_key(rows, table, "k", "n")
