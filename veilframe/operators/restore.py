@@ -46,7 +46,8 @@ def look_up(rows: DataFrame, text: Column, vault: DataFrame, fuzzy: bool = True,
     The result depends on the text alone, so a text's digest stands for it: no
     column of the rows need identify them, and no text is shuffled but for rows
     that hold a token.  A text that many rows share and a token that many texts
-    share are joined where they are (see ``join_by_key``).
+    share are joined where they are (see ``join_by_key``).  The rows are read
+    more than once: store what is costly to make.
     """
     held = rows.where(text.rlike(ANY_TOKEN)).withColumn("__text", F.unhex(F.sha2(text, 256)))
     plain = rows.where(~F.coalesce(text.rlike(ANY_TOKEN), F.lit(False)))

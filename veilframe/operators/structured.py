@@ -10,10 +10,10 @@ from .. import fixed
 from ..functions import checks, text
 from ..model import Policy
 from . import detect as D
-from . import spans, tokens
+from . import restore, spans, tokens
 from .keys import header_kind, key_kind, table_kinds
 
-__all__ = ["header_kind", "key_kind", "key_kind_column", "redact_structured", "redact_table", "table_kinds"]
+__all__ = ["header_kind", "key_kind", "key_kind_column", "redact_structured", "redact_table", "restore_structured", "table_kinds"]
 
 
 def key_kind_column(key: Column, value: Column) -> Column:
@@ -77,6 +77,14 @@ def redact_structured(df: DataFrame, secret: str, tenant: str = "", columns: lis
     return df.select(*[redact_column(F.col(f"`{f.name}`"), f.dataType, f.name, leaf).alias(f.name) if columns is None or f.name in columns else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def restore_structured(df: DataFrame, vault: DataFrame, columns: list[str] | None = None, fuzzy: bool = True) -> DataFrame:
+    """All string leaves of the given columns (default: all), nested ones too, with their tokens restored; keys of maps stay."""
+    names = [f.name for f in df.schema.fields if columns is None or f.name in columns]
+    found = restore.look_up(df.withColumn("__all", F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))), F.col("__all"), vault, fuzzy)
+    leaf = lambda v, _: F.when(v.isNotNull(), restore.with_values(v, F.col("__found")))
+    return found.select(*[redact_column(F.col(f"`{f.name}`"), f.dataType, f.name, leaf).alias(f.name) if f.name in names else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def redact_table(df: DataFrame, secret: str, tenant: str = "", which=D.DETECTORS) -> DataFrame:
     """String columns by their headers: whole cells as tokens, other cells scanned if they may hold something; blanks stay.
 

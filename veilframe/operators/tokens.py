@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text
 from ..model import Policy
+from ..session import stored
 from . import spans
 from .detect import detect
 from .tables import free, join_by_key
@@ -102,8 +103,10 @@ def anonymize(df: DataFrame, text_col: str = "text", secret: str = "", tenant: s
 def _known_tokens(df: DataFrame, known: DataFrame) -> DataFrame:
     """The edits with the tokens of an earlier vault where it has their values.
 
-    The edits alone decide, so a digest of them stands for the row; rows without edits do not move.
+    The edits alone decide, so a digest of them stands for the row; rows without
+    edits do not move.  What was detected is stored first: it is read more than once.
     """
+    df = stored(df, "detected")
     first = known.groupBy("kind", "normalized").agg(F.min("token").alias("old"))
     key = F.col("__edits").cast("string")
     held = df.where(F.size("__edits") > 0).withColumn("__of", F.unhex(F.sha2(key, 256)))

@@ -11,7 +11,7 @@ from ..model import Policy
 from ..operators import detect as D
 from ..operators import guard, ner, restore, structured, tokens
 from ..session import stored
-from ..sources import formats, side
+from ..sources import formats
 from ..streaming import events
 from . import batch, evaluate
 from .carriers import carrier
@@ -82,11 +82,6 @@ def arabic_normal_forms(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select("n_nationkey", text.normalize_arabic(word).alias("normal"), text.reverse_arabic_runs(F.concat(F.lit("a باج "), F.col("n_name"))).alias("turned"), text.strip_particles(F.lit("والكتاب")).alias("stem"))
 
 
-def json_leaves(spark, sf_dir):
-    leaves = _table(spark, sf_dir, "events").select("event_id", F.explode(side.json_text_leaves(F.col("props"))).alias("x"))
-    return leaves.select("event_id", "x.pointer", "x.text")
-
-
 def format_kinds(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return pages.select("page_id", formats.sniff(F.col("content")).alias("kind"))
@@ -255,7 +250,7 @@ def word_pieces(spark, sf_dir):
 QUERIES = {
     "email_spans": email_spans, "email_domains": email_domains, "digit_functions": digit_functions, "scrub_invisible": scrub_invisible, "luhn_numbers": luhn_numbers,
     "iban_remainders": iban_remainders, "kuwait_ids": kuwait_ids, "path_hashes": path_hashes, "title_variants": title_variants, "arabic_normal_forms": arabic_normal_forms,
-    "json_leaves": json_leaves, "format_kinds": format_kinds, "html_text": html_text, "html_redacted": html_redacted,
+    "format_kinds": format_kinds, "html_text": html_text, "html_redacted": html_redacted,
     "iban_spans": lambda s, d: _spans(s, d, "account", "IBAN"), "phone_spans": lambda s, d: _spans(s, d, "contact", "PHONE"), "folded_phone_spans": lambda s, d: _spans(s, d, "folded", "PHONE"),
     "identity_spans": lambda s, d: _spans(s, d, "identity", "NATIONAL_ID"), "tax_spans": lambda s, d: _spans(s, d, "invoice", "TAX_NUMBER"), "address_spans": lambda s, d: _spans(s, d, "place", "ADDRESS"),
     "geo_gated": geo_gated, "resolve_overlaps": resolve_overlaps, "context_boost": context_boost, "suppressed": suppressed, "tokenized": tokenized, "anonymize_text": anonymize_text, "vault_records": vault_records,

@@ -47,7 +47,6 @@ SQL = {
     "path_hashes": "SELECT page_id, sha256(url) AS path_hash, replace(replace(url, '~', '~0'), '/', '~1') AS pointer, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS folder FROM pages",
     "title_variants": "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titled, true AS augment, (length(n_name) + 2 - length(regexp_extract(n_name, '[A-Z0-9_]*$')))::INT AS safe FROM nation",
     "arabic_normal_forms": "SELECT n_nationkey, 'الاداره ' || n_nationkey || ' موسسه' AS normal, 'a جاب ' || n_name AS turned, 'كتاب' AS stem FROM nation",
-    "json_leaves": "SELECT event_id, '/' || replace(replace(k, '~', '~0'), '/', '~1') AS pointer, json_extract_string(props, '$.\"' || k || '\"') AS text FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",
     "format_kinds": "SELECT page_id, CASE WHEN lower(html[1:64]) LIKE '%<!doctype html%' OR lower(html[1:64]) LIKE '%<html%' THEN 'HTML' WHEN regexp_matches(html, '^[ \\t\\n\\f\\r]*[{\\[]') THEN 'JSON' ELSE 'TXT' END AS kind FROM pages",
     "iban_spans": _spans("account", [(f"'SA' || lpad((98 - (id * 1000000 + 281000) % 97)::VARCHAR, 2, '0') || {_PAD.format(n=20)}", "IBAN", "regex.gcc.iban.mod97", "id % 5 <> 0")]),
     "phone_spans": _spans("contact", [(_PHONE, "PHONE", "regex.gcc.phone", "true"), (_INTL, "PHONE", "regex.gcc.phone", "true")]),
