@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import zipfile
 
 import pandas as pd
@@ -304,9 +305,20 @@ def live_restore(spark, sf_dir):
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 11).cast("int")), lambda i: F.struct(i.cast("long").alias("seq"), chunk(F.substr("text", i * 11 + 1, F.lit(11))).alias("block")))
     last = F.array(F.struct(F.size(parts).cast("long").alias("seq"), F.lit('data: {"type":"message_stop"}').alias("block")))
     blocks = stored(done.select(F.col("id").cast("string").alias("stream_id"), F.explode(F.concat(parts, last)).alias("e")).select("stream_id", "e.*"), "events")
-    out = shared_dir(spark, "restored") + "/table"
-    writer = events.restore_stream(spark.readStream.schema(blocks.schema).parquet(blocks.stored_at), lambda: vault, lambda df, n: df.write.mode("append").parquet(out), fuzzy=False)
-    _run(writer, spark, "restore-checkpoint")
+    out, seen, want = shared_dir(spark, "restored") + "/table", [], blocks.count()
+
+    def write(df, n):
+        df.write.mode("append").parquet(out)
+        seen.append(spark.read.parquet(out).select("stream_id", "seq").distinct().count())
+
+    writer = events.restore_stream(spark.readStream.schema(blocks.schema).parquet(blocks.stored_at), lambda: vault, write, fuzzy=False)
+    query = writer.option("checkpointLocation", shared_dir(spark, "restore-checkpoint")).start()
+    try:  # its timeouts let the query go on without data, so the result is awaited, not the query
+        until = time.time() + 300
+        while max(seen, default=0) < want and query.isActive and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
     said = spark.read.schema("stream_id string, seq long, part int, block string").parquet(out)
     delta = F.get_json_object(F.regexp_replace("block", "^data: ", ""), "$.delta.text")
     joined = said.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", F.coalesce(delta, F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("text"))
