@@ -55,7 +55,7 @@ def scrub_invisible(spark, sf_dir):
 
 
 def luhn_numbers(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]{16})"), F.lit(1))).alias("digits"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]{2,})"), F.lit(1))).alias("digits"))
     return docs.select("doc_id", "digits", checks.luhn(F.col("digits")).alias("valid"))
 
 

@@ -30,6 +30,11 @@ _LEAK = [
 ]
 
 
+#: Tags, comments, sections, scripts and styles of a page whose markup is closed.
+_TAG = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+_MARKUP = rf"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<script{_TAG}.*?</script[^>]*>|<style{_TAG}.*?</style[^>]*>|<{_TAG}"
+
+
 def _spans(carrier: str, rows: list[tuple[str, str, str, str]]) -> str:
     """Spans of values that the carrier holds: (value, kind, source, condition)."""
     return "\nUNION ALL ".join(f"SELECT id, {_SPAN_INT}, '{kind}' AS kind, v AS text, '{source}' AS source FROM (SELECT id, text, {value} AS v FROM {carrier} WHERE {cond})" for value, kind, source, cond in rows)
@@ -41,7 +46,8 @@ SQL = {
     "email_domains": f"SELECT lower(split_part(e, '@', 2)) AS domain, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS e FROM documents) GROUP BY 1",
     "digit_functions": f"SELECT id, 'جوال ' || {_PHONE} || ' ثم' AS folded, {_PHONE} AS digits, {_PHONE} AS alnum FROM folded",
     "scrub_invisible": f"SELECT id, 'call ' || {_PHONE} || ' or c' || id || '@example.ae now' AS clean FROM hidden",
-    "luhn_numbers": "SELECT doc_id, d AS digits, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, i, 1)::INT WHEN substr(d, i, 1)::INT > 4 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END)) % 10 = 0 AND d <> repeat('0', 16) AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{16}')) AS d FROM documents)",
+    "luhn_numbers": "SELECT doc_id, d AS digits, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(d, length(d) - i + 1, 1)::INT WHEN substr(d, length(d) - i + 1, 1)::INT > 4 THEN substr(d, length(d) - i + 1, 1)::INT * 2 - 9 ELSE substr(d, length(d) - i + 1, 1)::INT * 2 END)) % 10 = 0 AND d <> repeat('0', length(d)) AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{2,}')) AS d FROM documents)",
+    "html_text": rf"SELECT page_id, (i - 1)::INT AS node, p[i] AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, list_filter(string_split_regex(html, '{_MARKUP}'), lambda x: x <> '') AS p FROM pages))",
     "iban_remainders": "SELECT id, ((id::HUGEINT * 1000000 + 281000 + 98 - (id * 1000000 + 281000) % 97 + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END) % 97)::INT AS remainder, id % 5 <> 0 AS valid FROM account",
     "kuwait_ids": "SELECT s_suppkey AS id, 11 - t % 11 <= 9 AND 11 - t % 11 = s_suppkey % 10 AS valid FROM (SELECT s_suppkey, list_sum(list_transform(range(1, 12), lambda i: substr(d, i, 1)::INT * [2,1,6,3,7,9,10,5,8,4,2][i])) AS t FROM (SELECT s_suppkey, '2' || lpad((s_suppkey * 8191 % 10000000000)::VARCHAR, 10, '0') AS d FROM supplier))",
     "path_hashes": "SELECT page_id, sha256(url) AS path_hash, replace(replace(url, '~', '~0'), '/', '~1') AS pointer, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS folder FROM pages",
