@@ -149,13 +149,11 @@ HEADER_ORGANIZATION = ["company", "company name", "company name for emails", "bu
 
 # --- fixed values: streams, limits, model labels ---
 CARRY_LIMIT, FUZZY_DISTANCE, TOP_FILES = 64, 2, 10
-CELL_END, ROW_END, FIELD_END, PAGE_END = "\x1f", "\x1e", "\x1f", "\f"
+CELL_END, ROW_END, FIELD_END = "\x1f", "\x1e", "\x1f"
 DELTA_FIELD = {"text_delta": "text", "thinking_delta": "thinking", "input_json_delta": "partial_json"}
 STREAM_ENDS = ["message_stop", "response.completed"]
 RESPONSE_DELTAS = ["response.output_text.delta", "response.refusal.delta", "response.reasoning_text.delta", "response.reasoning_summary_text.delta", "response.function_call_arguments.delta"]
 WRITE_TOOLS = ["Write", "Edit", "MultiEdit", "NotebookEdit"]
-REQUEST_KEYS = ["system", "input", "instructions"]
-REQUEST_TEXT_KEYS = ["text", "output", "refusal", "arguments"]
 CONNECTIVES = ["bin", "ibn", "bint", "bn", "بن", "ابن", "بنت"]
 LABEL_FAMILIES = {"PER": "PERSON", "PERS": "PERSON", "PERSON": "PERSON", "ORG": "ORGANIZATION", "ORGANIZATION": "ORGANIZATION", "LOC": "ADDRESS", "LOCATION": "ADDRESS", "GPE": "ADDRESS", "FAC": "ADDRESS"}
 MODEL_THRESHOLD, MODEL_WINDOW = 0.85, 500

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import checks, text
 from ..operators import detect as D
 from ..operators import keys, ner, restore, spans, structured, tokens
-from ..session import stored
+from ..session import shared_dir, stored
 from ..sources import side
-from . import evaluate
+from . import evaluate, tiny_model
 from .carriers import carrier
 from .queries import CONTACT, SECRET, TENANT, _anonymized, _found, _round_trip, _spans, _table
 from .queries_sql import _DONE, _INTL, _MAIL, _PHONE, _T_INTL, _T_MAIL, _T_PHONE, _token
@@ -242,3 +242,16 @@ def restore_repeated(spark, sf_dir):
     few = done.select((F.col("id") % 7).alias("id"), "text")
     mail = done.select((F.col("id") % 7).alias("id"), F.concat(F.lit("twice "), *[F.regexp_extract("text", "(EMAIL_[A-F0-9]{16})", 1)] * 2).alias("text"))
     return restore.restore(few.unionByName(few.withColumn("id", F.lit(None).cast("long"))).unionByName(mail), vault, fuzzy=False).select("id", "text", F.size("restored").alias("restored"))
+
+
+_SURE = "round(exp(10.0) / (exp(10.0) + 4), 4)"
+
+
+@row(f"""SELECT id, kind, source, text, {_SURE} AS confidence FROM (SELECT id, 'PERSON' AS kind, 'ner.onnx' AS source, 'Khalid bin Sultan' AS text FROM contact WHERE id % 2 = 0 UNION ALL SELECT id, 'ORGANIZATION', 'ner.onnx', 'Acme' FROM contact WHERE id % 2 = 0
+UNION ALL SELECT id, 'ADDRESS', 'ner.onnx', 'Riyadh' FROM contact WHERE id % 2 = 0 UNION ALL SELECT id, 'PERSON', 'ner.onnx.caseaug', 'khalid' FROM contact WHERE id % 2 = 1)""")
+def model_spans(spark, sf_dir):
+    """A model's names, organisations and places; in text without capitals the names of its title-cased form."""
+    folder = tiny_model.write(shared_dir(spark, "model").removeprefix("file:"))
+    body = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Khalid bin Sultan of Acme in Riyadh, "), "id")).otherwise(F.concat(F.lit("khalid of acme "), "id"))
+    rows = carrier(spark, sf_dir, "contact").select("id", body.alias("text"))
+    return D.detect_rows(rows, "id", which=(), engines=[ner.engine(folder)]).select("id", "kind", "source", "text", F.round("confidence", 4).alias("confidence"))

@@ -195,6 +195,38 @@ def json_leaves(spark, sf_dir):
     return leaves.select("event_id", "x.pointer", "x.text")
 
 
+def _side_files(spark, files: dict[str, str]) -> str:
+    folder = shared_dir(spark, "side").removeprefix("file:")
+    batch.write_files(spark.createDataFrame([(n, bytearray(t.encode())) for n, t in files.items()], "output string, content binary"), folder)
+    return folder
+
+
+@row("SELECT id, 'Riyadh' AS text, 'geo.gazetteer_address_gated' AS source FROM place WHERE id % 2 = 0")
+def side_files(spark, sf_dir):
+    """Places and phrases from files: one city is listed as no personal data."""
+    places = {"countries": [{"en": ["Saudi Arabia"]}], "cities": [{"ar": ["الرياض"], "en": [" Riyadh ", "Jeddah", "X"]}, {"en": ["Riyadh"]}]}
+    folder = _side_files(spark, {"places.json": json.dumps(places), "phrases.txt": "# none of these\nADDRESS: jeddah\nCARD:Riyadh\n\n"})
+    found = D.detect_rows(carrier(spark, sf_dir, "place"), "id", which=(), gazetteer=side.read_places(spark, f"{folder}/places.json"), suppressor=side.read_phrases(spark, f"{folder}/phrases.txt"))
+    return found.select("id", "text", "source")
+
+
+@row("SELECT n_nationkey || '.txt' AS file, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 3 END::INT AS start, (CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 3 END + 6 + length(n_nationkey::VARCHAR))::INT AS \"end\", 'EMAIL' AS kind, (SELECT count(*) FROM nation) AS files, (SELECT count(*) FROM nation) AS gold, (SELECT 2 * count(*) FROM nation) AS out_of_scope FROM nation")
+def gold_files(spark, sf_dir):
+    """Gold spans of files that stand in one of two folders, the first of which wins."""
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    mail, even = F.concat(F.lit("c"), "k", F.lit("@x.ae")), F.col("k") % 2 == 0
+    first, second = (shared_dir(spark, "corpus").removeprefix("file:") for _ in range(2))
+    texts = nations.select("k", F.concat("k", F.lit(".txt")).alias("output"), F.encode(F.concat(F.when(even, "é ").otherwise("éé "), mail), "UTF-8").alias("content"))
+    batch.write_files(texts.where(even), first)
+    batch.write_files(texts.withColumn("content", F.when(even, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("content"))), second)
+    start = F.when(even, 3).otherwise(5)
+    gold = nations.select(F.concat("k", F.lit(".txt")).alias("file"), F.explode(F.array(F.struct(start.alias("start"), F.lit("EMAIL").alias("kind")), F.struct(F.lit(1).alias("start"), F.lit("CARD").alias("kind")), F.struct(F.lit(0).alias("start"), F.lit("CARD").alias("kind")))).alias("g"), F.length(mail).alias("n"))
+    path = shared_dir(spark, "gold")
+    batch.write_jsonl(gold.select("file", "g.start", (F.col("g.start") + F.col("n")).alias("end"), "g.kind"), path)
+    spans, _, counts = side.read_gold(spark, path, first, second)
+    return spans.crossJoin(F.broadcast(counts))
+
+
 def _request(key):
     """A chat request whose texts hold a key's mail address, beside structural strings that look like one."""
     mail = F.concat(F.lit("c"), key, F.lit("@x.ae"))
