@@ -54,6 +54,8 @@ SQL = {
     "title_variants": "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titled, true AS augment, (length(n_name) + 2 - length(regexp_extract(n_name, '[A-Z0-9_]*$')))::INT AS safe FROM nation",
     "arabic_normal_forms": "SELECT n_nationkey, 'الاداره ' || n_nationkey || ' موسسه' AS normal, 'a جاب ' || n_name AS turned, 'كتاب' AS stem FROM nation",
     "format_kinds": "SELECT page_id, CASE WHEN lower(html[1:64]) LIKE '%<!doctype html%' OR lower(html[1:64]) LIKE '%<html%' THEN 'HTML' WHEN regexp_matches(html, '^[ \\t\\n\\f\\r]*[{\\[]') THEN 'JSON' ELSE 'TXT' END AS kind FROM pages",
+    # where a page's texts hold no phone number, as in these pages
+    "html_redacted": rf"SELECT page_id, sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: list_reduce(list_prepend(p[i], list_distinct(regexp_extract_all(p[i], '{_EMAIL}'))), lambda t, e: replace(t, e, " + _token("EMAIL", "lower(e)") + rf")) || coalesce(m[i], '')), '')) AS sha256, list_sum(list_transform(p, lambda x: len(regexp_extract_all(x, '{_EMAIL}'))))::INT AS n, NULL::VARCHAR AS error FROM (SELECT page_id, string_split_regex(html, '{_MARKUP}') AS p, regexp_extract_all(html, '{_MARKUP}') AS m FROM pages)",
     "iban_spans": _spans("account", [(f"'SA' || lpad((98 - (id * 1000000 + 281000) % 97)::VARCHAR, 2, '0') || {_PAD.format(n=20)}", "IBAN", "regex.gcc.iban.mod97", "id % 5 <> 0")]),
     "phone_spans": _spans("contact", [(_PHONE, "PHONE", "regex.gcc.phone", "true"), (_INTL, "PHONE", "regex.gcc.phone", "true")]),
     "folded_phone_spans": _spans("folded", [(f"translate({_PHONE}, '0123456789', '٠١٢٣٤٥٦٧٨٩')", "PHONE", "regex.gcc.phone", "true")]),
