@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 
 import numpy as np
@@ -38,13 +37,16 @@ from .frames import documents, group_sample
 TRAIN_BYTES, LANGUAGES, VOCABULARY, LONGEST = 2 << 20, 64, 20_000, 4
 #: Remembered scores of words in a worker, for ``LANGUAGES`` languages; cells of scores that are worked out at once.
 REMEMBERED, CELLS = 200_000, 1 << 21
-#: Runs of letters; Python's word class also holds numbers that are no letters, such as ², ½, ① and Ⅷ.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
+#: Python's word class also holds numbers that are no letters, such as ², ½, ① and Ⅷ.
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
