@@ -101,20 +101,26 @@ class Codec:
         self.ids: list[np.ndarray] = []
         self.offsets = np.zeros(1, np.int64)
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of words that are not tokens themselves, by the recursive query."""
-        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-        out: list = [None if len(w) <= LONG_WORD else self.by_heap(w) for w in words]
-        if short:
-            data = np.frombuffer(b"".join(words[i] for i in short), np.uint8)
-            first = np.append(0, np.cumsum([len(words[i]) for i in short])).astype(np.int32)
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words that are not tokens themselves, all in one array, and each word's number of them, by the recursive query."""
+        sizes = np.zeros(len(words), np.int64)
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONG_WORD], np.int64)
+        flat = np.zeros(0, np.int32)
+        if len(short):
+            data = np.frombuffer(b"".join(words[i] for i in short.tolist()), np.uint8)
+            first = np.append(0, np.cumsum([len(words[i]) for i in short.tolist()])).astype(np.int32)
             start = pa.table({"word": pa.array(np.arange(len(short), dtype=np.int32)), "toks": pa.ListArray.from_arrays(pa.array(first), pa.array(self.byte_ids[data]))})
             self.db.register("start", start)
             toks = self.db.sql(_ENCODE).to_arrow_table()["toks"].combine_chunks()
-            flat, ends = toks.flatten().to_numpy().astype(np.int32), np.cumsum(toks.value_lengths().to_numpy())
-            for i, part in zip(short, np.split(flat, ends[:-1]), strict=True):
-                out[i] = part
-        return out
+            flat, sizes[short] = toks.flatten().to_numpy().astype(np.int32), toks.value_lengths().to_numpy()
+        if len(short) < len(words):
+            parts, at = [], 0
+            for i, w in enumerate(words):
+                parts.append(flat[at : at + sizes[i]] if len(w) <= LONG_WORD else self.by_heap(w))
+                at += sizes[i]
+                sizes[i] = len(parts[-1])
+            flat = np.concatenate(parts)
+        return flat, sizes
 
     def by_heap(self, word: bytes) -> np.ndarray:
         """The same contraction order for one long word."""
@@ -151,10 +157,15 @@ class Codec:
             bodies = [w.encode() for w in new]
             direct = [self.ranks.get(b) for b in bodies]
             hard = [i for i, d in enumerate(direct) if d is None]
-            found = dict(zip(hard, self.contract([bodies[i] for i in hard]), strict=True)) if hard else {}
-            add = [np.array([d], np.int32) if d is not None else found[i] for i, d in enumerate(direct)]
-            self.ids.append(np.concatenate(add))
-            self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum([len(a) for a in add]))
+            ids, sizes = self.contract([bodies[i] for i in hard]) if hard else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            size = np.ones(len(new), np.int64)
+            size[hard] = sizes
+            first = np.cumsum(size) - size
+            add = np.zeros(int(size.sum()), np.int32)
+            add[first] = [d or 0 for d in direct]
+            add[np.repeat(first[hard] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(ids))] = ids
+            self.ids.append(add)
+            self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum(size))
             self.ids = [np.concatenate(self.ids)]
         size = self.offsets[at + 1] - self.offsets[at]
         ends = np.append(0, np.cumsum(size))
