@@ -29,9 +29,9 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_for(df: DataFrame, size: float) -> int:
-    """Partitions for a shuffle of so many bytes: the session's number, more where a task would take over ``TASK_BYTES``."""
-    return max(shuffle_partitions(df), min(1 << 20, int(size) // TASK_BYTES))
+def parts_for(df: DataFrame, size: float, each: int = TASK_BYTES) -> int:
+    """Partitions for a shuffle of so many bytes, ``each`` a task; no fewer than there are cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 20, int(size) // each + 1))
 
 
 def _partition(labels: np.ndarray, parts: int) -> np.ndarray:

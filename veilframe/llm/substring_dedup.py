@@ -49,8 +49,8 @@ from .frames import documents, parts_for, plan_bytes, spread
 WINDOW, GRAM = 13, 4
 #: Parquet bytes of input per shard: bounds what one automaton task holds.
 SHARD_BYTES = 8 << 20
-#: Bytes that travel for a byte of input: segments and their places, and documents with their spans.
-ROUTED, JOINED = 3.0, 2.0
+#: Bytes that travel with the documents for a byte of input, spans included.
+JOINED = 2.0
 #: Documents looked at for hot anchors (1 of so many), the share of them that makes an anchor hot, and how many are kept.
 HOT_EVERY, HOT_SHARE, HOT_MAX = 64, 0.004, 4096
 #: Compression of what travels: zstd level, and the size and sample (pieces of so many characters) of its dictionary.
@@ -420,13 +420,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 48).cast("int").alias("tag"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null and text is not null")
     size = plan_bytes(docs, text_col)
-    shards = shards or max(parts_for(docs, 0), min(1 << 20, size // SHARD_BYTES))
-    routed, joined = parts_for(docs, size * ROUTED), parts_for(docs, size * JOINED)
+    shards = shards or parts_for(docs, size, SHARD_BYTES)
+    joined = parts_for(docs, size * JOINED)
     hot = hot_anchors(known, window, gram)
     words = docs.sparkSession.sparkContext.broadcast(dictionary(known))
     ranges = (
-        known.mapInArrow(_router(spread(shards, routed), window, gram, hot, words), "shard int, blob binary")
-        .repartition(routed, "shard").groupBy("shard").applyInArrow(_settle(window, spread(joined, joined), words), "bucket int, blob binary")
+        known.mapInArrow(_router(spread(shards, shards), window, gram, hot, words), "shard int, blob binary")
+        .repartition(shards, "shard").groupBy("shard").applyInArrow(_settle(window, spread(joined, joined), words), "bucket int, blob binary")
         .repartition(joined, "bucket").groupBy("bucket").applyInArrow(_gather, "doc long, tag int, ranges binary")
     )
     texts = rows.repartition(joined, "doc_id", "tag")
