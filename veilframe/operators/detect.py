@@ -167,7 +167,7 @@ class Suppressor:
 def _readings(source: Column, views: Column, at: Column) -> Column:
     """A text's readings (source, body, src, turned?): as it stands, and turned where that changes anything."""
     turned = text.reverse_arabic_runs(source)
-    reading = lambda s, v, back: F.struct(s.alias("source"), spans.unmarked(F.coalesce(v["text"], text.stable_view(s))).alias("body"), v["src"].alias("src"), F.lit(back).alias("turned"))
+    reading = lambda s, v, back: F.struct(s.alias("source"), F.transform(F.array(F.coalesce(v["text"], text.stable_view(s))), spans.unmarked)[0].alias("body"), v["src"].alias("src"), F.lit(back).alias("turned"))
     plain = reading(source, F.get(views, at * 2), False)
     return F.when(turned != source, F.array(plain, reading(turned, F.get(views, at * 2 + 1), True))).otherwise(F.array(plain))
 
@@ -175,7 +175,8 @@ def _readings(source: Column, views: Column, at: Column) -> Column:
 def detect_all(df: DataFrame, texts: Column, out: str, which: Sequence[Detector] = DETECTORS, gazetteer: Gazetteer | None = None) -> DataFrame:
     """Adds, for an array of texts, the array of each one's pattern detections, boosted by context; null for a null text."""
     df = df.withColumn("__texts", texts)
-    both = F.flatten(F.transform("__texts", lambda s: F.array(s, text.reverse_arabic_runs(s))))
+    turned = lambda s: F.when(text.has_arabic(s), text.reverse_arabic_runs(s))
+    both = F.flatten(F.transform("__texts", lambda s: F.array(s, turned(s))))
     df = df.withColumn("__views", F.coalesce(text.unstable_views(both), F.array().cast(T.ArrayType(text.VIEW))))
 
     def of(source, at):
