@@ -22,7 +22,7 @@ from veilframe.model import Policy
 from veilframe.operators import detect as D
 from veilframe.operators import bodies, guard, ner, restore, structured, tokens
 from veilframe.plans import batch, evaluate
-from veilframe.session import stored
+from veilframe.session import dropped, scratch, stored
 from veilframe.sources import formats, side
 from veilframe.streaming import events
 
@@ -133,6 +133,20 @@ def test_nearest_token(spark):
     assert got[3].unrestored == ["EMAIL_DEADBEEF1234"] and got[0].restored == ["EMAIL_18686338BC2AD87A"]
 
 
+def test_a_restored_table_has_a_small_plan(spark):
+    """A plan that repeats every step of the look-up fills the driver."""
+    vault = spark.createDataFrame([("EMAIL_18686338BC2AD87A", "a@b.co")], "token string, value string")
+    with scratch() as made:
+        out = restore.restore(frame(spark, ["EMAIL_18686338BC2AD87", "EMAIL_18686338BC2AD87A"]), vault)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.splitlines()) < 60 and [r.text for r in out.collect()] == ["a@b.co"] * 2
+    paths = [t.stored_at for t in made]
+    assert paths and all(Path(p.removeprefix("file:")).exists() for p in paths)
+    for t in made:
+        dropped(t)
+    assert not any(Path(p.removeprefix("file:")).exists() for p in paths)
+
+
 def test_policies(spark):
     with pytest.raises(ValueError):
         Policy("lenient")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import stored
 from .tables import free, join_by_key
 
 _EXACT = r"(?:EMAIL|PHONE|IBAN|CR|TAX_ID|GOV_ID|PERSON|ORG|ADDRESS)_[A-F0-9]{16}"
@@ -29,15 +30,28 @@ def with_values(text: Column, found: Column, pattern: str = ANY_TOKEN) -> Column
 def values_of(asked: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(token, value, name of the vault's token, n) of the asked tokens (token, n) that the vault knows, exactly or within two edits.
 
-    Values that hold tokens themselves are resolved first, once.
+    Values that hold tokens themselves are resolved, once.  The result is
+    stored, and it alone is resolved: no larger part of the vault than was asked for.
     """
-    values = _resolved(vault.select("token", "value").dropDuplicates(["token"]))
-    known = asked.join(values, "token").select("token", "value", F.col("token").alias("name"), "n")
-    if not fuzzy:
+    exact = vault.join(asked, "token").groupBy("token").agg(F.min("value").alias("value"), F.first("n").alias("n"))
+    known = stored(exact.select("token", "value", F.col("token").alias("name"), "n"), "known")
+    if fuzzy:
+        lost = stored(asked.join(known.select("token"), "token", "left_anti").where(F.col("token").rlike(rf"\A(?:{fixed.PRIVATE_TOKEN_BARE})\z")), "lost")
+        if not lost.isEmpty():
+            best = stored(nearest(lost, vault.select("token")).join(lost, "token"), "nearest")
+            values = _first(vault.join(best.select(F.col("best").alias("token")), "token", "left_semi"))
+            near = best.join(values.select(F.col("token").alias("best"), "value"), "best")
+            known = known.unionByName(near.select("token", "value", F.col("best").alias("name"), "n"))
+    holds = F.coalesce(F.col("value").rlike(_EXACT), F.lit(False))
+    if known.where(holds).isEmpty():
         return known
-    lost = asked.join(values.select("token"), "token", "left_anti").where(F.col("token").rlike(rf"\A(?:{fixed.PRIVATE_TOKEN_BARE})\z"))
-    near = nearest(lost, values).join(values.select(F.col("token").alias("best"), "value"), "best").join(lost, "token")
-    return known.unionByName(near.select("token", "value", F.col("best").alias("name"), "n"))
+    known = stored(known, "found")
+    return stored(known.where(~holds).unionByName(_resolved(known.where(holds), vault)), "resolved")
+
+
+def _first(vault: DataFrame) -> DataFrame:
+    """One value for each token."""
+    return vault.groupBy("token").agg(F.min("value").alias("value"))
 
 
 def look_up(rows: DataFrame, text: Column, vault: DataFrame, fuzzy: bool = True, out: str = "__found") -> DataFrame:
@@ -47,15 +61,17 @@ def look_up(rows: DataFrame, text: Column, vault: DataFrame, fuzzy: bool = True,
     column of the rows need identify them, and no text is shuffled but for rows
     that hold a token.  A text that many rows share and a token that many texts
     share are joined where they are (see ``join_by_key``).  The rows are read
-    more than once: store what is costly to make.
+    more than once: store what is costly to make.  Each step's table is stored,
+    because a plan that repeats all earlier steps fills the driver.
     """
-    held = rows.where(text.rlike(ANY_TOKEN)).withColumn("__text", F.unhex(F.sha2(text, 256)))
-    plain = rows.where(~F.coalesce(text.rlike(ANY_TOKEN), F.lit(False)))
-    pairs = held.select("__text", F.explode(F.array_distinct(tokens_in(text))).alias("token")).distinct()
-    asked = pairs.groupBy("token").agg(F.count("*").alias("n"))
+    has = F.coalesce(text.rlike(ANY_TOKEN), F.lit(False))
+    keyed = lambda: rows.where(has).withColumn("__text", F.unhex(F.sha2(text, 256)))
+    texts = stored(keyed().groupBy("__text").agg(F.count("*").alias("n"), F.first(F.array_distinct(tokens_in(text))).alias("tokens")), "texts")
+    pairs = texts.select("__text", F.explode("tokens").alias("token"))
+    asked = stored(pairs.groupBy("token").agg(F.count("*").alias("n")), "asked")
     found = join_by_key(pairs, values_of(asked, vault, fuzzy), "token", "n").groupBy("__text").agg(F.array_sort(F.collect_list(F.struct("token", "value", "name"))).alias(out))
-    texts = held.groupBy("__text").agg(F.count("*").alias("n")).join(found, "__text", "left").withColumn(out, F.coalesce(out, F.array().cast(_FOUND)))
-    return join_by_key(held, texts, "__text", "n").drop("__text").unionByName(plain.withColumn(out, F.array().cast(_FOUND)))
+    given = stored(texts.select("__text", "n").join(found, "__text", "left").withColumn(out, F.coalesce(out, F.array().cast(_FOUND))), "given")
+    return join_by_key(keyed(), given, "__text", "n").drop("__text").unionByName(rows.where(~has).withColumn(out, F.array().cast(_FOUND)))
 
 
 def restore(df: DataFrame, vault: DataFrame, text_col: str = "text", fuzzy: bool = True, restored: str = "restored", unrestored: str = "unrestored") -> DataFrame:
@@ -74,14 +90,13 @@ def restore(df: DataFrame, vault: DataFrame, text_col: str = "text", fuzzy: bool
     return out.withColumns({restored: names, unrestored: F.coalesce(left, none), text_col: new}).drop("__found")
 
 
-def _resolved(values: DataFrame) -> DataFrame:
-    """The vault with tokens inside its values replaced (values rarely hold any)."""
-    holds = F.coalesce(F.col("value").rlike(_EXACT), F.lit(False))
-    inner = values.where(holds)
-    asked = inner.select(F.col("token").alias("holder"), F.explode(F.array_distinct(tokens_in(F.col("value"), _EXACT))).alias("token"))
-    known = asked.join(values, "token").groupBy("holder").agg(F.collect_list(F.struct("token", "value", F.col("token").alias("name"))).alias("found"))
-    new = inner.join(known, inner.token == known.holder, "left").select("token", F.coalesce(with_values(F.col("value"), F.col("found"), _EXACT), "value").alias("value"))
-    return values.where(~holds).unionByName(new)
+def _resolved(inner: DataFrame, vault: DataFrame) -> DataFrame:
+    """Rows (token, value, name, n) with the vault's tokens inside their values replaced (values rarely hold any)."""
+    asked = inner.select("token", F.explode(F.array_distinct(tokens_in(F.col("value"), _EXACT))).alias("inside"))
+    values = _first(vault.join(asked.select(F.col("inside").alias("token")), "token", "left_semi"))
+    held = asked.join(values.select(F.col("token").alias("inside"), F.col("value").alias("put")), "inside")
+    found = held.groupBy("token").agg(F.collect_list(F.struct(F.col("inside").alias("token"), F.col("put").alias("value"), F.col("inside").alias("name"))).alias("found"))
+    return inner.join(found, "token", "left").select("token", F.coalesce(with_values(F.col("value"), F.col("found"), _EXACT), "value").alias("value"), "name", "n")
 
 
 def nearest(needles: DataFrame, vault: DataFrame, order_col: str = "token") -> DataFrame:
