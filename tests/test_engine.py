@@ -423,6 +423,18 @@ def test_streams_survive_any_cut(spark, tmp_path):
         query.stop()
 
 
+def test_many_short_streams_take_no_call_each(spark):
+    """5,000 streams of three events, ids and rests apart; a stream without an id is one too."""
+    rows = [(None if k == 7 else str(k), i, delta(p)) for k in range(5_000) for i, p in enumerate((f"{k} ", TOKEN[:9], TOKEN[9:]))]
+    df = spark.createDataFrame(rows[::-1], "stream_id string, seq long, block string").coalesce(1)
+    calls = [x for x in ("FlatMapGroupsInPandas", "FlatMapGroupsInArrow") if x in events.recut_batch(df)._jdf.queryExecution().optimizedPlan().toString()]
+    got = {}
+    for r in sorted(events.recut_batch(df).collect(), key=lambda r: (r.stream_id or "", r.seq, r.part)):
+        got.setdefault(r.stream_id, []).append(json.loads(r.block[6:])["delta"]["text"])
+    assert got == {(None if k == 7 else str(k)): [f"{k} ", "", "", TOKEN.join(("\ue000", "\ue001"))] for k in range(5_000)} and calls == []
+    assert events.recut_batch(df.limit(0)).collect() == []
+
+
 def test_a_stream_with_a_gap_gives_all_it_has(spark, tmp_path):
     schema = "stream_id string, seq long, block string"
     spark.createDataFrame([("g", 0, delta("a ")), ("g", 2, delta("c " + TOKEN)), ("g", 3, delta("d "))], schema).write.parquet(str(tmp_path / "in"))

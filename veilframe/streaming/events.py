@@ -18,12 +18,14 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import fixed
 from ..operators import restore, spans
+from ..session import dropped, scratch, stored
 
 #: Marks around a token to look up, and the escape that keeps such characters of the stream itself apart.
 OPEN, CLOSE, ESCAPE = spans.OPEN, spans.CLOSE, "\ue002"
@@ -178,8 +180,14 @@ class Recutter:
         return [*(self.rests() if ends(block) else []), self.block(block)]
 
 
+#: What a last event holds, unless it is written with escapes.
+_ENDS = ("[DONE]", *fixed.STREAM_ENDS)
+
+
 def ends(block: str) -> bool:
     """Whether a block ends its stream."""
+    if "\\" not in block and not any(end in block for end in _ENDS):
+        return False
     for line in block.split("\n"):
         body = line[5:].lstrip() if line.startswith("data:") else ""
         try:
@@ -209,15 +217,25 @@ _OUT = "stream_id string, seq long, part int, block string"
 def recut_batch(events: DataFrame) -> DataFrame:
     """All events (stream_id, seq, block) of bounded streams, tokens whole and marked; what is left at a stream's end follows its last event."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Recutter(), []
-        for r in pdf.sort_values("seq").itertuples():
-            rows += [(r.stream_id, r.seq, i, b) for i, b in enumerate(state.blocks(r.block))]
-        if rows:
-            rows += [(*rows[-1][:2], rows[-1][2] + 1 + i, b) for i, b in enumerate(state.rests())]
-        return pd.DataFrame(rows, columns=["stream_id", "seq", "part", "block"])
-
-    return events.select("stream_id", "seq", "block").groupBy("stream_id").applyInPandas(run, _OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, stream, seq, part = None, None, None, 0
+        rest = lambda: [(stream, seq, part + 1 + i, b) for i, b in enumerate(cutter.rests())] if cutter else []
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["stream_id", "seq", "part", "block"])
+        for batch in batches:
+            rows = []
+            for s, n, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if cutter is None or s != stream:
+                    rows += rest()
+                    cutter, stream = Recutter(), s
+                cut = cutter.blocks(block)
+                rows += [(s, n, i, b) for i, b in enumerate(cut)]
+                seq, part = n, len(cut) - 1
+            yield table(rows)
+        yield table(rest())
+
+    # streams one after the other in one task: a call for each stream takes longer than its events
+    ordered = events.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), "block").repartition("stream_id").sortWithinPartitions("stream_id", F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(run, _OUT)
 
 
 def recut_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
@@ -273,13 +291,29 @@ def put_values(blocks: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataF
 
 
 def restore_batch(events: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """All events of bounded streams with their tokens restored."""
-    return put_values(recut_batch(events), vault, fuzzy)
+    """All events of bounded streams with their tokens restored. The re-cut events are stored: the look-up reads them more than once."""
+    return put_values(stored(recut_batch(events), "recut"), vault, fuzzy)
 
 
 def restore_stream(events: DataFrame, vault: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], idle: str = "10 minutes", fuzzy: bool = True) -> DataStreamWriter:
     """A writer for a streaming table of events: each batch is joined with the vault that ``vault()`` reads then, and given to ``write``."""
-    return recut_stream(events, idle).writeStream.outputMode("append").foreachBatch(lambda batch, n: write(put_values(batch, vault(), fuzzy), n))
+    return recut_stream(events, idle).writeStream.outputMode("append").foreachBatch(_each_batch(lambda batch, found: put_values(batch, found, fuzzy), vault, write))
+
+
+def _each_batch(change: Callable[[DataFrame, DataFrame], DataFrame], vault: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """What a running stream does with a batch; the tables that it stores on the way go with it."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        found = vault()
+        try:
+            with scratch() as made:
+                out = change(stored(batch, "batch"), found)
+            write(out, n)
+        finally:
+            for table in made:
+                dropped(table)
+
+    return run
 
 
 def redact_stream(events: DataFrame, text_col: str, secret: str, **options) -> DataFrame:
@@ -291,4 +325,4 @@ def redact_stream(events: DataFrame, text_col: str, secret: str, **options) -> D
 
 def follow(messages: DataFrame, vault: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], text_col: str = "text") -> DataStreamWriter:
     """A writer for a streaming table of messages, restored with the vault as it is at each batch."""
-    return messages.writeStream.outputMode("append").foreachBatch(lambda batch, n: write(restore.restore(batch, vault(), text_col), n))
+    return messages.writeStream.outputMode("append").foreachBatch(_each_batch(lambda batch, found: restore.restore(batch, found, text_col), vault, write))
