@@ -537,6 +537,34 @@ def test_vault_file_and_side_inputs(spark, tmp_path):
     assert [r.text for r in side.assistant_messages(lines).collect()] == ["a"] and side.assistant_messages(lines, thinking=True).count() == 2
 
 
+def test_a_vault_file_passes_through_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(side, "_ROWS", 700)
+    rows = [("EMAIL", f"EMAIL_{i:05}", f"\u00e1{i}@b.co \"]}} \\" * 90, None) for i in range(2_000)]
+    vault = spark.createDataFrame(rows, "kind string, token string, value string, normalized string")
+    path, sizes = tmp_path / "v", []
+    pieces = side._pieces
+    monkeypatch.setattr(side, "_pieces", lambda parts, *size: (sizes.append(len(p)) or p for p in pieces(parts, *size)))
+    side.save_vault(vault, str(path), "k")
+    assert sorted(tuple(r) for r in side.load_vault(spark, str(path), "k").collect()) == rows
+    assert max(sizes) == side._PIECE and path.stat().st_size > 4 * side._PIECE
+    box = json.loads(path.read_text())
+    from base64 import b64decode, b64encode
+    from hashlib import sha256
+
+    jvm = spark.sparkContext._jvm  # the whole file is one message of the cipher
+    cipher = jvm.javax.crypto.Cipher.getInstance("ChaCha20-Poly1305")
+    cipher.init(2, jvm.javax.crypto.spec.SecretKeySpec(sha256(b"k").digest(), "ChaCha20"), jvm.javax.crypto.spec.IvParameterSpec(b64decode(box["nonce"])))
+    told = json.loads(bytes(cipher.doFinal(b64decode(box["ciphertext"]))))["records"]
+    assert [tuple(r.values()) for r in told] == rows
+    path.write_text(json.dumps(dict(reversed(box.items()))))
+    assert side.load_vault(spark, str(path), "k").count() == 2_000
+    body = bytearray(b64decode(box["ciphertext"]))
+    body[1_000_000] ^= 1
+    path.write_text(json.dumps(box | {"ciphertext": b64encode(body).decode()}))
+    with pytest.raises(ValueError, match="changed"):
+        side.load_vault(spark, str(path), "k")
+
+
 def test_the_rest_does_not_import_the_training_operators():
     root = Path(__file__).resolve().parents[1] / "veilframe"
     for f in root.rglob("*.py"):
