@@ -435,6 +435,11 @@ def test_many_short_streams_take_no_call_each(spark):
     assert events.recut_batch(df.limit(0)).collect() == []
 
 
+def test_ends_of_streams():
+    ends = ["data: [DONE]", 'event: x\ndata:{"type":"message_stop"}', 'data: {"type": "response\\u002ecompleted"}']
+    assert [events.ends(b) for b in (*ends, "data: [DONE] ", 'data: {"t":"message_stop"}', delta("x"), "")] == [True] * 3 + [False] * 4
+
+
 def test_a_stream_with_a_gap_gives_all_it_has(spark, tmp_path):
     schema = "stream_id string, seq long, block string"
     spark.createDataFrame([("g", 0, delta("a ")), ("g", 2, delta("c " + TOKEN)), ("g", 3, delta("d "))], schema).write.parquet(str(tmp_path / "in"))
