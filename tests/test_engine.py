@@ -435,6 +435,28 @@ def test_many_short_streams_take_no_call_each(spark):
     assert events.recut_batch(df.limit(0)).collect() == []
 
 
+def test_a_failing_stream_gives_no_result(spark, monkeypatch):
+    """Neither a failed batch nor a slow one may look like a result."""
+    put = events.put_values
+
+    def broken(*args, **options):
+        raise RuntimeError("no vault")
+
+    monkeypatch.setattr(events, "put_values", broken)
+    with pytest.raises(Exception, match="no vault"):
+        catalog.QUERIES["live_restore"](spark, SF)
+
+    def slow(*args, **options):
+        ticks.append(400)
+        return put(*args, **options)
+
+    ticks, now = [], time.time
+    monkeypatch.setattr(events, "put_values", slow)
+    monkeypatch.setattr(time, "time", lambda: now() + sum(ticks))  # six minutes pass in the batch
+    assert catalog.QUERIES["live_restore"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
 def test_ends_of_streams():
     ends = ["data: [DONE]", 'event: x\ndata:{"type":"message_stop"}', 'data: {"type": "response\\u002ecompleted"}']
     assert [events.ends(b) for b in (*ends, "data: [DONE] ", 'data: {"t":"message_stop"}', delta("x"), "")] == [True] * 3 + [False] * 4
