@@ -147,6 +147,13 @@ def test_a_restored_table_has_a_small_plan(spark):
     assert not any(Path(p.removeprefix("file:")).exists() for p in paths)
 
 
+def test_restored_structures_have_a_small_plan(spark):
+    vault = spark.createDataFrame([("EMAIL_18686338BC2AD87A", "a@b.co")], "token string, value string")
+    rows = frame(spark, ["EMAIL_18686338BC2AD87A"]).select("id", F.struct(F.array("text").alias("notes")).alias("c"))
+    out = structured.restore_structured(rows, vault, ["c"])
+    assert len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 60 and out.first().c.notes == ["a@b.co"]
+
+
 def test_policies(spark):
     with pytest.raises(ValueError):
         Policy("lenient")

@@ -231,7 +231,7 @@ def structured_restored(spark, sf_dir):
     rows = carrier(spark, sf_dir, "contact").select("id", F.struct(F.concat(F.lit("05"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("phone"), F.array(F.concat(F.lit("mail c"), "id", F.lit("@x.ae"))).alias("notes"), F.create_map(F.lit("k"), "id").alias("m")).alias("c"))
     done = stored(structured.redact_structured(rows, SECRET, TENANT, ["c"], which=CONTACT), "redacted")
     values = rows.select(F.explode(F.array(F.struct(tokens.token_for("PHONE", F.col("c.phone"), SECRET, TENANT).alias("token"), F.col("c.phone").alias("value")), F.struct(tokens.token_for("EMAIL", F.concat(F.lit("c"), "id", F.lit("@x.ae")), SECRET, TENANT).alias("token"), F.concat(F.lit("c"), "id", F.lit("@x.ae")).alias("value")))).alias("v")).select("v.*")
-    out = structured.restore_structured(done, values, ["c"])
+    out = structured.restore_structured(done, stored(values, "vault"), ["c"])
     return out.select("id", "c.phone", F.col("c.notes")[0].alias("note"), F.col("c.m")["k"].alias("k"))
 
 
