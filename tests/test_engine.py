@@ -21,7 +21,7 @@ from veilframe.functions import checks, text
 from veilframe.model import Policy
 from veilframe.operators import detect as D
 from veilframe.operators import bodies, guard, ner, restore, structured, tokens
-from veilframe.plans import batch, evaluate
+from veilframe.plans import batch, evaluate, folder_queries
 from veilframe.session import dropped, scratch, stored
 from veilframe.sources import formats, side
 from veilframe.streaming import events
@@ -442,6 +442,35 @@ def test_many_short_streams_take_no_call_each(spark):
     assert events.recut_batch(df.limit(0)).collect() == []
 
 
+def test_stream_shapes_is_dealt_out_and_joined_once(spark, monkeypatch):
+    """A small table's one partition is not all that works; a block without a mark is not joined, and without heavy keys one join does."""
+    given = {}
+    monkeypatch.setattr(folder_queries, "stored", lambda df, name: given.setdefault(name, df) and stored(df, name))
+    rows = catalog.QUERIES["stream_shapes"](spark, SF).count()
+    assert rows == 3 * spark.read.parquet(f"{SF}/customer.parquet").count() and given["tokens"].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vault = spark.createDataFrame(list(VAULT.items()), "token string, value string")
+    for n, joins in ((200, 1), (300, 3)):
+        blocks = stored(spark.createDataFrame([("s", i, 0, f"{MARKED} {i}") for i in range(n)] + [("s", n, 0, "plain")], "stream_id string, seq long, part int, block string"), "blocks")
+        out = events.put_values(blocks, vault)
+        assert sorted(r.block for r in out.collect()) == sorted([f"a@b.co {i}" for i in range(n)] + ["plain"])
+        assert len(re.findall(r"Join (?:Inner|LeftOuter)", out._jdf.queryExecution().optimizedPlan().toString())) <= joins
+
+
+def test_lines_without_a_text_are_written_once(spark, monkeypatch):
+    """What is remembered of a line is the same in every stream; lines with texts are not remembered."""
+    silent = {'data: {"usage": 1}': 'data: {"usage":1}', "data:  [1]": "data:  [1]", "event: \ue000": "event: \ue0020", 'data:{"a": "\\ue000"} ': 'data:{"a":"\ue0020"}', "data: {x": "data: {x"}
+    asked = []
+    monkeypatch.setattr(events.Recutter, "event", lambda self, e, f=events.Recutter.event: asked.append(e) or f(self, e))
+    monkeypatch.setattr(events, "_silent", {})
+    for _ in range(3):
+        assert [events.Recutter().block(k) for k in silent] == list(silent.values())
+    assert len(asked) == 2
+    r = events.Recutter()
+    assert [json.loads(r.block(delta(TOKEN + " "))[6:])["delta"]["text"] for _ in range(2)] == [MARKED + " "] * 2
+    last = sse({"type": "response.completed", "response": {"text": TOKEN}})
+    assert [MARKED in r.block(last) for _ in range(2)] == [True] * 2 and set(events._silent) == set(silent)
+
+
 def test_a_failing_stream_gives_no_result(spark, monkeypatch):
     """Neither a failed batch nor a slow one may look like a result."""
     put = events.put_values

@@ -35,7 +35,7 @@ def values_of(asked: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFra
     """
     exact = vault.join(asked, "token").groupBy("token").agg(F.min("value").alias("value"), F.first("n").alias("n"))
     known = stored(exact.select("token", "value", F.col("token").alias("name"), "n"), "known")
-    if fuzzy:
+    if fuzzy and known.count() < asked.count():
         lost = stored(asked.join(known.select("token"), "token", "left_anti").where(F.col("token").rlike(rf"\A(?:{fixed.PRIVATE_TOKEN_BARE})\z")), "lost")
         if not lost.isEmpty():
             best = stored(nearest(lost, vault.select("token")).join(lost, "token"), "nearest")
@@ -54,7 +54,7 @@ def _first(vault: DataFrame) -> DataFrame:
     return vault.groupBy("token").agg(F.min("value").alias("value"))
 
 
-def look_up(rows: DataFrame, text: Column, vault: DataFrame, fuzzy: bool = True, out: str = "__found") -> DataFrame:
+def look_up(rows: DataFrame, text: Column, vault: DataFrame, fuzzy: bool = True, out: str = "__found", tokens: Column | None = None) -> DataFrame:
     """Adds the array (token, value, name) of the tokens of a text that the vault knows.
 
     The result depends on the text alone, so a text's digest stands for it: no
@@ -62,16 +62,26 @@ def look_up(rows: DataFrame, text: Column, vault: DataFrame, fuzzy: bool = True,
     that hold a token.  A text that many rows share and a token that many texts
     share are joined where they are (see ``join_by_key``).  The rows are read
     more than once: store what is costly to make.  Each step's table is stored,
-    because a plan that repeats all earlier steps fills the driver.
+    because a plan that repeats all earlier steps fills the driver.  ``tokens``
+    are the distinct tokens of the texts where they are known: every row has some then.
     """
-    has = F.coalesce(text.rlike(ANY_TOKEN), F.lit(False))
-    keyed = lambda: rows.where(has).withColumn("__text", F.unhex(F.sha2(text, 256)))
-    texts = stored(keyed().groupBy("__text").agg(F.count("*").alias("n"), F.first(F.array_distinct(tokens_in(text))).alias("tokens")), "texts")
+    if tokens is None:
+        has = F.coalesce(text.rlike(ANY_TOKEN), F.lit(False))
+        some, rest = rows.where(has), rows.where(~has).withColumn(out, F.array().cast(_FOUND))
+    else:
+        some, rest = rows, None
+    keyed = lambda: some.withColumn("__text", F.unhex(F.sha2(text, 256)))
+    if tokens is None:
+        counted = keyed().groupBy("__text").agg(F.count("*").alias("n"), F.first(F.array_distinct(tokens_in(text))).alias("tokens"))
+    else:  # grouped by hash: with the tokens as a key no array is aggregated
+        counted = keyed().groupBy("__text", tokens.alias("tokens")).agg(F.count("*").alias("n"))
+    texts = stored(counted, "texts")
     pairs = texts.select("__text", F.explode("tokens").alias("token"))
     asked = stored(pairs.groupBy("token").agg(F.count("*").alias("n")), "asked")
     found = join_by_key(pairs, values_of(asked, vault, fuzzy), "token", "n").groupBy("__text").agg(F.array_sort(F.collect_list(F.struct("token", "value", "name"))).alias(out))
     given = stored(texts.select("__text", "n").join(found, "__text", "left").withColumn(out, F.coalesce(out, F.array().cast(_FOUND))), "given")
-    return join_by_key(keyed(), given, "__text", "n").drop("__text").unionByName(rows.where(~has).withColumn(out, F.array().cast(_FOUND)))
+    done = join_by_key(keyed(), given, "__text", "n").drop("__text")
+    return done if rest is None else done.unionByName(rest)
 
 
 def restore(df: DataFrame, vault: DataFrame, text_col: str = "text", fuzzy: bool = True, restored: str = "restored", unrestored: str = "unrestored") -> DataFrame:

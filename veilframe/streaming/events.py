@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from ..session import dropped, scratch, stored
 #: Marks around a token to look up, and the escape that keeps such characters of the stream itself apart.
 OPEN, CLOSE, ESCAPE = spans.OPEN, spans.CLOSE, "\ue002"
 _SAVED = {ESCAPE: ESCAPE + "2", OPEN: ESCAPE + "0", CLOSE: ESCAPE + "1"}
-_TAIL = re.compile(r"[A-Z0-9_]*\Z")
+_RUN = string.ascii_uppercase + string.digits + "_"
 _TOKEN = re.compile(rf"{fixed.PRIVATE_TOKEN_BARE}|(?:EMAIL|PHONE|IBAN|CR|TAX_ID|GOV_ID|PERSON|ORG|ADDRESS)_[A-F0-9]{{16}}")
 
 
@@ -41,8 +43,8 @@ class Field(NamedTuple):
     """
 
     path: tuple[str, ...]
-    channel: Callable[[dict, list[tuple[int, dict]]], list]
-    rest: Callable[[dict, list[tuple[int, dict]]], tuple[dict, list]] | None = None
+    channel: Callable[[dict, Sequence[tuple[int, dict]]], list]
+    rest: Callable[[dict, Sequence[tuple[int, dict]]], tuple[dict, list]] | None = None
     where: tuple[tuple[str, ...], str] | None = None
 
 
@@ -56,7 +58,7 @@ def _block(kind: str, name: str) -> Field:
     return Field(("delta", name), lambda e, _: ["block", at(e)], lambda e, _: ({"type": "content_block_delta", "index": at(e), "delta": {"type": kind, name: None}}, ["delta", name]), (("delta", "type"), kind))
 
 
-def _choice(delta: dict, path: list, by: list[tuple[int, dict]]) -> tuple[dict, list]:
+def _choice(delta: dict, path: list, by: Sequence[tuple[int, dict]]) -> tuple[dict, list]:
     return {"object": "chat.completion.chunk", "choices": [{"index": whole(by[0][1].get("index"), 0), "delta": delta, "finish_reason": None}]}, ["choices", 0, "delta", *path]
 
 
@@ -85,17 +87,33 @@ def kind_of(event: dict) -> str:
     return "choices"
 
 
-def _at(node, path, by=()) -> Iterator[tuple[dict, str, list]]:
+def _at(node, path) -> list[tuple[dict, str, tuple]]:
     """(holder, key, items on the way) of every text at a path."""
-    head, *rest = path
-    if head == "*":
-        for i, item in enumerate(node if isinstance(node, list) else ()):
-            if isinstance(item, dict):
-                yield from _at(item, rest, (*by, (i, item)))
-    elif isinstance(node, dict) and rest:
-        yield from _at(node.get(head), rest, by)
-    elif isinstance(node, dict) and isinstance(node.get(head), str):
-        yield node, head, list(by)
+    *way, key = path
+    found = [(node, ())]
+    for step in way:
+        if not found:
+            return found
+        if step == "*":
+            found = [(item, (*by, (i, item))) for n, by in found if isinstance(n, list) for i, item in enumerate(n) if isinstance(item, dict)]
+        else:
+            found = [(n[step], by) for n, by in found if isinstance(n, dict) and step in n]
+    return [(n, key, by) for n, by in found if isinstance(n, dict) and isinstance(n.get(key), str)]
+
+
+#: What a JSON object begins with.
+_BEGINS = ("{", " ", "\t", "\n", "\r")
+#: An event from and as JSON; both are made once, not for each event.
+_read = json.JSONDecoder().raw_decode
+_written = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
+def _loaded(body: str):
+    """A JSON text with space around it; None for anything else."""
+    try:
+        return json.loads(body)
+    except ValueError:
+        return None
 
 
 def _each(node, change):
@@ -106,24 +124,37 @@ def _each(node, change):
 
 
 def _saved(text: str) -> str:
-    return text if not any(c in text for c in _SAVED) else "".join(_SAVED.get(c, c) for c in text)
+    return text if text.isascii() or not any(c in text for c in _SAVED) else "".join(_SAVED.get(c, c) for c in text)
 
 
 def marked(text: str) -> str:
-    return _TOKEN.sub(lambda m: OPEN + m[0] + CLOSE, text)
+    return _TOKEN.sub(rf"{OPEN}\g<0>{CLOSE}", text) if "_" in text else text
 
 
 def hold(text: str) -> int:
     """How much of a text may leave: a last run that may be a token in the making stays, unless it is too long for one."""
-    n = len(_TAIL.search(text)[0])
+    n = len(text) - len(text.rstrip(_RUN))
     return len(text) if n > fixed.CARRY_LIMIT else len(text) - n
 
 
+#: Lines without a text (pings, counts, ends), which are written the same in every stream, and how they are written.
+_silent: dict[str, str] = {}
+
+
+def _remembered(line: str, out: str) -> str:
+    if len(line) <= 256:
+        if len(_silent) >= 1024:
+            _silent.clear()
+        _silent[line] = out
+    return out
+
+
 class Recutter:
     """One stream: what waits in each channel, and the event that would tell it."""
 
     def __init__(self, state: str | None = None):
         self.waits: dict[str, list] = json.loads(state) if state else {}
+        self.met = 0  # texts so far
 
     def state(self) -> str:
         return json.dumps(self.waits)
@@ -131,35 +162,46 @@ class Recutter:
     def event(self, event: dict) -> dict:
         kind = kind_of(event)
         if kind == "whole":
+            self.met += 1
             return _each(event, marked)
         for field in FIELDS.get(kind, ()):
             if field.where and not any(h[k] == field.where[1] for h, k, _ in _at(event, field.where[0])):
                 continue
             for holder, key, by in _at(event, field.path):
+                self.met += 1
                 channel = json.dumps(field.channel(event, by))
-                told = self.waits.setdefault(channel, ["", field.rest(event, by) if field.rest else None])
+                told = self.waits.get(channel)
+                if told is None:
+                    told = self.waits[channel] = ["", field.rest(event, by) if field.rest else None]
                 text = told[0] + holder[key]
                 n = hold(text)
                 told[0], holder[key] = text[n:], marked(text[:n])
         return event
 
-    def block(self, block: str) -> str:
-        """An event block with its data lines rewritten; lines end at LF alone."""
-        out = []
-        for line in block.split("\n"):
-            head, body = re.match(r"(data: ?)?((?s:.*))", line).groups()
+    def line(self, line: str) -> str:
+        if (out := _silent.get(line)) is not None:
+            return out
+        head = "data: " if line.startswith("data: ") else "data:" if line.startswith("data:") else ""
+        body = line[len(head) :]
+        value = None
+        if head and body[:1] in _BEGINS:
             try:
-                value = json.loads(body) if head else None
+                value, end = _read(body)
             except ValueError:
-                value = None
-            if isinstance(value, dict):
-                if any(c in body for c in _SAVED) or "\\ue00" in body.lower():
-                    value = _each(value, _saved)
-                line = head + json.dumps(self.event(value), ensure_ascii=False, separators=(",", ":"))
-            else:
-                line = _saved(line)
-            out.append(line)
-        return "\n".join(out)
+                end = -1
+            if end != len(body):
+                value = _loaded(body)
+        if not isinstance(value, dict):
+            return _remembered(line, _saved(line))
+        if _saved(body) != body or ("\\" in body and "\\ue00" in body.lower()):
+            value = _each(value, _saved)
+        met = self.met
+        out = head + _written(self.event(value))
+        return out if self.met != met else _remembered(line, out)
+
+    def block(self, block: str) -> str:
+        """An event block with its data lines rewritten; lines end at LF alone."""
+        return "\n".join(map(self.line, block.split("\n")))
 
     def rests(self) -> list[str]:
         """What still waits, as events of the stream's own kind; nothing the second time."""
@@ -172,7 +214,7 @@ class Recutter:
                 for k in path[:-1]:
                     holder = holder[k]
                 holder[path[-1]] = marked(text)
-                out.append("data: " + json.dumps(event, ensure_ascii=False, separators=(",", ":")))
+                out.append("data: " + _written(event))
         return out
 
     def blocks(self, block: str) -> list[str]:
@@ -182,11 +224,12 @@ class Recutter:
 
 #: What a last event holds, unless it is written with escapes.
 _ENDS = ("[DONE]", *fixed.STREAM_ENDS)
+_MAY_END = re.compile("|".join(map(re.escape, ("\\", *_ENDS))))
 
 
 def ends(block: str) -> bool:
     """Whether a block ends its stream."""
-    if "\\" not in block and not any(end in block for end in _ENDS):
+    if not _MAY_END.search(block):
         return False
     for line in block.split("\n"):
         body = line[5:].lstrip() if line.startswith("data:") else ""
@@ -202,7 +245,9 @@ def ends(block: str) -> bool:
 def is_last(block: Column) -> Column:
     """``ends`` as a Column."""
     bodies = F.transform(F.filter(F.split(block, "\n", -1), lambda s: s.startswith("data:")), lambda s: F.regexp_replace(s, r"(?U)\Adata:\s*", ""))
-    return F.exists(bodies, lambda b: (b == "[DONE]") | F.coalesce(F.get_json_object(b, "$.type").isin(*fixed.STREAM_ENDS), F.lit(False)))
+    last = F.exists(bodies, lambda b: (b == "[DONE]") | F.coalesce(F.get_json_object(b, "$.type").isin(*fixed.STREAM_ENDS), F.lit(False)))
+    may = reduce(or_, (block.contains(end) for end in ("\\", *_ENDS)))
+    return F.when(~may, F.lit(False)).otherwise(last)
 
 
 def event_blocks(streams: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -212,18 +257,23 @@ def event_blocks(streams: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 
 _OUT = "stream_id string, seq long, part int, block string"
+#: A character that JSON may write otherwise, or a mark.
+_UNLIKE_JSON = r"[^ !#-\[\]-~]"
 
 
 def recut_batch(events: DataFrame) -> DataFrame:
     """All events (stream_id, seq, block) of bounded streams, tokens whole and marked; what is left at a stream's end follows its last event."""
 
+    def items(column: pa.Array) -> list:  # without a Python object of Arrow's for each item
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, stream, seq, part = None, None, None, 0
         rest = lambda: [(stream, seq, part + 1 + i, b) for i, b in enumerate(cutter.rests())] if cutter else []
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["stream_id", "seq", "part", "block"])
         for batch in batches:
             rows = []
-            for s, n, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for s, n, block in zip(*map(items, batch.columns), strict=True):
                 if cutter is None or s != stream:
                     rows += rest()
                     cutter, stream = Recutter(), s
@@ -233,8 +283,9 @@ def recut_batch(events: DataFrame) -> DataFrame:
             yield table(rows)
         yield table(rest())
 
-    # streams one after the other in one task: a call for each stream takes longer than its events
-    ordered = events.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), "block").repartition("stream_id").sortWithinPartitions("stream_id", F.asc_nulls_last("seq"))
+    # streams one after the other in one task: a call for each stream takes longer than its events;
+    # the number is given, as partitions joined by their size would not be as many for each core
+    ordered = events.select(F.col("stream_id").cast("string"), F.col("seq").cast("long"), "block").repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id").sortWithinPartitions("stream_id", F.asc_nulls_last("seq"))
     return ordered.mapInArrow(run, _OUT)
 
 
@@ -246,6 +297,7 @@ def recut_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
     the rests, and is forgotten; blocks that come later still are a new stream,
     which gives them in order when it is idle in turn.
     """
+    import pandas as pd  # here, as bounded streams' workers start sooner without it
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -273,21 +325,26 @@ def recut_stream(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
 
 
 def put_values(blocks: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """The marked tokens of re-cut blocks replaced by their values, escaped as JSON; others become plain again."""
-    between = F.split("block", f"[{OPEN}{CLOSE}]", -1)
-    asked = F.array_join(F.filter(between, lambda p, i: i % 2 == 1), " ")
-    out = restore.look_up(blocks.withColumn("__asked", F.when(F.col("block").contains(OPEN), asked)), F.col("__asked"), vault, fuzzy)
+    """The marked tokens of re-cut blocks replaced by their values, escaped as JSON; others become plain again. Only blocks with marks are joined."""
+    holds = F.coalesce(F.col("block").contains(OPEN), F.lit(False))
+    # a split at one character needs no pattern
+    between = F.split(F.replace("block", F.lit(CLOSE), F.lit(OPEN)), OPEN, -1)
+    asked = blocks.where(holds).withColumn("__asked", F.filter(between, lambda p, i: i % 2 == 1))
+    out = restore.look_up(asked, F.array_join("__asked", " "), vault, fuzzy, tokens=F.array_distinct("__asked"))
+
     def value(v):
-        for c, saved in _SAVED.items():
-            v = F.replace(v, F.lit(c), F.lit(saved))
-        return F.regexp_replace(F.to_json(F.struct(v.alias("v"))), r'(?s)\A\{"v":"|"\}\z', "")
+        saved = v
+        for c, put in _SAVED.items():
+            saved = F.replace(saved, F.lit(c), F.lit(put))
+        escaped = F.regexp_replace(F.to_json(F.struct(saved.alias("v"))), r'(?s)\A\{"v":"|"\}\z', "")
+        return F.when(v.rlike(_UNLIKE_JSON), escaped).otherwise(v)
 
     known = lambda p: F.get(F.transform(F.filter("__found", lambda f: f["token"] == p), lambda f: value(f["value"])), F.lit(0))
-    text = F.array_join(F.transform(between, lambda p, i: F.when(i % 2 == 1, F.coalesce(known(p), p)).otherwise(p)), "")
-    text = F.when(F.col("block").contains(OPEN), text).otherwise(F.col("block"))
+    put = out.withColumn("block", F.array_join(F.transform(between, lambda p, i: F.when(i % 2 == 1, F.coalesce(known(p), p)).otherwise(p)), "")).drop("__asked", "__found")
+    text = F.col("block")
     for saved, c in (("1", CLOSE), ("0", OPEN), ("2", ESCAPE)):
         text = F.replace(text, F.lit(ESCAPE + saved), F.lit(c))
-    return out.withColumn("block", text).drop("__asked", "__found")
+    return put.unionByName(blocks.where(~holds)).withColumn("block", F.when(F.col("block").contains(ESCAPE), text).otherwise(F.col("block")))
 
 
 def restore_batch(events: DataFrame, vault: DataFrame, fuzzy: bool = True) -> DataFrame:
